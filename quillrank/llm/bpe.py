@@ -1,34 +1,37 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
-A pre-token's parts form a linked list. Each adjacent pair whose joined bytes have a rank lies in that rank's bucket (a
-heap of left positions). A bitmap of three levels says which buckets hold entries: find-first-set on each level gives
-the lowest rank, whatever the pre-token's length. An entry is stale if its position was merged away or now starts a
-pair of another rank; stale entries are skipped when popped. A pre-token of n bytes takes O(n log n), not O(n^2).
+The bytes of all the pre-tokens at hand form one linked list, cut between pre-tokens. Each adjacent pair whose joined
+bytes have a rank lies in that rank's bucket of left positions. A bitmap of three levels says which buckets hold
+entries: find-first-set on each level gives the least rank, however long the list. A bucket's positions are merged from
+left to right; an entry is stale if its position was merged away or now starts a pair of another rank, and is skipped.
+If a merge makes a pair of a lesser rank, that bucket comes first and the rest of this one waits. So a pre-token of n
+bytes takes O(n log n) at most, not O(n^2), and many short ones share the queue's cost.
 
 Texts: null is empty (no ids, empty bytes). Rows are independent: ties, repeated rows and empty tables need nothing
-special; other columns pass through only if named in keep.
+special; only the two named columns are read.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 
 from quillrank.llm._common import byte_texts, map_arrow, slices
 
-#: Pre-tokens that a worker keeps with their ids, and the longest that it keeps.
-CACHE_ITEMS, CACHE_CHARS = 120_000, 48
+#: Pre-tokens that a worker keeps with their ids (and as many older ones), and the longest that it keeps; characters of
+#: new pre-tokens that share a queue.
+CACHE_ITEMS, CACHE_CHARS, MERGE_CHARS = 150_000, 48, 100_000
 WORD = 64
 
 
 class RankQueue:
-    """Least rank first, least position first among equals."""
+    """Buckets of positions by rank; the least rank's bucket comes first."""
 
     def __init__(self, n: int):
         self.buckets: dict[int, list[int]] = {}
@@ -36,31 +39,32 @@ class RankQueue:
         self.mid = [0] * (n // WORD**2 + 1)
         self.top = 0
 
-    def push(self, rank: int, at: int) -> None:
+    def push(self, rank: int, at: list[int]) -> None:
         found = self.buckets.get(rank)
-        if found:
-            heapq.heappush(found, at)
+        if found is not None:
+            found += at
             return
-        self.buckets[rank] = [at]
+        self.buckets[rank] = at
         a, b = rank >> 6, rank >> 12
         self.low[a] |= 1 << (rank & 63)
         self.mid[b] |= 1 << (a & 63)
         self.top |= 1 << b
 
-    def pop(self) -> tuple[int, int] | None:
-        """The least rank and position, or None."""
-        if not self.top:
-            return None
-        b = (self.top & -self.top).bit_length() - 1
-        a = (b << 6) + (self.mid[b] & -self.mid[b]).bit_length() - 1
-        rank = (a << 6) + (self.low[a] & -self.low[a]).bit_length() - 1
-        at = heapq.heappop(self.buckets[rank])
-        if not self.buckets[rank]:
-            self.low[a] &= ~(1 << (rank & 63))
-            if not self.low[a]:
-                self.mid[b] &= ~(1 << (a & 63))
-                if not self.mid[b]:
-                    self.top &= ~(1 << b)
+    def pop(self) -> tuple[int, list[int]]:
+        """The least rank and its positions in order; the bucket is empty then."""
+        top = self.top
+        b = (top & -top).bit_length() - 1
+        mid = self.mid[b]
+        a = (b << 6) + (mid & -mid).bit_length() - 1
+        low = self.low[a]
+        rank = (a << 6) + (low & -low).bit_length() - 1
+        self.low[a] = low = low & (low - 1)
+        if not low:
+            self.mid[b] = mid = mid & (mid - 1)
+            if not mid:
+                self.top = top & (top - 1)
+        at = self.buckets.pop(rank)
+        at.sort()
         return rank, at
 
 
@@ -77,61 +81,104 @@ class Codec:
         self.bytes_of: list[bytes] = [b""] * self.size
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
+        self.pairs = np.full(1 << 16, -1, np.int64)  # ranks of two bytes
+        for token, rank in self.ranks.items():
+            if len(token) == 2:
+                self.pairs[token[0] << 8 | token[1]] = rank
         self.findall = regex.compile(pattern).findall
         self.cache: dict[str, tuple[int, ...]] = {}
-
-    def merge(self, piece: bytes) -> tuple[int, ...]:
-        """Ids of one pre-token."""
-        ranks = self.ranks
-        if (whole := ranks.get(piece)) is not None:
-            return (whole,)
-        n = len(piece)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [-1] * n  # the rank of the pair that starts here
+        self.older: dict[str, tuple[int, ...]] = {}
+
+    def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of each pre-token; none may be empty."""
+        data, get = b"".join(pieces), self.ranks.get
+        n = len(data)
+        ends = np.cumsum([len(x) for x in pieces])
+        x = np.frombuffer(data, np.uint8).astype(np.int64)
+        first = np.full(n, -1, np.int64)
+        first[:-1] = self.pairs[x[:-1] << 8 | x[1:]]
+        first[ends - 1] = -1
+        stop = np.repeat(ends, [len(x) for x in pieces]).tolist()  # where each byte's pre-token ends
+        pair, after, before = first.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        for e in ends[:-1].tolist():
+            before[e] = -1
         queue = RankQueue(self.size)
-        for i in range(n - 1):
-            if (r := ranks.get(piece[i : i + 2])) is not None:
-                pair[i] = r
-                queue.push(r, i)
-        while (found := queue.pop()) is not None:
-            r, i = found
-            if pair[i] != r:
-                continue
-            gone = after[i]
-            end = after[gone]
-            pair[gone] = -1
-            after[i] = end
-            if end < n:
-                before[end] = i
-                new = ranks.get(piece[i : after[end]], -1)
+        at = np.flatnonzero(first >= 0)
+        at = at[np.argsort(first[at], kind="stable")]
+        cuts = np.flatnonzero(np.diff(first[at])) + 1
+        for group in np.split(at, cuts) if len(at) else ():
+            queue.push(int(first[group[0]]), group.tolist())
+        push = queue.push
+        while queue.top:
+            r, at = queue.pop()
+            for k, i in enumerate(at):
+                if pair[i] != r:
+                    continue
+                gone = after[i]
+                end = after[gone]
+                pair[gone] = -1
+                after[i] = end
+                least, new = r, -1
+                if end < stop[i]:
+                    before[end] = i
+                    new = get(data[i : after[end]], -1)
+                    if new >= 0:
+                        push(new, [i])
+                        if new < least:
+                            least = new
                 pair[i] = new
-                if new >= 0:
-                    queue.push(new, i)
+                p = before[i]
+                if p >= 0:
+                    new = get(data[p:end], -1)
+                    if new != pair[p]:
+                        pair[p] = new
+                        if new >= 0:
+                            push(new, [p])
+                            if new < least:
+                                least = new
+                if least < r:
+                    if rest := [j for j in at[k + 1 :] if pair[j] == r]:
+                        push(r, rest)
+                    break
+        out, i, ranks = [], 0, self.ranks
+        for e in ends.tolist():
+            ids = []
+            while i < e:
+                ids.append(ranks[data[i : after[i]]])
+                i = after[i]
+            out.append(tuple(ids))
+        return out
+
+    def learn(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
+        """Ids of pre-tokens that the cache doesn't hold; those that are too long for it come back."""
+        new, older, ranks = [], self.older.get, self.ranks.get
+        for p in pieces:
+            if (ids := older(p)) is not None:
+                self.cache[p] = ids
+            elif (whole := ranks(p.encode())) is not None:
+                self.cache[p] = (whole,)
             else:
-                pair[i] = -1
-            if (p := before[i]) >= 0:
-                new = ranks.get(piece[p:end], -1)
-                if new != pair[p]:
-                    pair[p] = new
-                    if new >= 0:
-                        queue.push(new, p)
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[piece[i : after[i]]])
-            i = after[i]
-        return tuple(out)
-
-    def ids_of(self, piece: str) -> tuple[int, ...]:
-        ids = self.merge(piece.encode())
-        if len(piece) <= CACHE_CHARS:
-            if len(self.cache) >= CACHE_ITEMS:
-                self.cache.clear()
-            self.cache[piece] = ids
-        return ids
+                new.append(p)
+        extra = {}
+        start, size = 0, 0
+        for k, p in enumerate(new):
+            size += len(p)
+            if size >= MERGE_CHARS or k == len(new) - 1:
+                for q, ids in zip(new[start : k + 1], self.merge([q.encode() for q in new[start : k + 1]]), strict=True):
+                    (self.cache if len(q) <= CACHE_CHARS else extra)[q] = ids
+                start, size = k + 1, 0
+        return extra
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        split = list(map(self.findall, texts))
+        if len(self.cache) >= CACHE_ITEMS:
+            self.older, self.cache = self.cache, {}
+        extra = self.learn(set().union(*split).difference(self.cache))
+        get = {**self.cache, **extra}.__getitem__ if extra else self.cache.__getitem__
+        return [list(chain.from_iterable(map(get, x))) for x in split]
 
     def encode(self, text: str) -> list[int]:
-        get, ids_of = self.cache.get, self.ids_of
-        return list(chain.from_iterable([get(p) or ids_of(p) for p in self.findall(text)]))
+        return self.encode_all([text])[0]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -150,7 +197,7 @@ def encode_decode(df: DataFrame, id_col: str, text_col: str, ranks_path: str, pa
         c = codec(ranks_path, pattern)
         for batch in batches:
             for part in slices(batch, 1):
-                ids = [c.encode(t.decode()) for t in byte_texts(part.column(1))]
+                ids = c.encode_all([t.decode() for t in byte_texts(part.column(1))])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(x) for x in ids], pa.binary())], names=["id", "ids", "decoded"])
 
     kind = dict(df.dtypes)[id_col]

@@ -48,10 +48,10 @@ QUERIES = {f.__name__: f for f in (op4_bpe, op5_language_id, op6_toxicity, op7_n
 #: Links by counting shared shingles, then the least id reachable.
 OP7_SQL = r"""
 WITH RECURSIVE toks AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), x -> x <> '') AS w
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w
   FROM documents
 ), sh AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w] ELSE list_transform(range(1, len(w) - 3), i -> w[i:i+4]) END) AS s
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w] ELSE list_transform(range(1, len(w) - 3), lambda i: w[i:i+4]) END) AS s
   FROM toks
 ), coded AS (
   SELECT doc_id, dense_rank() OVER (ORDER BY s) AS s FROM sh
