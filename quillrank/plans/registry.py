@@ -239,8 +239,8 @@ def split_holdout(spark, sf_dir):
     return splits.holdout(tables.urm_orders(spark, sf_dir), 0.8).select("user_id", "item_id", "split")
 
 
-@query(f"""WITH {UO}, s AS (SELECT user_id, count(*) AS n FROM uo GROUP BY 1), w AS (SELECT user_id, row_number() OVER (ORDER BY {user_key_sql()}, user_id) AS at, count(*) OVER () AS m FROM s WHERE n > 10),
-h AS (SELECT user_id FROM w WHERE at > round_even(m * 0.7, 0)), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {key_sql()}, item_id) AS r FROM uo)
+@query(f"""WITH {UO}, s AS (SELECT user_id, count(*) AS n FROM uo GROUP BY 1), w AS (SELECT user_id, row_number() OVER (ORDER BY {user_key_sql()}, user_id) AS pos, count(*) OVER () AS m FROM s WHERE n > 10),
+h AS (SELECT user_id FROM w WHERE pos > round_even(m * 0.7, 0)), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {key_sql()}, item_id) AS r FROM uo)
 SELECT user_id, item_id, CASE WHEN r > 10 AND user_id IN (SELECT user_id FROM h) THEN 'test' ELSE 'train' END AS split FROM r""")
 def split_cold_start(spark, sf_dir):
     return splits.cold_start(tables.urm_orders(spark, sf_dir), 10, 0.7).select("user_id", "item_id", "split")
@@ -258,7 +258,7 @@ def split_repeats(spark, sf_dir):
     return splits.repeats(tables.urm_orders(spark, sf_dir), 3).select("user_id", "item_id", "split", "fold")
 
 
-NEGATIVES = """neg AS (SELECT user_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at) AS r FROM (SELECT c_custkey AS user_id, j AS at, (c_custkey * 7919 + j) % n.n AS item_id FROM customer, (SELECT count(*) AS n FROM part) n, (SELECT unnest(range((SELECT least(count(*), 220) FROM part))) AS j)) c WHERE NOT EXISTS (SELECT 1 FROM uo WHERE uo.user_id = c.user_id AND uo.item_id = c.item_id)) WHERE r <= 100)"""
+NEGATIVES = """neg AS (SELECT user_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY pos) AS r FROM (SELECT c_custkey AS user_id, j AS pos, (c_custkey * 7919 + j) % n.n AS item_id FROM customer, (SELECT count(*) AS n FROM part) n, (SELECT unnest(range((SELECT least(count(*), 220) FROM part))) AS j)) c WHERE NOT EXISTS (SELECT 1 FROM uo WHERE uo.user_id = c.user_id AND uo.item_id = c.item_id)) WHERE r <= 100)"""
 
 
 @query(f"WITH {UO}, {NEGATIVES} SELECT user_id, item_id FROM neg")
@@ -267,8 +267,8 @@ def negatives_hash(spark, sf_dir):
 
 
 @query(f"""WITH {UO}, {SPLIT}, want AS (SELECT user_id, 5 * count(*) AS w FROM sp WHERE split = 'test' GROUP BY 1),
-c AS (SELECT user_id, w, j AS at, (user_id * 7919 + j) % n.n AS item_id FROM want, (SELECT count(*) AS n FROM part) n, (SELECT unnest(range((SELECT least(count(*), 200) FROM part))) AS j))
-SELECT user_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at) AS r FROM c WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.user_id = c.user_id AND sp.item_id = c.item_id)) WHERE r <= w""")
+c AS (SELECT user_id, w, j AS pos, (user_id * 7919 + j) % n.n AS item_id FROM want, (SELECT count(*) AS n FROM part) n, (SELECT unnest(range((SELECT least(count(*), 200) FROM part))) AS j))
+SELECT user_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY pos) AS r FROM c WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.user_id = c.user_id AND sp.item_id = c.item_id)) WHERE r <= w""")
 def negatives_per_positive(spark, sf_dir):
     return splits.with_negatives(splits.timestamp(tables.urm_orders(spark, sf_dir)), table(spark, sf_dir, "part").count(), 5)
 
@@ -321,11 +321,12 @@ def sim_sql(source: str, weight: str, k: int, centre: str = "", binary: bool = F
     """Pairs of source's items; weight over dot, qd (of dst) and qs (of src)."""
     value = "1.0::DOUBLE" if binary else f"rating - avg(rating) OVER (PARTITION BY {centre})" if centre else "rating"
     dot = "sum(a.v * b.v * (1 + a.user_id % 3))" if weights else "sum(a.v * b.v)"
+    order = "weight" if binary else "round(weight, 9)"  # quotients of whole numbers are the same everywhere
     rank = f"CASE WHEN weight > 0 THEN r ELSE r + {n_cols} - h END" if n_cols else "r"
     return f"""WITH {UO}, {UE}, m AS (SELECT user_id, item_id, {value} AS v FROM {source}), q AS (SELECT item_id, sum(v * v) AS q FROM m GROUP BY 1),
 d AS (SELECT a.item_id AS src, b.item_id AS dst, {dot} AS dot FROM m a JOIN m b ON a.user_id = b.user_id AND a.item_id <> b.item_id GROUP BY ALL),
 w AS (SELECT src, dst, {weight} AS weight FROM d JOIN (SELECT item_id AS src, q AS qs FROM q) USING (src) JOIN (SELECT item_id AS dst, q AS qd FROM q) USING (dst)),
-t AS (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY round(weight, 9) DESC, src) AS r, count(*) OVER (PARTITION BY dst) AS h FROM w WHERE weight <> 0)
+t AS (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY {order} DESC, src) AS r, count(*) OVER (PARTITION BY dst) AS h FROM w WHERE weight <> 0)
 SELECT src, dst, round(weight, 6) AS weight FROM t WHERE {rank} <= {k}"""
 
 
@@ -347,7 +348,7 @@ SIMS = {
     "sim_asymmetric": (dict(kind="asymmetric", alpha=0.3), sim_sql("uo", "dot / (pow(qd, 0.3) * pow(qs, 0.7) + 1e-6)", 20)),
     "sim_jaccard": (dict(kind="jaccard"), sim_sql("uo", "dot / (qs + qd - dot + 1e-6)", 20, binary=True)),
     "sim_dice": (dict(kind="dice", shrink=5), sim_sql("uo", "dot / (qs + qd + 5 + 1e-6)", 20, binary=True)),
-    "sim_tversky": (dict(kind="tversky", alpha=0.4, beta=1.2), sim_sql("uo", "dot / (dot + (qd - dot) * 0.4 + (qs - dot) * 1.2 + 1e-6)", 20, binary=True)),
+    "sim_tversky": (dict(kind="tversky", alpha=0.5, beta=1.5), sim_sql("uo", "dot / (dot + (qd - dot) * 0.5 + (qs - dot) * 1.5 + 1e-6)", 20, binary=True)),
     "sim_adjusted": (dict(kind="adjusted", source="events", k=1000), sim_sql("ue", "dot / (sqrt(qs) * sqrt(qd) + 1e-6)", 1000, centre="user_id")),
     "sim_pearson": (dict(kind="pearson", source="events", k=1000), sim_sql("ue", "dot / (sqrt(qs) * sqrt(qd) + 1e-6)", 1000, centre="item_id")),
     "sim_column_range": (dict(kind="cosine", start_col=10, end_col=60), sim_sql("uo", "dot / (sqrt(qs) * sqrt(qd) + 1e-6)", 20) + " AND dst >= 10 AND dst < 60"),

@@ -2,18 +2,35 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import suppress
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE_DIR = Path(__file__).resolve().parent
 _shipped: set[str] = set()
 
 
+def one_blas_thread() -> None:
+    """numpy's OpenBLAS in this process runs on one thread: the driver shares its cores with Spark, and OpenBLAS' own
+    threads can wait for each other forever in a process that has started a JVM."""
+    for lib in (Path(np.__file__).parent.parent / "numpy.libs").glob("*openblas*"):
+        with suppress(OSError):
+            h = ctypes.CDLL(str(lib))
+            for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+                if hasattr(h, name):
+                    getattr(h, name)(1)
+
+
+one_blas_thread()
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors once per application, so that functions run there can import it."""
     app = spark.sparkContext.applicationId
