@@ -6,10 +6,16 @@ the last COORDS rounds guarantee; in expectation this costs O(n + t log t) and e
 the probability of their Jaccard similarity, with concentration like independent samples'.
 
 Links: texts of equal shingle sets are one node (found by a 128-bit hash of the set). The bands' buckets suggest pairs;
-in each bucket all members are compared with its least member first. After a pass over connected components only
-members of one bucket that are still in different components are compared with each other, so a group of copies costs
-its size, not its square, and no suggested link is lost. Texts decide every pair: full sets, integers only.
-With BANDS x ROWS a pair of similarity 0.75 is missed with probability (1 - 0.75^4)^40 < 3e-7.
+in each bucket all members are compared with its most central member first (the one that meets most others over its
+buckets: of copies of one text, that text). After a pass over connected components only
+members of one bucket that are still in different components remain, so a group of copies costs its size, not its
+square. A bucket of up to FEW members then has its remaining pairs compared. A larger one holds texts that share a
+frequent passage but little else: it is split by each later band, and its members are compared where they agree in a
+further band, and so on, DEEPEST bands at most, where all that is left is compared. No bucket is capped or sampled.
+Before texts are fetched, a pair must agree in nearly as many sketch bits as the threshold implies. Texts decide every
+pair: full sets, integers only. A pair of similarity 0.75 agrees in 15 of 84 bands on average; it is missed if it agrees
+in none (1e-7), if its bits deviate by five standard deviations (3e-7), or within buckets of more than FEW members in
+fewer than two or three bands (2e-5).
 
 Nulls and ties: a null or blank text has an empty set and links with nothing; rows that share a document id are one
 document (its texts' links are joined); a row with a null id has its group's component, or null. Repeated rows come out
@@ -28,8 +34,11 @@ from quillrank.llm._common import GOLD, byte_texts, map_arrow, mix, slices, word
 from quillrank.runtime import materialise
 
 SHINGLE, NUM, DEN = 5, 75, 100
-BANDS, ROWS = 40, 4
-COORDS = BANDS * ROWS
+BANDS, ROWS = 84, 6
+COORDS = BANDS * ROWS  # 504: a bit of each makes 63 bytes
+WORDS = -(-COORDS // 64)
+#: Members of a bucket of which all pairs are compared, and bands that a split goes by at most.
+FEW, DEEPEST = 2000, 4
 #: Parts that the texts compared with one leader are dealt into.
 SALTS = 64
 _base = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -78,23 +87,26 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str, size: int = SHINGLE) -> DataFrame:
-    """Per row: id, n (set size), k1, k2 (set's name), bands (array<bigint>, empty for an empty set)."""
+    """Per row: id, n (set size), k1, k2 (set's name), bands (array<bigint>, empty for an empty set), bits (array<bigint>:
+    the lowest bit of each coordinate)."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, 1):
-                n, k1, k2, bands = [], [], [], []
+                n, k1, k2, bands, bits = [], [], [], [], []
                 for t in byte_texts(part.column(1)):
                     s = shingle_set(t, size)
                     a, b = set_key(s) if len(s) else (0, 0)
                     n.append(len(s))
                     k1.append(a)
                     k2.append(b)
-                    bands.append(band_keys(sketch(s)).astype(np.int64) if len(s) else ())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "n", "k1", "k2", "bands"])
+                    coords = sketch(s) if len(s) else None
+                    bands.append(band_keys(coords).astype(np.int64) if len(s) else ())
+                    bits.append(np.packbits(np.pad(coords & np.uint64(1), (0, 64 * WORDS - COORDS)).astype(np.uint8)).view(np.int64) if len(s) else (0,) * WORDS)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["id", "n", "k1", "k2", "bands", "bits"])
 
     kind = dict(df.dtypes)[id_col]
-    return map_arrow(df.select(id_col, text_col), run, f"id {kind}, n bigint, k1 bigint, k2 bigint, bands array<bigint>")
+    return map_arrow(df.select(id_col, text_col), run, f"id {kind}, n bigint, k1 bigint, k2 bigint, bands array<bigint>, bits array<bigint>")
 
 
 def similar(a: np.ndarray, b: np.ndarray, num: int = NUM, den: int = DEN) -> bool:
@@ -105,6 +117,15 @@ def similar(a: np.ndarray, b: np.ndarray, num: int = NUM, den: int = DEN) -> boo
     return den * both >= num * (len(a) + len(b) - both)
 
 
+def likely(a: str, b: str, num: int, den: int) -> Column:
+    """Whether as many bits of two sketches agree as a pair at the threshold has but for five standard deviations (a
+    chance of 3e-7): a coordinate's bits agree with probability (1 + similarity) / 2."""
+    p = (1 + num / den) / 2
+    least = int(COORDS * p - 5 * (COORDS * p * (1 - p)) ** 0.5)
+    differ = sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(1, WORDS)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
+    return differ <= COORDS - least
+
+
 def verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose texts' full sets are similar. A leader a with many partners is dealt into SALTS parts."""
     salt = F.pmod(F.xxhash64("b"), F.lit(SALTS))
@@ -150,30 +171,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = rows.filter("n > 0 and id is not null")
     # equal sets are one node: its least id
     sets = named.groupBy("k1", "k2").agg(F.min("id").alias("node"))
-    keyed = named.groupBy("k1", "k2").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    buckets = keyed.select("node", "n", F.explode("bands").alias("key"))
-    led = buckets.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("node", "n")).alias("lead")).filter("members > 1")
-    members = materialise(buckets.join(led, "key").select("key", F.col("node").alias("id"), "n", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")), "members")
-    wanted = members.select("id").distinct()
-    texts = materialise(own.join(wanted, "id", "left_semi"), "texts")
-    fits = lambda m, n: F.lit(den) * F.least(m, n) >= F.lit(num) * F.greatest(m, n)  # noqa: E731  no link is possible otherwise
-    first = members.filter(F.col("id") != F.col("lead")).filter(fits(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    keyed = named.groupBy("k1", "k2").agg(F.min("id").alias("node"), F.first("bands").alias("bands"))
+    level = keyed.select("node", F.posexplode("bands").alias("band", "key"))
+    sizes = named.select("id", "n", "bits")
     # rows of one id but several texts: its texts' nodes belong together
     shared = named.join(sets, ["k1", "k2"]).filter("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
     several = named.groupBy("id").agg(F.count_distinct("k1", "k2").alias("sets")).filter("sets > 1").select("id")
-    same_id = shared.join(several, F.col("b") == several["id"], "left_semi")
-    edges = materialise(verified(first, texts, size, num, den).union(same_id), "links")
-    labels = components(edges)
-    # what one bucket still holds in different components
-    at = members.join(labels, "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
-    open_keys = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    rest = materialise(at.join(open_keys, "key", "left_semi"), "rest")
-    x, y = rest.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a")), rest.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-    tried = members.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    second = x.join(y, "key").filter((F.col("label_a") < F.col("label_b")) & fits(F.col("n_a"), F.col("n_b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = materialise(verified(second, texts, size, num, den), "links")
-    if not more.isEmpty():
-        labels = components(edges.union(more))
+    edges = materialise(shared.join(several, F.col("b") == several["id"], "left_semi").distinct(), "links")
+    fits = lambda m, n: F.lit(den) * F.least(m, n) >= F.lit(num) * F.greatest(m, n)  # noqa: E731  no link is possible otherwise
+    texts, tried, labels = None, None, edges.select(F.col("a").alias("id"), F.col("a").alias("label")).limit(0)
+    for depth in range(1, DEEPEST + 1):
+        # all members of a bucket against its most central one: that which meets most others over all its buckets
+        counts = level.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+        met = materialise(level.join(counts, "key"), "met")
+        central = met.groupBy("node").agg(F.sum("members").alias("central"))
+        leads = met.select("key", "node").join(central, "node").groupBy("key").agg(F.min(F.struct(-F.col("central"), "node")).alias("first"))
+        members = materialise(met.join(leads, "key").select("key", "band", F.col("node").alias("id"), F.col("first.node").alias("lead"), "members"), "members")
+        if texts is None:
+            ids = members.select("id").distinct()
+            texts = materialise(own.join(ids, "id", "left_semi"), "texts")
+            sizes = materialise(sizes.join(ids, "id", "left_semi"), "bits")
+        ends = [sizes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab"]
+        star = members.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+        star = star if tried is None else star.join(tried, ["a", "b"], "left_anti")
+        star = materialise(star.join(ends[0], "a").join(ends[1], "b").filter(fits(F.col("n_a"), F.col("n_b")) & likely("bits_a", "bits_b", num, den)).select("a", "b").distinct(), "pairs")
+        edges = edges.union(materialise(verified(star, texts, size, num, den), "links"))
+        tried = star if tried is None else tried.union(star)
+        labels = components(edges)
+        # what a bucket still holds in different components: all such pairs of a small one, a large one is split
+        at = members.join(labels, "id", "left").select("key", "band", "id", "members", F.coalesce("label", "id").alias("label"))
+        open_keys = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+        rest = materialise(at.join(open_keys, "key", "left_semi"), "rest")
+        few = rest if depth == DEEPEST else rest.filter(F.col("members") <= FEW)
+        few = few.select("key", "id", "label").join(sizes, "id")
+        x, y = (few.select("key", F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("label").alias(f"label_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
+        apart = (F.col("label_a") < F.col("label_b")) & fits(F.col("n_a"), F.col("n_b")) & likely("bits_a", "bits_b", num, den)
+        cross = x.join(y, (x["key"] == y["key"]) & apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        cross = materialise(cross.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if not cross.isEmpty():
+            tried = tried.union(cross)
+            more = materialise(verified(cross, texts, size, num, den), "links")
+            if not more.isEmpty():
+                edges = edges.union(more)
+                labels = components(edges)
+        many = rest.filter(F.col("members") > FEW)
+        if depth == DEEPEST or many.isEmpty():
+            break
+        deeper = many.join(rows.select("id", "bands"), "id").select(F.col("id").alias("node"), F.col("key").alias("up"), F.col("band").alias("from"), F.posexplode("bands").alias("band", "own"))
+        level = deeper.filter("band > from").select("node", "band", F.xxhash64("up", "own").alias("key")).distinct()
     node = rows.select("id", "n", "k1", "k2").join(sets, ["k1", "k2"], "left")
     found = node.join(labels.withColumnRenamed("id", "node"), "node", "left")
     component: Column = F.when((F.col("n") > 0) & F.col("node").isNotNull(), F.coalesce("label", "node")).otherwise(F.col("id"))

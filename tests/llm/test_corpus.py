@@ -55,7 +55,7 @@ def corpus(seed, bases=6, copies=14):
     return dict(enumerate(out))
 
 
-@pytest.mark.parametrize("seed,few", [(1, 256), (2, 3)])
+@pytest.mark.parametrize("seed,few", [(1, 2000), (2, 3)])
 def test_components_against_brute_force(docs, monkeypatch, seed, few):
     monkeypatch.setattr(neardup, "FEW", few)
     texts = corpus(seed)
