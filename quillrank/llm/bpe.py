@@ -14,6 +14,7 @@ special; only the two named columns are read.
 from __future__ import annotations
 
 import base64
+import gc
 from functools import lru_cache
 from itertools import chain
 
@@ -26,8 +27,11 @@ from quillrank.llm._common import byte_texts, map_arrow, slices
 
 #: Pre-tokens that a worker keeps with their ids (and as many older ones), and the longest that it keeps; characters of
 #: new pre-tokens that share a queue.
-CACHE_ITEMS, CACHE_CHARS, MERGE_CHARS = 150_000, 48, 100_000
+CACHE_ITEMS, CACHE_CHARS, MERGE_CHARS = 150_000, 48, 12_000
 WORD = 64
+#: Bits of an id in a pair's key, and the symbol between pre-tokens, which is in no pair.
+SHIFT = 18
+GAP, GAP_BYTE = (1 << SHIFT) - 1, b"\0"
 
 
 class RankQueue:
@@ -81,70 +85,75 @@ class Codec:
         self.bytes_of: list[bytes] = [b""] * self.size
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
-        self.pairs = np.full(1 << 16, -1, np.int64)  # ranks of two bytes
+        if self.size > GAP:
+            raise ValueError(f"more than {GAP} ranks")
+        get = self.ranks.get
+        self.pairs: dict[int, int] = {}  # by both parts' ids, however a token splits in two
         for token, rank in self.ranks.items():
-            if len(token) == 2:
-                self.pairs[token[0] << 8 | token[1]] = rank
+            for k in range(1, len(token)):
+                if (a := get(token[:k])) is not None and (b := get(token[k:])) is not None:
+                    self.pairs[a << SHIFT | b] = rank
+        self.byte_ids = np.array([self.ranks[bytes([k])] for k in range(256)], np.int64)
+        self.byte_pairs = np.array([get(bytes([k >> 8, k & 255]), -1) for k in range(1 << 16)], np.int64)
         self.findall = regex.compile(pattern).findall
         self.cache: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
     def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """Ids of each pre-token; none may be empty."""
-        data, get = b"".join(pieces), self.ranks.get
-        n = len(data)
-        ends = np.cumsum([len(x) for x in pieces])
-        x = np.frombuffer(data, np.uint8).astype(np.int64)
-        first = np.full(n, -1, np.int64)
-        first[:-1] = self.pairs[x[:-1] << 8 | x[1:]]
-        first[ends - 1] = -1
-        stop = np.repeat(ends, [len(x) for x in pieces]).tolist()  # where each byte's pre-token ends
-        pair, after, before = first.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
-        for e in ends[:-1].tolist():
-            before[e] = -1
+        data = np.frombuffer(GAP_BYTE.join([b"", *pieces, b""]), np.uint8).astype(np.int64)
+        gaps = np.concatenate(([0], np.cumsum([len(x) + 1 for x in pieces])))
+        token = self.byte_ids[data]
+        token[gaps] = GAP
+        n, get = len(data), self.pairs.get
+        kinds = np.full(n, -1, np.int64)  # of two bytes
+        kinds[:-1] = self.byte_pairs[data[:-1] << 8 | data[1:]]
+        kinds[gaps] = -1
+        kinds[gaps[1:] - 1] = -1
+        sym, pair, after, before = token.tolist(), kinds.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
         queue = RankQueue(self.size)
-        at = np.flatnonzero(first >= 0)
-        at = at[np.argsort(first[at], kind="stable")]
-        cuts = np.flatnonzero(np.diff(first[at])) + 1
-        for group in np.split(at, cuts) if len(at) else ():
-            queue.push(int(first[group[0]]), group.tolist())
-        push = queue.push
+        at = np.flatnonzero(kinds >= 0)
+        at = at[np.argsort(kinds[at], kind="stable")]
+        for group in np.split(at, np.flatnonzero(np.diff(kinds[at])) + 1) if len(at) else ():
+            queue.push(int(kinds[group[0]]), group.tolist())
+        push, bucket = queue.push, queue.buckets.get
         while queue.top:
             r, at = queue.pop()
+            high, less = r << SHIFT, False
             for k, i in enumerate(at):
                 if pair[i] != r:
                     continue
                 gone = after[i]
-                end = after[gone]
+                after[i] = end = after[gone]
+                before[end] = i
                 pair[gone] = -1
-                after[i] = end
-                least, new = r, -1
-                if end < stop[i]:
-                    before[end] = i
-                    new = get(data[i : after[end]], -1)
-                    if new >= 0:
+                sym[i] = r
+                pair[i] = new = get(high | sym[end], -1)
+                if new >= 0:
+                    if (found := bucket(new)) is None:
                         push(new, [i])
-                        if new < least:
-                            least = new
-                pair[i] = new
+                    else:
+                        found.append(i)
+                    less = new < r
                 p = before[i]
-                if p >= 0:
-                    new = get(data[p:end], -1)
-                    if new != pair[p]:
-                        pair[p] = new
-                        if new >= 0:
+                new = get(sym[p] << SHIFT | r, -1)
+                if new != pair[p]:
+                    pair[p] = new
+                    if new >= 0:
+                        if (found := bucket(new)) is None:
                             push(new, [p])
-                            if new < least:
-                                least = new
-                if least < r:
+                        else:
+                            found.append(p)
+                        less = less or new < r
+                if less:
                     if rest := [j for j in at[k + 1 :] if pair[j] == r]:
                         push(r, rest)
                     break
-        out, i, ranks = [], 0, self.ranks
-        for e in ends.tolist():
-            ids = []
-            while i < e:
-                ids.append(ranks[data[i : after[i]]])
+        out = []
+        for i in gaps[:-1].tolist():
+            ids, i = [], i + 1
+            while (x := sym[i]) != GAP:
+                ids.append(x)
                 i = after[i]
             out.append(tuple(ids))
         return out
@@ -195,10 +204,14 @@ def encode_decode(df: DataFrame, id_col: str, text_col: str, ranks_path: str, pa
 
     def run(batches):
         c = codec(ranks_path, pattern)
-        for batch in batches:
-            for part in slices(batch, 1):
-                ids = c.encode_all([t.decode() for t in byte_texts(part.column(1))])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(x) for x in ids], pa.binary())], names=["id", "ids", "decoded"])
+        gc.disable()  # nothing here makes cycles, and the collector would go through the cache again and again
+        try:
+            for batch in batches:
+                for part in slices(batch, 1):
+                    ids = c.encode_all([t.decode() for t in byte_texts(part.column(1))])
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(x) for x in ids], pa.binary())], names=["id", "ids", "decoded"])
+        finally:
+            gc.enable()
 
     kind = dict(df.dtypes)[id_col]
     return map_arrow(df.select(id_col, text_col), run, f"id {kind}, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
