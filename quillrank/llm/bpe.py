@@ -27,7 +27,7 @@ from quillrank.llm._common import byte_texts, map_arrow, slices
 
 #: Pre-tokens that a worker keeps with their ids (and as many older ones), and the longest that it keeps; characters of
 #: new pre-tokens that share a queue.
-CACHE_ITEMS, CACHE_CHARS, MERGE_CHARS = 150_000, 48, 12_000
+CACHE_ITEMS, CACHE_CHARS, MERGE_CHARS = 400_000, 48, 6_000
 WORD = 64
 #: Bits of an id in a pair's key, and the symbol between pre-tokens, which is in no pair.
 SHIFT = 18
