@@ -13,6 +13,9 @@ from pathlib import Path
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch between the JVM and Python, unless the session says otherwise: rows can be long texts, so a
+#: number of rows alone doesn't bound memory.
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 PACKAGE_DIR = Path(__file__).resolve().parent
 _shipped: set[str] = set()
 
@@ -32,7 +35,10 @@ one_blas_thread()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application, so that functions run there can import it."""
+    """Sends this package to the executors once per application, so that functions run there can import it, and bounds
+    the session's Arrow batches."""
+    if spark.conf.get(BATCH_CONF, None) is None:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
