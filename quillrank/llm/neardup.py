@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillrank.llm._common import GOLD, byte_texts, map_arrow, mix, slices, words
-from quillrank.runtime import materialise
+from quillrank.runtime import materialise, ship
 
 SHINGLE, NUM, DEN = 5, 75, 100
 BANDS, ROWS = 84, 6
@@ -39,6 +39,8 @@ COORDS = BANDS * ROWS  # 504: a bit of each makes 63 bytes
 WORDS = -(-COORDS // 64)
 #: Members of a bucket of which all pairs are compared, and bands that a split goes by at most.
 FEW, DEEPEST = 2000, 4
+#: Rows and bytes of text of a family that is compared within a task.
+FAMILY_ROWS, FAMILY_BYTES = 4000, 16 << 20
 #: Parts that the texts compared with one leader are dealt into.
 SALTS = 64
 _base = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -118,12 +120,9 @@ def similar(a: np.ndarray, b: np.ndarray, num: int = NUM, den: int = DEN) -> boo
 
 
 def likely(a: str, b: str, num: int, den: int) -> Column:
-    """Whether as many bits of two sketches agree as a pair at the threshold has but for five standard deviations (a
-    chance of 3e-7): a coordinate's bits agree with probability (1 + similarity) / 2."""
-    p = (1 + num / den) / 2
-    least = int(COORDS * p - 5 * (COORDS * p * (1 - p)) ** 0.5)
+    """Whether two sketches differ in allowed() bits at most."""
     differ = sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(1, WORDS)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
-    return differ <= COORDS - least
+    return differ <= allowed(num, den)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -148,6 +147,54 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int)
     return map_arrow(both, run, f"a {kind}, b {kind}").distinct()
 
 
+def allowed(num: int, den: int) -> int:
+    """Bits of two sketches that may differ: as many as a pair at the threshold has but for five standard deviations (a
+    chance of 3e-7); a coordinate's bits agree with probability (1 + similarity) / 2."""
+    p = (1 + num / den) / 2
+    return COORDS - int(COORDS * p - 5 * (COORDS * p * (1 - p)) ** 0.5)
+
+
+def family_links(rows: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """rows: lead, id, label, bits, text, of leads with at most FAMILY_ROWS rows and FAMILY_BYTES of text. Links a, b
+    between rows of one lead that join different labels, found by full sets; a pair whose labels are joined by then is
+    left out, so a family gives fewer links than it has rows."""
+    most = allowed(num, den)
+
+    def link(table: pa.Table) -> pa.Table:
+        ids, up = table["id"].to_pylist(), {}
+        label = table["label"].to_pylist()
+
+        def root(x):
+            while (y := up.get(x, x)) != x:
+                up[x] = x = up.get(y, y)
+            return x
+
+        bits = np.array(table["bits"].to_pylist(), np.int64).view(np.uint64).reshape(len(ids), -1)
+        held: list = [None] * len(ids)
+        texts = byte_texts(table["text"].combine_chunks())
+
+        def of(i):
+            if held[i] is None:
+                held[i] = shingle_set(texts[i], size)
+            return held[i]
+
+        a, b = [], []
+        for i in range(len(ids) - 1):
+            differ = np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(1)
+            near = np.flatnonzero(differ <= most)
+            for j in (near[np.argsort(differ[near], kind="stable")] + i + 1).tolist():
+                x, y = root(label[i]), root(label[j])
+                if x != y and similar(of(i), of(j), num, den):
+                    up[max(x, y)] = min(x, y)
+                    a.append(min(ids[i], ids[j]))
+                    b.append(max(ids[i], ids[j]))
+        return pa.table({"a": pa.array(a, table.schema.field("id").type), "b": pa.array(b, table.schema.field("id").type)})
+
+    kind = dict(rows.dtypes)["id"]
+    ship(rows.sparkSession)
+    return rows.groupBy("lead").applyInArrow(link, f"a {kind}, b {kind}").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id and label (the least id reachable) of every end of the edges (a, b): least labels of neighbours, then the
     labels' own labels, until nothing changes. Every step is written to the shared folder."""
@@ -199,21 +246,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         tried = star if tried is None else tried.union(star)
         labels = components(edges)
         # what a bucket still holds in different components: all such pairs of a small one, a large one is split
-        at = members.join(labels, "id", "left").select("key", "band", "id", "members", F.coalesce("label", "id").alias("label"))
+        at = members.join(labels, "id", "left").select("key", "band", "id", "lead", "members", F.coalesce("label", "id").alias("label"))
         open_keys = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
         rest = materialise(at.join(open_keys, "key", "left_semi"), "rest")
         few = rest if depth == DEEPEST else rest.filter(F.col("members") <= FEW)
-        few = few.select("key", "id", "label").join(sizes, "id")
+        # families: what the open buckets of one leader hold. One of bounded size is compared within a task
+        family = materialise(few.select("lead", "id", "label").distinct(), "families")
+        bytes_of = texts.select("id", F.octet_length("text").alias("bytes"))
+        fit = family.join(bytes_of, "id").groupBy("lead").agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes")).filter((F.col("rows") <= FAMILY_ROWS) & (F.col("bytes") <= FAMILY_BYTES)).select("lead")
+        together = family.join(fit, "lead", "left_semi").join(sizes, "id").join(texts, "id").select("lead", "id", "label", "bits", "text")
+        near = materialise(family_links(together, size, num, den), "links")
+        few = few.join(fit, "lead", "left_anti").select("key", "id", "label").join(sizes, "id")
         x, y = (few.select("key", F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("label").alias(f"label_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
         apart = (F.col("label_a") < F.col("label_b")) & fits(F.col("n_a"), F.col("n_b")) & likely("bits_a", "bits_b", num, den)
         cross = x.join(y, (x["key"] == y["key"]) & apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         cross = materialise(cross.join(tried, ["a", "b"], "left_anti"), "pairs")
         if not cross.isEmpty():
             tried = tried.union(cross)
-            more = materialise(verified(cross, texts, size, num, den), "links")
-            if not more.isEmpty():
-                edges = edges.union(more)
-                labels = components(edges)
+            near = near.union(materialise(verified(cross, texts, size, num, den), "links"))
+        if not near.isEmpty():
+            edges = edges.union(near)
+            labels = components(edges)
         many = rest.filter(F.col("members") > FEW)
         if depth == DEEPEST or many.isEmpty():
             break

@@ -55,9 +55,10 @@ def corpus(seed, bases=6, copies=14):
     return dict(enumerate(out))
 
 
-@pytest.mark.parametrize("seed,few", [(1, 2000), (2, 3)])
-def test_components_against_brute_force(docs, monkeypatch, seed, few):
+@pytest.mark.parametrize("seed,few,family", [(1, 2000, 4000), (2, 3, 4000), (3, 2000, 5), (4, 3, 5)])
+def test_components_against_brute_force(docs, monkeypatch, seed, few, family):
     monkeypatch.setattr(neardup, "FEW", few)
+    monkeypatch.setattr(neardup, "FAMILY_ROWS", family)
     texts = corpus(seed)
     got = {r["doc_id"]: r for r in neardup.near_duplicates(docs(texts)).collect()}
     label, size = brute_components(texts)
