@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillrank.functions.text import STOPWORDS
 from quillrank.operators import checks, evaluation, factorisation, neural_data, prep, ranking, recommenders, similarity, splits, statistics, weighting
 from quillrank.plans import report
 from quillrank.runtime import table
@@ -192,7 +193,7 @@ def topk_column(spark, sf_dir):
 
 
 @query(r"""WITH t AS (SELECT doc_id AS item_id, unnest(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '[^a-zA-Z0-9]', ' ', 'g'), ' +', ' ', 'g'), ' ')) AS feature FROM documents WHERE lang = 'en')
-SELECT item_id, feature, count(*)::DOUBLE AS value FROM t WHERE feature NOT IN (""" + ", ".join(f"'{w}'" for w in __import__("quillrank.functions.text", fromlist=["STOPWORDS"]).STOPWORDS) + ") GROUP BY ALL")
+SELECT item_id, feature, count(*)::DOUBLE AS value FROM t WHERE feature NOT IN (""" + ", ".join(f"'{w}'" for w in STOPWORDS) + ") GROUP BY ALL")
 def tag_tokens(spark, sf_dir):
     return prep.tokens_of(table(spark, sf_dir, "documents").filter("lang = 'en'"), "doc_id", F.coalesce("text", F.lit("")), distinct=False)
 
