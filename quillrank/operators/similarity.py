@@ -12,12 +12,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 EPS = 1e-6
+#: Weights up to this are what rounding leaves of a zero.
+ZERO = 1e-12
 
 
 def centred(m: DataFrame, by: str) -> DataFrame:
-    """Values minus the mean of their row or column over what is stored."""
+    """Values minus the mean of their row or column over what is stored; what rounding leaves of a zero is 0."""
     mean = m.groupBy(by).agg(F.avg("value").alias("_mean"))
-    return m.join(mean, by).select("row", "col", (F.col("value") - F.col("_mean")).alias("value"))
+    v = F.col("value") - F.col("_mean")
+    return m.join(mean, by).select("row", "col", F.when(F.abs(v) < 1e-9, 0.0).otherwise(v).alias("value"))
 
 
 def pair_dots(m: DataFrame, row_weights: DataFrame | None = None) -> DataFrame:
@@ -41,7 +44,7 @@ def heaviest(w: DataFrame, k: int, n_cols: int | None = None) -> DataFrame:
     """The k heaviest non-zero src of each dst (ties: least src). With n_cols, columns that share no row rank as zeros
     above negative weights, as in a full sort of the column: a negative one survives only within k."""
     order = W.partitionBy("dst").orderBy(F.desc("weight"), "src")
-    w = w.filter("weight <> 0").withColumn("_r", F.row_number().over(order))
+    w = w.filter(F.abs("weight") > ZERO).withColumn("_r", F.row_number().over(order))
     if n_cols is None:
         return w.filter(F.col("_r") <= k).drop("_r")
     held = F.count("*").over(W.partitionBy("dst"))

@@ -320,14 +320,14 @@ def normalise_rows_columns(spark, sf_dir):
 
 def sim_sql(source: str, weight: str, k: int, centre: str = "", binary: bool = False, n_cols: str = "", weights: bool = False) -> str:
     """Pairs of source's items; weight over dot, qd (of dst) and qs (of src)."""
-    value = "1.0::DOUBLE" if binary else f"rating - avg(rating) OVER (PARTITION BY {centre})" if centre else "rating"
+    value = "1.0::DOUBLE" if binary else f"CASE WHEN abs(rating - avg(rating) OVER (PARTITION BY {centre})) < 1e-9 THEN 0 ELSE rating - avg(rating) OVER (PARTITION BY {centre}) END" if centre else "rating"
     dot = "sum(a.v * b.v * (1 + a.user_id % 3))" if weights else "sum(a.v * b.v)"
     order = "weight" if binary else "round(weight, 9)"  # quotients of whole numbers are the same everywhere
     rank = f"CASE WHEN weight > 0 THEN r ELSE r + {n_cols} - h END" if n_cols else "r"
     return f"""WITH {UO}, {UE}, m AS (SELECT user_id, item_id, {value} AS v FROM {source}), q AS (SELECT item_id, sum(v * v) AS q FROM m GROUP BY 1),
 d AS (SELECT a.item_id AS src, b.item_id AS dst, {dot} AS dot FROM m a JOIN m b ON a.user_id = b.user_id AND a.item_id <> b.item_id GROUP BY ALL),
 w AS (SELECT src, dst, {weight} AS weight FROM d JOIN (SELECT item_id AS src, q AS qs FROM q) USING (src) JOIN (SELECT item_id AS dst, q AS qd FROM q) USING (dst)),
-t AS (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY {order} DESC, src) AS r, count(*) OVER (PARTITION BY dst) AS h FROM w WHERE weight <> 0)
+t AS (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY {order} DESC, src) AS r, count(*) OVER (PARTITION BY dst) AS h FROM w WHERE abs(weight) > 1e-12)
 SELECT src, dst, round(weight, 6) AS weight FROM t WHERE {rank} <= {k}"""
 
 
