@@ -70,10 +70,6 @@ def fold(id_col: str, n: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(0)) % n
 
 
-def batch_of(schema: dict[str, pa.DataType], columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.values(), strict=True)], names=list(schema))
-
-
 def keep_rows(df: DataFrame, text_col: str, make_keep) -> DataFrame:
     """The rows of df whose text a predicate keeps, all columns as they are, without a shuffle. make_keep() is called
     once a task and gives a function from a list of texts (null: empty) to a list of booleans."""

@@ -9,10 +9,12 @@ Links: texts of equal shingle sets are one node (found by a 128-bit hash of the
 in each bucket all members are compared with its most central member first (the one that meets most others over its
 buckets: of copies of one text, that text). After a pass over connected components only
 members of one bucket that are still in different components remain, so a group of copies costs its size, not its
-square. A bucket of up to FEW members then has its remaining pairs compared. A larger one holds texts that share a
-frequent passage but little else: it is split by each later band, and its members are compared where they agree in a
-further band, and so on, DEEPEST bands at most, where all that is left is compared. No bucket is capped or sampled.
-Before texts are fetched, a pair must agree in nearly as many sketch bits as the threshold implies. Texts decide every
+square. What the open buckets of one leader hold is a family; one of up to FAMILY_ROWS rows and FAMILY_BYTES of text is
+compared within a task, where a pair whose components have met by then is left out. Of larger families a bucket of up to
+FEW members has its remaining pairs compared by a join; a larger bucket holds texts that share a frequent passage but
+little else: it is split by each later band, and so on, DEEPEST bands at most, where all that is left is compared. No
+bucket is capped or sampled. Before texts are compared, a pair must agree in nearly as many sketch bits as the threshold
+implies. Texts decide every
 pair: full sets, integers only. A pair of similarity 0.75 agrees in 15 of 84 bands on average; it is missed if it agrees
 in none (1e-7), if its bits deviate by five standard deviations (3e-7), or within buckets of more than FEW members in
 fewer than two or three bands (2e-5).
