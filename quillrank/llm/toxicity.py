@@ -7,7 +7,7 @@ the classes weighted evenly. Words are also trained in altered spellings, so mis
 
 Since the softmax is linear in the mean, a word's share of the class difference is one number: scoring looks words up
 and takes sliding sums. Training uses a bounded sample of labelled rows (SAMPLE_ROWS of each label, texts of up to
-SAMPLE_TEXT_BYTES, chosen by hash); every text is scored whole.
+SAMPLE_TEXT_BYTES, chosen by hash); every text is scored whole, a run of more than LONGEST characters in overlapping parts as its words.
 
 Nulls: a null text is empty; an empty text scores as the training texts' share of positives would have it (a neutral
 low score). Rows with a null label teach nothing. Without any positive or negative example all scores are 0.
@@ -34,13 +34,25 @@ CACHE_ITEMS = 150_000
 LOOKALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 _find = re.compile(r"[^\W_]+(?:[@$!'*]+[^\W_]+)*").findall
 _runs = re.compile(r"(.)\1{2,}").sub
-#: Characters of a word that its n-grams come from, and the base of the rolling hash.
-LONGEST, P = 80, np.uint64(0x100000001B3)
+#: Characters of a word at most; a longer run is scored in parts of PART characters, one every STEP. The base of the
+#: rolling hash.
+LONGEST, PART, STEP, P = 80, 20, 10, np.uint64(0x100000001B3)
 
 
 def tokens(text: str) -> list[str]:
-    """Words of a text in lower case; signs inside a word stay, those around it go."""
-    return _find(text.lower())
+    """Words of a text in lower case; signs inside a word stay, those around it go. A longer run than LONGEST gives its
+    overlapping parts as words."""
+    found = _find(text.lower())
+    if max(map(len, found), default=0) <= LONGEST:
+        return found
+    return [x for w in found for x in (parts(w) if len(w) > LONGEST else (w,))]
+
+
+def parts(word: str) -> list[str]:
+    """The word as spelt for its n-grams, whole or in parts that hold each of its characters; every n-gram, and every
+    stretch of PART - STEP characters, is in one part."""
+    word = spelt(word)
+    return [word] if len(word) <= LONGEST else [word[i : i + PART] for i in range(0, len(word) - PART + STEP, STEP)]
 
 
 def normal(word: str) -> str:
@@ -50,16 +62,21 @@ def normal(word: str) -> str:
     return "".join(c for c in word if c.isalnum())
 
 
+def spelt(word: str) -> str:
+    """The characters that a word's n-grams come from: runs of a character count as two at most."""
+    return _runs(r"\1\1", word if word.isalpha() else normal(word))
+
+
 def gram_ids(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the n-grams of each <word> and of the word itself, and the word's number for each; grouped by word.
-    Runs of a character count as two at most, and a word's first LONGEST characters count."""
-    text = "><".join(_runs(r"\1\1", w if w.isalpha() else normal(w))[:LONGEST] for w in names)
+    """Buckets of the n-grams of each <word> and of the word itself, and the word's number for each; grouped by word."""
+    text = "><".join(map(spelt, names))
     c = np.frombuffer(f"<{text}>".encode("utf-32-le"), np.uint32).astype(np.uint64)
     starts = np.flatnonzero(c == ord("<"))
     word = np.cumsum(c == ord("<")) - 1
     with np.errstate(over="ignore"):
-        power = np.cumprod(np.full(LONGEST + 2, P, np.uint64))
-        ids = [np.add.reduceat(c * power[np.arange(len(c)) - starts[word]], starts)]
+        place = np.arange(len(c)) - starts[word]
+        power = np.cumprod(np.full(place.max() + 1, P, np.uint64))
+        ids = [np.add.reduceat(c * power[place], starts)]
         of = [np.arange(len(starts))]
         for n in NGRAMS:
             if len(c) < n:

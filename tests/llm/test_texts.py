@@ -203,3 +203,17 @@ def test_toxicity_of_odd_inputs(spark, docs):
         assert len(got) == len(ODD) and got["score"].between(0, 1).all()
         assert toxicity.without_toxic(df, "text", m).columns == df.columns
     assert toxicity.score(docs([]), "doc_id", "text", m).count() == 0
+
+
+def test_toxicity_of_unspaced_runs():
+    rng = random.Random(6)
+    clean = [" ".join("".join(rng.choice(["th", "er", "an", "on", "re", "in"]) for _ in range(3)) for _ in range(40)) for _ in range(300)]
+    bad = [" ".join(t.split()[:20] + [rng.choice(["idiot", "moron", "stupid"])] + t.split()[20:]) for t in clean[:150]]
+    m = toxicity.train(clean[150:] + bad, [0] * 150 + [1] * 150)
+    joined = "".join(clean[0].split())
+    scores = m.scores([joined, joined + "stupididiotmoron" * 3, joined + "stupididiotmoron" * 3 + joined])
+    assert scores[0] < 0.5 < min(scores[1:])
+    run = "".join(chr(0x4E00 + i) for i in range(999))
+    grams = lambda words: {w[i : i + n] for w in words for n in toxicity.NGRAMS for i in range(len(w) - n + 1)}
+    assert grams(toxicity.tokens(run)) == grams([run]) and max(map(len, toxicity.tokens(run))) <= toxicity.LONGEST
+    assert toxicity.tokens("x" * 500 + " " + "ab" * 40) == ["xx", "ab" * 40]
