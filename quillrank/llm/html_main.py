@@ -39,7 +39,9 @@ SCOPE = frozenset("table td th ul ol dl article section main div body html aside
 TAGS = "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dd dt table tr td blockquote pre figure figcaption header footer nav aside form button label textarea fieldset a span b strong em i small address details dialog menu".split()
 TAG_AT = {t: i for i, t in enumerate(TAGS)}
 
-_tag = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]{0,20000}+\"|'[^']{0,20000}+')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[!?/][^>]*>|[a-zA-Z!/][^<>]*\Z)", re.S)
+_tag = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/>]*)[^>\"']*+|[!?/][^>]*>)", re.S)
+_cut = re.compile(r"<(?:!--.*\Z|[a-zA-Z!/][^<>]*\Z)", re.S)  # after the last ">"
+_stop = re.compile(r"[>\"']")
 _attr = re.compile(r"(?:^|\s)(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _token = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -52,24 +54,45 @@ class Page:
     segments: list[tuple[int, int, str]]  # block, element, raw text
 
 
+def tag_end(source: str, at: int, dead: set[int]) -> int:
+    """Where the tag that goes on at at has its ">": the first outside quoted values of any length; if there is none, or a
+    quote stays open, the first of all. dead: opening quotes from which no end was found, kept for a page, so that each
+    is followed once and a page takes linear time."""
+    x, tried = at, []
+    while m := _stop.search(source, x):
+        k = m.start()
+        if source[k] == ">":
+            return k
+        if k in dead:
+            break
+        tried.append(k)
+        x = source.find(source[k], k + 1) + 1
+        if not x:
+            break
+    dead.update(tried)
+    return source.find(">", at)
+
+
 def parse(source: str) -> Page:
     """Elements in document order (0 is a root above all) and their texts."""
     tags, parents, attrs, segments = ["#root"], [-1], [""], []
     stack, block, at, silent = [0], 0, 0, 0
-    find = _tag.search
+    last, dead = source.rfind(">"), set()
     while True:
-        m = find(source, at)
+        m = _tag.search(source, at) if at <= last else None
+        if m is None or m.start() > last:
+            m = _cut.search(source, max(at, last + 1))
         stop = m.start() if m else len(source)
         if stop > at and not silent:
             segments.append((block, stack[-1], source[at:stop]))
         if m is None:
             break
         at = m.end()
-        name = m[2] or m[5]
-        if name is None:
+        if m.re is _cut or m[2] is None:
             continue
-        name = name.lower()
-        if m[1] or m[4]:
+        name, stop = m[2].lower(), tag_end(source, at, dead)
+        at = stop + 1
+        if m[1]:
             if name == "br" and not silent:
                 segments.append((block, stack[-1], " "))
                 continue
@@ -109,7 +132,7 @@ def parse(source: str) -> Page:
             block += 1
         if name in VOID:
             continue
-        rest = m[3] if m[2] else m[6]
+        rest = source[m.end(2) : stop]
         if rest.endswith("/") and name in ("svg", "path", "use"):
             continue
         tags.append(name)
@@ -127,8 +150,12 @@ def parse(source: str) -> Page:
     return Page(tags, parents, attrs, segments)
 
 
-@lru_cache(maxsize=20_000)
 def attr_tokens(rest: str) -> frozenset[str]:
+    return short_tokens(rest) if len(rest) <= 2000 else short_tokens.__wrapped__(rest)  # long ones aren't kept
+
+
+@lru_cache(maxsize=20_000)
+def short_tokens(rest: str) -> frozenset[str]:
     return frozenset(t.lower() for m in _attr.finditer(rest) for t in _token.findall(m[2] or m[3] or m[4] or ""))
 
 

@@ -264,6 +264,16 @@ def test_odd_pages(spark, model):
     assert html_main.extract(df.filter("false"), "page_id", "url", "html", model).count() == 0
 
 
+def test_quoted_values_of_any_length(model):
+    value = "A" * 50_000 + " a > b <p class='x'>no</p> tail"
+    p = html_main.parse(f'<html><body><div data-state="{value}" class="main"><p>REAL</p></div></body></html>')
+    assert p.tags == ["#root", "html", "body", "div", "p"] and [t for _, _, t in p.segments] == ["REAL"]
+    assert html_main.attr_tokens(p.attrs[3]) >= {"main"}
+    assert [t for _, _, t in html_main.parse('<p title="open>one</p><p>two</p>').segments] == ["one", "two"]
+    for s in ('<a ">" ', "<a ", "<a '\"", "<!x ", "<a 'x\" >"):
+        html_main.parse("<p>x</p>" + s * 40_000)  # linear, or this takes minutes
+
+
 # --- pipeline
 
 
