@@ -280,8 +280,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
+def keyed_ids(df: DataFrame, id_col: str, text_col: str) -> Column:
+    """Text keys in the order of the ids (whole numbers by value, others as text); after them, rows without an id by a
+    hash of their text."""
+    own = F.col(id_col)
+    if dict(df.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint"):
+        named = F.lpad(F.hex(own.cast("bigint").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    else:
+        named = own.cast("string")
+    return F.when(own.isNotNull(), F.concat(F.lit("0"), named)).otherwise(F.concat(F.lit("1"), F.sha2(F.col(text_col), 256)))
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose document represents its group, all columns as they are; of rows that share an id, one."""
+    """The rows of docs whose document represents its group, all columns as they are; of rows that share an id, one. A row
+    with a null id is a document of its own, which represents its group if none with an id is in it; equal texts are one
+    group, and a blank text has none, so its row stays."""
+    if not docs.filter(F.col(id_col).isNull()).isEmpty():
+        blank = F.col(id_col).isNull() & ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
+        key = "_key"
+        while key in docs.columns:
+            key += "_"
+        rest = docs.filter(~blank)
+        whole = deduplicated(rest.withColumn(key, keyed_ids(rest, id_col, text_col)), key, text_col)
+        return whole.drop(key).union(docs.filter(blank))
     found = near_duplicates(docs, id_col, text_col)
     kept = found.filter("kept").groupBy(id_col).agg(F.count("*").alias("_rows"))
     repeated = not kept.filter("_rows > 1").isEmpty()

@@ -86,6 +86,19 @@ def test_near_duplicates_of_shared_and_missing_ids(spark, docs):
     assert {r["doc_id"] for r in kept.collect()} == set(label.values()) and kept.columns == docs([]).columns
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_rows_without_an_id_are_documents(spark, kind):
+    w = [f"w{i}" for i in range(60)]
+    near = " ".join([*w[:-1], "other"])
+    texts = [(-5, "a b c"), (3, " ".join(w)), (3, " ".join(w)), (None, "a b c"), (None, "A b c"), (None, near), (None, "d e f"), (None, "d e f"), (None, "D e f"), (None, "g h i"), (None, None), (None, " \n"), (None, " \n")]
+    rows = [(None if i is None else i if kind == "long" else str(i), t, 1) for i, t in texts]
+    df = spark.createDataFrame(rows, f"doc_id {kind}, text string, _key int")
+    got = neardup.deduplicated(df)
+    left = [(None if r["doc_id"] is None else int(r["doc_id"]), (r["text"] or "").lower()) for r in got.collect()]
+    assert got.columns == df.columns
+    assert sorted(left, key=str) == sorted([(-5, "a b c"), (3, " ".join(w)), (None, "d e f"), (None, "g h i"), (None, ""), (None, " \n"), (None, " \n")], key=str)
+
+
 # --- decontamination
 
 
