@@ -335,7 +335,7 @@ class Model:
         out, at = [], 0
         for p, x in zip(pages, xs, strict=True):
             own = logit[at : at + len(x)]
-            for i, t in enumerate(p.tags[:8]):
+            for i, t in enumerate(p.tags):
                 if t in ("html", "body"):  # they hold everything
                     own[i] = 30
             out.append(assembled(p, decode(p.parents, own)))

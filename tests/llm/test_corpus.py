@@ -287,6 +287,15 @@ def test_quoted_values_of_any_length(model):
         html_main.parse("<p>x</p>" + s * 40_000)  # linear, or this takes minutes
 
 
+def test_body_holds_everything_after_a_long_head():
+    class Trees:  # all but html and body are main text
+        def logits(self, x):
+            return np.where(np.isin(np.arange(len(x)), (1, 12)), -30.0, 30.0)
+
+    s = "<html><head>" + "<script>x</script>" * 9 + "</head><body><p>TEXT</p></body></html>"
+    assert html_main.parse(s).tags[12] == "body" and html_main.Model(Trees(), {}).extract([s]) == ["TEXT"]
+
+
 # --- pipeline
 
 
