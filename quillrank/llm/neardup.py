@@ -17,7 +17,7 @@ bucket is capped or sampled. Before texts are compared, a pair must agree in nea
 implies. Texts decide every
 pair: full sets, integers only. A pair of similarity 0.75 agrees in 15 of 84 bands on average; it is missed if it agrees
 in none (1e-7), if its bits deviate by five standard deviations (3e-7), or within buckets of more than FEW members in
-fewer than two or three bands (2e-5).
+fewer than DEEPEST bands (of 3: 1e-5, of 4: 8e-5) and no smaller bucket holds it.
 
 Nulls and ties: a null or blank text has an empty set and links with nothing; rows that share a document id are one
 document (its texts' links are joined); a row with a null id has its group's component, or null. Repeated rows come out
