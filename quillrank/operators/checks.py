@@ -12,6 +12,13 @@ def implicit(urm: DataFrame) -> DataFrame:
     return urm.agg((F.min("rating") == 1).alias("a"), (F.max("rating") == 1).alias("b")).select(F.coalesce(F.col("a") & F.col("b"), F.lit(False)).alias("implicit"))
 
 
+def parts(split: DataFrame, names: list[str], col: str = "split", value: str = "rating") -> DataFrame:
+    """A row for each named part: its interactions (an empty part has 0), whether all are 1, and values that aren't finite."""
+    own = split.groupBy(F.col(col).alias("part")).agg(F.count("*").alias("n"), ((F.min(value) == 1) & (F.max(value) == 1)).alias("implicit"), F.count(F.when(F.isnan(value) | F.col(value).isin(float("inf"), float("-inf")) | F.col(value).isNull(), 1)).alias("not_finite"))
+    all_ = split.sparkSession.createDataFrame([(n,) for n in names], "part string")
+    return all_.join(own, "part", "left").select("part", F.coalesce("n", F.lit(0)).alias("n"), "implicit", F.coalesce("not_finite", F.lit(0)).alias("not_finite"))
+
+
 def overlaps(parts: dict[str, DataFrame]) -> DataFrame:
     """Pairs of user and item that stand in several of the parts; empty if they are disjoint."""
     all_ = reduce(DataFrame.union, [p.select("user_id", "item_id").distinct() for p in parts.values()])

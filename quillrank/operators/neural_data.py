@@ -46,7 +46,7 @@ def meta_paths(urm: DataFrame, similar_users: DataFrame, least: float, per_pair:
     shared = urm.select(F.col("user_id").alias("via_user"), F.col("item_id").alias("via_item"))
     last = urm.select(F.col("user_id").alias("via_user"), "item_id")
     p = first.join(near.select(F.col("src").alias("user_id"), F.col("dst").alias("via_user"), "weight"), "user_id").join(shared, ["via_user", "via_item"]).join(last, "via_user").filter("item_id <> via_item")
-    r = F.row_number().over(W.partitionBy("user_id", "item_id").orderBy(F.desc("weight"), "via_user", "via_item"))
+    r = F.row_number().over(W.partitionBy("user_id", "item_id").orderBy(F.desc(F.round("weight", 9)), "via_user", "via_item"))
     return p.withColumn("_r", r).filter(F.col("_r") <= per_pair).select("user_id", "via_item", "via_user", "item_id")
 
 

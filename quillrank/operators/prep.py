@@ -109,12 +109,19 @@ def top_popular(urm: DataFrame, items: DataFrame, share: float = 0.2) -> DataFra
     return pop.orderBy(F.desc("s"), "item_id").limit(int(items.count() * share)).select("item_id")
 
 
+#: Prime steps of a walk over a matrix's cells.
+CELL_STEPS = (1000003, 1000033, 1000037)
+
+
 def zero_samples(urm: DataFrame, n_users: int, n_items: int, wanted: int, seed: int = 42) -> DataFrame:
-    """Up to wanted pairs that the matrix lacks, drawn by hash: user_id, item_id, rating 0."""
-    h = lambda k, m: F.pmod(F.xxhash64(F.col("id"), F.lit(seed + k)), F.lit(m))
-    spark = urm.sparkSession
-    drawn = spark.range(2 * wanted + 100).select(h(0, n_users).alias("user_id"), h(1, n_items).alias("item_id")).distinct()
-    return drawn.join(urm, ["user_id", "item_id"], "left_anti").orderBy(F.xxhash64("user_id", "item_id", F.lit(seed)), "user_id", "item_id").limit(wanted).withColumn("rating", F.lit(0.0))
+    """wanted pairs that the matrix lacks, or all if there are fewer: user_id, item_id, rating 0. They are the first of a
+    walk over all cells by a step coprime to their number, of which wanted plus the filled cells are enough."""
+    cells = n_users * n_items
+    step = next((p for p in CELL_STEPS if cells % p), 1) if cells else 1
+    tries = min(cells, wanted + urm.count())
+    cell = F.pmod(F.col("id") * step + F.lit(seed), F.lit(max(1, cells)))
+    drawn = urm.sparkSession.range(tries).select("id", F.floor(cell / n_items).alias("user_id"), F.pmod(cell, F.lit(n_items)).alias("item_id"))
+    return drawn.join(urm.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti").orderBy("id").limit(wanted).select("user_id", "item_id", F.lit(0.0).alias("rating"))
 
 
 def top_k(df: DataFrame, k: int, by: str, weight: str, tie: str, out: str | None = None) -> DataFrame:

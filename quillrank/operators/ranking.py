@@ -3,14 +3,28 @@
 Lists rank all candidate items by score, then item id. An item without a score counts as 0 and may be recommended. Users
 never meet all items: a user's scored items are few, and the zeros that fill a list up are the least item ids that are
 neither seen nor scored, of which the first N + |seen| + |scored| ids always hold enough.
+
+Factor models score every item: items go to the tasks in blocks of bounded size, a task multiplies some users' factors by a
+block's at a time and only each user's N best of a block leave it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillrank.runtime import materialise, ship
+
+#: Numbers of an item block (8 bytes each) and of the scores that a task holds at once.
+BLOCK_CELLS, SCORE_CELLS = 4_000_000, 4_000_000
+#: Digits by which scores are compared: products may add in another order.
+DIGITS = 9
+
 
 def item_scores(profile: DataFrame, w: DataFrame) -> DataFrame:
     """user_id, item_id, score = sum of rating(user, src) * weight(src, item)."""
@@ -33,6 +47,76 @@ def factor_scores(users: DataFrame, items: DataFrame, candidates: DataFrame, mu:
     return candidates.join(u, "user_id").join(i, "item_id").select("user_id", "item_id", (dot + F.col("bu") + F.col("bi") + mu).alias("score"))
 
 
+def item_blocks(items: DataFrame, width: int, cells: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids in order, factors and biases of one part of the items after another, each of about cells numbers."""
+    held = materialise(items.select("id", "factors", "bias"), "items")
+    n = max(1, -(-held.count() * (width + 2) // cells))
+    for k in range(n):
+        part = held if n == 1 else held.filter(F.pmod(F.xxhash64("id"), F.lit(n)) == k)
+        got = part.toArrow().sort_by("id")
+        if got.num_rows:
+            factors = got["factors"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(got.num_rows, width)
+            yield got["id"].to_numpy(), factors.astype(np.float64), got["bias"].to_numpy().astype(np.float64)
+
+
+def best_of(scores: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the n largest of each row (ties: least column); -inf never counts."""
+    rows, cols = [], []
+    at = scores.shape[1] - n
+    least = np.partition(scores, at, axis=1)[:, at] if at > 0 else np.full(len(scores), -np.inf)
+    for r, (x, low) in enumerate(zip(scores, least, strict=True)):
+        c = np.flatnonzero((x >= low) & (x > -np.inf))
+        if len(c) > n:
+            c = c[np.argsort(-x[c], kind="stable")[:n]]
+        rows.append(np.full(len(c), r))
+        cols.append(c)
+    return np.concatenate(rows), np.concatenate(cols)
+
+
+def top_n_factors(users: DataFrame, items: DataFrame, n: int, seen: DataFrame | None = None, mu: float = 0.0, cells: int = BLOCK_CELLS) -> DataFrame:
+    """user_id, rank, item_id, score: for each of users (id, factors, bias) the n best of items (id, factors, bias) outside
+    seen. Scores are rounded to DIGITS digits. The items' blocks are one pass over the users each; a block's result is
+    written before the next block is sent."""
+    spark = users.sparkSession
+    own = users.select(F.col("id").alias("user_id"), "factors", "bias")
+    if seen is None:
+        rows = own.withColumn("seen", F.lit(None).cast("array<bigint>"))
+    else:
+        lists = seen.groupBy("user_id").agg(F.collect_set(F.col("item_id").cast("bigint")).alias("seen"))
+        rows = own.join(lists, "user_id", "left")
+    first = rows.select(F.size("factors").alias("k")).first()
+    if first is None:
+        return own.limit(0).select("user_id", F.lit(1).alias("rank"), F.col("user_id").alias("item_id"), F.lit(0.0).alias("score"))
+    rows, out = materialise(rows, "profiles"), None
+    kind = dict(rows.dtypes)["user_id"]
+    ship(spark)
+    for block in item_blocks(items, first["k"], cells):
+        held = spark.sparkContext.broadcast(block)
+
+        def run(batches, held=held, width=first["k"]):
+            ids, v, bias = held.value
+            step = max(1, SCORE_CELLS // len(ids))
+            for batch in batches:
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    u = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, width)
+                    s = np.round(u @ v.T + part.column(2).to_numpy(zero_copy_only=False)[:, None] + bias + mu, DIGITS)
+                    gone = part.column(3).fill_null([]) if part.column(3).null_count else part.column(3)
+                    items_seen = gone.flatten().to_numpy(zero_copy_only=False)
+                    if len(items_seen):
+                        r = np.repeat(np.arange(part.num_rows), gone.value_lengths().to_numpy(zero_copy_only=False))
+                        c = np.minimum(np.searchsorted(ids, items_seen), len(ids) - 1)
+                        hit = ids[c] == items_seen
+                        s[r[hit], c[hit]] = -np.inf
+                    r, c = best_of(s, n)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(r)), pa.array(ids[c], pa.int64()), pa.array(s[r, c])], names=["user_id", "item_id", "score"])
+
+        found = materialise(rows.mapInArrow(run, f"user_id {kind}, item_id bigint, score double"), "lists")
+        held.destroy()
+        out = found if out is None else out.union(found)
+    return ranked(out, n) if out is not None else ranked(own.limit(0).select("user_id", F.col("user_id").alias("item_id"), F.lit(0.0).alias("score")), n)
+
+
 def top_n(scores: DataFrame, seen: DataFrame | None, users: DataFrame, n_items: int, n: int, ignore: DataFrame | None = None, only: DataFrame | None = None, fill: bool = True) -> DataFrame:
     """user_id, rank, item_id, score for each of users. Item ids are 0..n_items-1. seen: pairs to leave out; ignore:
     items to leave out; only: candidate pairs. Lists may be shorter than n."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.operators import prep, similarity, weighting
+from quillrank.operators import prep, similarity, splits, weighting
 
 
 def top_pop(urm: DataFrame, items: DataFrame) -> DataFrame:
@@ -22,13 +22,10 @@ def global_effects(urm: DataFrame, lambda_item: float = 25.0, lambda_user: float
     return mu, item, user
 
 
-def random_scores(users: DataFrame, items: DataFrame, candidates_per_user: int, seed: int = 42) -> DataFrame:
-    """user_id, item_id, score: candidates_per_user items at a user's own offset, uniform scores by hash. Only for
-    baselines: the rest of the items would rank the same in distribution."""
-    n = items.count()
-    walk = users.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(min(n, candidates_per_user) - 1))).alias("j"))
-    item = F.pmod(F.xxhash64("user_id", F.lit(seed)) + F.col("j"), F.lit(n))
-    return walk.select("user_id", item.alias("item_id")).withColumn("score", F.pmod(F.xxhash64("user_id", "item_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30))
+def random_lists(seen: DataFrame, users: DataFrame, n_items: int, n: int, seed: int = 42) -> DataFrame:
+    """user_id, rank, item_id: each user's first n unseen items in an order of the whole catalogue that is the user's own,
+    as scores drawn for every pair would give, but without every pair."""
+    return splits.walked(seen, users, n_items, n, seed).select("user_id", "rank", "item_id")
 
 
 def _by_item(urm: DataFrame) -> DataFrame:

@@ -40,10 +40,12 @@ def mirrored(pairs: DataFrame, weight, **extra) -> DataFrame:
     return pairs.select(both.alias("p")).select("p.*")
 
 
-def heaviest(w: DataFrame, k: int, n_cols: int | None = None) -> DataFrame:
-    """The k heaviest non-zero src of each dst (ties: least src). With n_cols, columns that share no row rank as zeros
+def heaviest(w: DataFrame, k: int | None, n_cols: int | None = None) -> DataFrame:
+    """The k heaviest non-zero src of each dst (ties: least src), or all. With n_cols, columns that share no row rank as zeros
     above negative weights, as in a full sort of the column: a negative one survives only within k."""
     order = W.partitionBy("dst").orderBy(F.desc("weight"), "src")
+    if k is None:
+        return w.filter(F.abs("weight") > ZERO)
     w = w.filter(F.abs("weight") > ZERO).withColumn("_r", F.row_number().over(order))
     if n_cols is None:
         return w.filter(F.col("_r") <= k).drop("_r")
@@ -52,7 +54,7 @@ def heaviest(w: DataFrame, k: int, n_cols: int | None = None) -> DataFrame:
     return w.withColumn("_held", held).filter(place <= k).drop("_r", "_held")
 
 
-def similarity(m: DataFrame, kind: str = "cosine", k: int = 50, shrink: float = 0.0, normalise: bool = True, alpha: float = 0.5, beta: float = 1.0, row_weights: DataFrame | None = None, n_cols: int | None = None, start_col: int | None = None, end_col: int | None = None) -> DataFrame:
+def similarity(m: DataFrame, kind: str = "cosine", k: int | None = 50, shrink: float = 0.0, normalise: bool = True, alpha: float = 0.5, beta: float = 1.0, row_weights: DataFrame | None = None, n_cols: int | None = None, start_col: int | None = None, end_col: int | None = None) -> DataFrame:
     """kind: cosine, asymmetric, adjusted (rows centred), pearson (columns centred), jaccard, tanimoto, dice, tversky."""
     if kind == "adjusted":
         m = centred(m, "row")

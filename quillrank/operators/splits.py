@@ -8,6 +8,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PRIME, SPAN = 7919, 104729
+#: Primes; a walk over a catalogue goes by those that don't divide its size.
+STEPS = (10007, 20011, 30011, 40009, 50021, 60013, 70001, 80021)
 
 
 def key(user: Column, item: Column, seed: int = 0) -> Column:
@@ -113,24 +115,39 @@ def user_disjoint(urm: DataFrame, least: int, held_share: float, hidden_share: f
     return train.withColumn("part", F.lit(None).cast("string")).unionByName(r.withColumn("part", part).drop("_r", "_n"))
 
 
-def negatives(urm: DataFrame, users: DataFrame, n_items: int, n: int, seed: int = 0) -> DataFrame:
-    """Up to n items that a user has no interaction with, for each user: user_id, item_id. Candidates walk the items from
-    a start and by a step of the user's own; n plus the profile's size of them are enough, so no user meets all items."""
+def walked(urm: DataFrame, users: DataFrame, n_items: int, n: int, seed: int = 0) -> DataFrame:
+    """user_id, item_id, rank 1..n: the first n unseen items of each user's walk over the whole catalogue, from a start and
+    by a step of the user's own that is coprime to the catalogue's size, so that a walk meets every item once. n plus the
+    profile's size of its items are enough, so no user meets all items."""
     sizes = users.select("user_id").distinct().join(urm.groupBy("user_id").agg(F.count("*").alias("_n")), "user_id", "left")
     tries = F.least(F.lit(n_items), F.lit(n) + F.coalesce("_n", F.lit(0)))
-    walk = sizes.select("user_id", F.posexplode(F.sequence(F.lit(0), tries - 1)).alias("_at", "_j"))
-    item = F.pmod(F.col("user_id") * PRIME + F.lit(seed * 31) + F.col("_j"), F.lit(n_items))
+    walk = sizes.filter(F.lit(n_items > 0)).select("user_id", F.explode(F.sequence(F.lit(0), tries - 1)).alias("_at"))
+    steps = [p for p in STEPS if n_items and n_items % p]
+    step = F.element_at(F.array(*map(F.lit, steps or [1])), (F.pmod(F.col("user_id"), F.lit(max(1, len(steps)))) + 1).cast("int"))
+    item = F.pmod(F.col("user_id") * PRIME + F.lit(seed * 31) + F.col("_at").cast("bigint") * step, F.lit(n_items))
     left = walk.select("user_id", "_at", item.alias("item_id")).join(urm.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-    return left.withColumn("_r", F.row_number().over(W.partitionBy("user_id").orderBy("_at"))).filter(F.col("_r") <= n).select("user_id", "item_id")
+    return left.withColumn("rank", F.row_number().over(W.partitionBy("user_id").orderBy("_at"))).filter(F.col("rank") <= n).select("user_id", "item_id", "rank")
+
+
+def negatives(urm: DataFrame, users: DataFrame, n_items: int, n: int, seed: int = 0) -> DataFrame:
+    """Up to n items that a user has no interaction with, for each user: user_id, item_id."""
+    return walked(urm, users, n_items, n, seed).drop("rank")
 
 
 def with_negatives(split: DataFrame, n_items: int, per_positive: int, seed: int = 0) -> DataFrame:
     """Negatives of the users with test interactions, per_positive for each of them: user_id, item_id."""
     wanted = split.filter("split = 'test'").groupBy("user_id").agg((F.count("*") * per_positive).alias("_want"))
     most = wanted.agg(F.max("_want").alias("m")).first()["m"] or 0
-    got = negatives(split, wanted, n_items, most, seed).join(wanted, "user_id")
-    at = F.pmod(F.col("item_id") - F.col("user_id") * PRIME - seed * 31, F.lit(n_items))
-    return got.withColumn("_r", F.row_number().over(W.partitionBy("user_id").orderBy(at))).filter(F.col("_r") <= F.col("_want")).select("user_id", "item_id")
+    return walked(split, wanted, n_items, most, seed).join(wanted, "user_id").filter(F.col("rank") <= F.col("_want")).select("user_id", "item_id")
+
+
+def two_level(urm: DataFrame, train_share: float = 0.8, kept_share: float = 0.9, seed: int = 0) -> DataFrame:
+    """User-wise train_share to train, the rest to test; of train, user-wise again, kept_share stays and the rest is
+    validation."""
+    first = user_percentage(urm, train_share, seed)
+    second = user_percentage(first.filter("split = 'train'").drop("split"), kept_share, seed + 1)
+    second = second.withColumn("split", F.when(F.col("split") == "test", "validation").otherwise(F.col("split")))
+    return second.unionByName(first.filter("split = 'test'"))
 
 
 def drop_overlap(neg: DataFrame, pos: DataFrame) -> DataFrame:

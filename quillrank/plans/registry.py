@@ -3,6 +3,7 @@ engines add in different orders; rankings break ties by item id."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from quillrank.functions.text import STOPWORDS
 from quillrank.operators import checks, evaluation, factorisation, neural_data, prep, ranking, recommenders, similarity, splits, statistics, weighting
 from quillrank.plans import report
-from quillrank.runtime import table
+from quillrank.runtime import materialise, shared_dir, table
 from quillrank.sources import readers, tables
 from quillrank.streaming import ingest
 
@@ -182,7 +183,9 @@ def remove_top_pop(spark, sf_dir):
     return prep.remove_ids(urm, prep.top_popular(urm, tables.items(spark, sf_dir)), "item_id").select("user_id", "item_id", "rating")
 
 
-@query()
+@query(f"""WITH {UO}, n AS (SELECT (SELECT count(*) FROM customer) AS u, (SELECT count(*) FROM part) AS i, (SELECT count(*) FROM uo) AS k), s AS (SELECT list_filter([{", ".join(map(str, prep.CELL_STEPS))}], lambda p: (u * i) % p <> 0)[1] AS step FROM n),
+c AS (SELECT t, (t * step + 42) % (u * i) AS cell, i FROM n, s, (SELECT unnest(range((SELECT least(u * i, k + 1000) FROM n))) AS t)), p AS (SELECT t, cell // i AS user_id, cell % i AS item_id FROM c)
+SELECT user_id, item_id, 0.0::DOUBLE AS rating FROM (SELECT *, row_number() OVER (ORDER BY t) AS r FROM p WHERE NOT EXISTS (SELECT 1 FROM uo WHERE uo.user_id = p.user_id AND uo.item_id = p.item_id)) WHERE r <= 1000""")
 def zero_samples(spark, sf_dir):
     return prep.zero_samples(tables.urm_orders(spark, sf_dir), table(spark, sf_dir, "customer").count(), table(spark, sf_dir, "part").count(), 1000)
 
@@ -192,10 +195,10 @@ def topk_column(spark, sf_dir):
     return prep.top_k(tables.urm_orders(spark, sf_dir), 5, "item_id", "rating", "user_id").select("item_id", "user_id", "rating")
 
 
-@query(r"""WITH t AS (SELECT doc_id AS item_id, unnest(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '[^a-zA-Z0-9]', ' ', 'g'), ' +', ' ', 'g'), ' ')) AS feature FROM documents WHERE lang = 'en')
+@query(r"""WITH t AS (SELECT doc_id AS item_id, unnest(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '[^a-zA-Z0-9]', ' ', 'g'), ' +', ' ', 'g'), ' ')) AS feature FROM documents)
 SELECT item_id, feature, count(*)::DOUBLE AS value FROM t WHERE feature NOT IN (""" + ", ".join(f"'{w}'" for w in STOPWORDS) + ") GROUP BY ALL")
 def tag_tokens(spark, sf_dir):
-    return prep.tokens_of(table(spark, sf_dir, "documents").filter("lang = 'en'"), "doc_id", F.coalesce("text", F.lit("")), distinct=False)
+    return prep.tokens_of(table(spark, sf_dir, "documents"), "doc_id", F.coalesce("text", F.lit("")), distinct=False)
 
 
 @query(f"WITH {UCM} SELECT feature, count(*) AS n FROM ucm GROUP BY feature")
@@ -203,6 +206,61 @@ def ucm_one_hot(spark, sf_dir):
     return tables.ucm_customer(spark, sf_dir).groupBy("feature").agg(F.count("*").alias("n"))
 
 
+# --- readers: a table is written as lines and read back ----------------------------------------------------------------
+
+
+def _lines(spark, df: DataFrame, **how) -> str:
+    path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    df.write.options(**how).text(path)
+    return path
+
+
+@query("SELECT o_custkey::VARCHAR AS user_id, l_partkey::VARCHAR AS item_id, sum(l_quantity) AS rating FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity <> 0 GROUP BY ALL")
+def read_delimited(spark, sf_dir):
+    path = _lines(spark, _pairs(spark, sf_dir).select(F.concat_ws("::", "user_id", "item_id", "rating", F.unix_timestamp("ts"))))
+    return readers.read_interactions(spark, readers.spec("movielens_1m", path, repeats="sum")).select("user_id", "item_id", "rating")
+
+
+@query(f"WITH {UE} SELECT user_id::VARCHAR AS user_id, item_id::VARCHAR AS item_id, rating FROM ue WHERE item_id IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+def read_known_items_gzip(spark, sf_dir):
+    path = _lines(spark, tables.urm_events(spark, sf_dir).select(F.concat_ws("\t", "user_id", "item_id", "rating")), compression="gzip")
+    known = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").cast("string").alias("item_id"))
+    logs = readers.read_interactions(spark, readers.ReaderSpec(path, ("user_id", "item_id", "rating"), "\t"))
+    return readers.read_known_items(logs, known).select("user_id", "item_id", "rating")
+
+
+@query("SELECT DISTINCT p_partkey AS item_id, unnest(string_split(p_name, ' ')) AS feature, 1.0::DOUBLE AS value FROM part")
+def read_genres(spark, sf_dir):
+    return readers.token_features(table(spark, sf_dir, "part"), "p_partkey", "p_name", " ")
+
+
+@query("SELECT p_partkey::VARCHAR AS item_id, concat_ws(' ', p_name, p_brand, p_type || ' ' || p_size, '') AS text FROM part")
+def read_json_metadata(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    own = F.struct(F.col("p_partkey").cast("string").alias("asin"), F.col("p_name").alias("title"), F.col("p_brand").alias("brand"), F.array(F.array("p_type", F.col("p_size").cast("string"))).alias("categories"))
+    return readers.read_json_metadata(spark, _lines(spark, part.select(F.to_json(own))))
+
+
+@query("SELECT source AS user_id, doc_id::VARCHAR AS item_id, n_chars::DOUBLE AS rating, coalesce(text, '') || ' ' || coalesce(lang, '') AS text FROM documents")
+def read_json_reviews(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    own = F.struct(F.col("source").alias("reviewerID"), F.col("doc_id").cast("string").alias("asin"), F.col("n_chars").cast("double").alias("overall"), F.col("text").alias("reviewText"), F.col("lang").alias("summary"))
+    return readers.read_json_reviews(spark, _lines(spark, d.select(F.to_json(own)))).drop("ts")
+
+
+@query(f"WITH {UO} SELECT user_id::VARCHAR AS user_id, item_id::VARCHAR AS item_id, 1.0::DOUBLE AS rating FROM uo WHERE rating >= 25")
+def read_labelled_pairs(spark, sf_dir):
+    label = F.when(F.col("rating") >= 25, "1").otherwise("-1")
+    return readers.read_labelled_pairs(spark, _lines(spark, tables.urm_orders(spark, sf_dir).select(F.concat(label, F.lit(" "), "user_id", F.lit(":1 "), "item_id", F.lit(":1 9:0.5")))))
+
+
+@query(f"WITH {UO} SELECT user_id::VARCHAR AS user_id, item_id::VARCHAR AS item_id, rating, epoch(date_trunc('day', ts))::DOUBLE AS ts FROM uo")
+def read_blocks(spark, sf_dir):
+    line = F.concat_ws(",", "user_id", "rating", F.date_format("ts", "yyyy-MM-dd"))
+    blocks = tables.urm_orders(spark, sf_dir).groupBy("item_id").agg(F.concat_ws("\n", F.collect_list(line)).alias("lines"))
+    return readers.read_blocks(spark, _lines(spark, blocks.select(F.concat("item_id", F.lit(":\n"), "lines"))))
+
+
 # --- splits -----------------------------------------------------------------------------------------------------------
 
 
@@ -259,7 +317,17 @@ def split_repeats(spark, sf_dir):
     return splits.repeats(tables.urm_orders(spark, sf_dir), 3).select("user_id", "item_id", "split", "fold")
 
 
-NEGATIVES = """neg AS (SELECT user_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY pos) AS r FROM (SELECT c_custkey AS user_id, j AS pos, (c_custkey * 7919 + j) % n.n AS item_id FROM customer, (SELECT count(*) AS n FROM part) n, (SELECT unnest(range((SELECT least(count(*), 220) FROM part))) AS j)) c WHERE NOT EXISTS (SELECT 1 FROM uo WHERE uo.user_id = c.user_id AND uo.item_id = c.item_id)) WHERE r <= 100)"""
+
+
+def walk_sql(name: str, users: str, seen: str, n: int | str, seed: int = 0) -> str:
+    """CTE name (user_id, item_id, rank): the first n items outside seen of each user's walk over the catalogue."""
+    steps = ", ".join(map(str, splits.STEPS))
+    return f"""{name} AS (WITH z AS (SELECT n, list_filter([{steps}], lambda p: n % p <> 0) AS steps FROM (SELECT count(*) AS n FROM part)), own AS ({users}), most AS (SELECT max(k) AS k FROM (SELECT count(*) AS k FROM {seen} GROUP BY user_id)),
+v AS (SELECT user_id, j AS pos, (user_id * 7919 + {seed * 31} + j * steps[1 + user_id % len(steps)]) % n AS item_id FROM own, z, (SELECT unnest(range((SELECT least(n, k + ({n})) FROM z, most))) AS j)),
+f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY pos) AS rank FROM v WHERE NOT EXISTS (SELECT 1 FROM {seen} s WHERE s.user_id = v.user_id AND s.item_id = v.item_id)) SELECT user_id, item_id, rank FROM f WHERE rank <= ({n}))"""
+
+
+NEGATIVES = walk_sql("neg", "SELECT c_custkey AS user_id FROM customer", "uo", 100)
 
 
 @query(f"WITH {UO}, {NEGATIVES} SELECT user_id, item_id FROM neg")
@@ -267,9 +335,40 @@ def negatives_hash(spark, sf_dir):
     return splits.negatives(tables.urm_orders(spark, sf_dir), tables.users(spark, sf_dir), table(spark, sf_dir, "part").count(), 100)
 
 
-@query(f"""WITH {UO}, {SPLIT}, want AS (SELECT user_id, 5 * count(*) AS w FROM sp WHERE split = 'test' GROUP BY 1),
-c AS (SELECT user_id, w, j AS pos, (user_id * 7919 + j) % n.n AS item_id FROM want, (SELECT count(*) AS n FROM part) n, (SELECT unnest(range((SELECT least(count(*), 200) FROM part))) AS j))
-SELECT user_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY pos) AS r FROM c WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.user_id = c.user_id AND sp.item_id = c.item_id)) WHERE r <= w""")
+@query(f"""WITH {UO}, a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {key_sql()}, item_id) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM uo),
+b AS (SELECT *, r <= (CASE WHEN round_even(n * 0.8, 0) = n AND n > 1 THEN n - 1 ELSE round_even(n * 0.8, 0) END) AS tr FROM a),
+c AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY {key_sql(1)}, item_id) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM b WHERE tr)
+SELECT user_id, item_id, CASE WHEN r <= (CASE WHEN round_even(n * 0.9, 0) = n AND n > 1 THEN n - 1 ELSE round_even(n * 0.9, 0) END) THEN 'train' ELSE 'validation' END AS split FROM c UNION ALL SELECT user_id, item_id, 'test' FROM b WHERE NOT tr""")
+def split_two_level(spark, sf_dir):
+    return splits.two_level(tables.urm_orders(spark, sf_dir)).select("user_id", "item_id", "split")
+
+
+@query(f"""WITH {UO}, {SPLIT}, {TRAIN}, {walk_sql("f", "SELECT DISTINCT user_id FROM test", "train", 50)} SELECT user_id, item_id FROM f WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.user_id = f.user_id AND sp.item_id = f.item_id AND split <> 'train')""")
+def negatives_without_overlap(spark, sf_dir):
+    train, _, users, _, n_items = _setting(spark, sf_dir)
+    held = splits.timestamp(tables.urm_orders(spark, sf_dir)).filter("split <> 'train'")
+    return splits.drop_overlap(splits.negatives(train, users, n_items, 50), held)
+
+
+@query(f"WITH {UO}, {SPLIT}, {TRAIN} SELECT user_id, item_id FROM test WHERE item_id IN (SELECT item_id FROM train)")
+def warm_test_items(spark, sf_dir):
+    train, test, _, _, _ = _setting(spark, sf_dir)
+    return checks.without_cold_test_items(test, train).select("user_id", "item_id")
+
+
+@query(f"WITH {UO}, {SPLIT} SELECT split AS part, count(*) AS n, min(rating) = 1 AND max(rating) = 1 AS implicit, count(*) FILTER (NOT isfinite(rating) OR rating IS NULL) AS not_finite FROM sp GROUP BY 1")
+def split_checks(spark, sf_dir):
+    return checks.parts(splits.timestamp(tables.urm_orders(spark, sf_dir)), ["train", "validation", "test"])
+
+
+@query(f"""WITH {UO}, {walk_sql("f", "SELECT DISTINCT user_id FROM uo", "uo", "SELECT max(k) FROM (SELECT count(*) AS k FROM uo GROUP BY user_id)")}, p AS (SELECT user_id, item_id AS positive, row_number() OVER (PARTITION BY user_id ORDER BY item_id) AS r, count(*) OVER (PARTITION BY user_id) AS n FROM uo),
+g AS (SELECT f.user_id, f.item_id AS negative, row_number() OVER (PARTITION BY f.user_id ORDER BY f.item_id) AS r FROM f JOIN (SELECT user_id, count(*) AS n FROM uo GROUP BY 1) c ON c.user_id = f.user_id AND rank <= n) SELECT user_id, positive, negative FROM p JOIN g USING (user_id, r)""")
+def pairwise_samples(spark, sf_dir):
+    return neural_data.pairwise_samples(tables.urm_orders(spark, sf_dir), table(spark, sf_dir, "part").count())
+
+
+@query(f"""WITH {UO}, {SPLIT}, want AS (SELECT user_id, 5 * count(*) AS w FROM sp WHERE split = 'test' GROUP BY 1), {walk_sql("f", "SELECT user_id FROM want", "sp", "SELECT max(w) FROM want")}
+SELECT user_id, item_id FROM f JOIN want USING (user_id) WHERE rank <= w""")
 def negatives_per_positive(spark, sf_dir):
     return splits.with_negatives(splits.timestamp(tables.urm_orders(spark, sf_dir)), table(spark, sf_dir, "part").count(), 5)
 
@@ -377,14 +476,14 @@ def sim_euclid_lin(spark, sf_dir):
 
 
 def _setting(spark, sf_dir):
-    s = splits.timestamp(tables.urm_orders(spark, sf_dir))
+    s = materialise(splits.timestamp(tables.urm_orders(spark, sf_dir)), "split")  # read by several branches of a plan
     train = s.filter("split = 'train'").select("user_id", "item_id", "rating")
     test = s.filter("split = 'test'").select("user_id", "item_id", F.lit(1.0).alias("rating"))
     return train, test, evaluation.eligible(test), tables.items(spark, sf_dir), table(spark, sf_dir, "part").count()
 
 
-def _recommended(spark, sf_dir, scores, profile=None, n=10):
-    train, _, users, _, n_items = _setting(spark, sf_dir)
+def _recommended(setting, scores, profile=None, n=10):
+    train, _, users, _, n_items = setting
     scores = scores.withColumn("score", F.round("score", 9))
     return six(ranking.top_n(scores, train if profile is None else profile, users, n_items, n), "score")
 
@@ -408,6 +507,13 @@ def rec_toppop(spark, sf_dir):
     return ranking.top_n_global(recommenders.top_pop(train, items), train, users, 10)
 
 
+@query(recs_sql("p AS (SELECT item_id, count(*)::DOUBLE AS s FROM train GROUP BY 1)", "SELECT u.user_id, p.item_id, s AS score FROM (SELECT DISTINCT user_id FROM test) u CROSS JOIN p").replace("CROSS JOIN part LEFT", "CROSS JOIN (SELECT * FROM part WHERE p_size >= 10) part LEFT"))
+def rec_toppop_ignoring(spark, sf_dir):
+    train, _, users, items, _ = _setting(spark, sf_dir)
+    small = table(spark, sf_dir, "part").filter("p_size < 10").select(F.col("p_partkey").alias("item_id"))
+    return ranking.top_n_global(recommenders.top_pop(train, items).join(small, "item_id", "left_anti"), train, users, 10)
+
+
 @query(f"""WITH {UO}, mu AS (SELECT avg(rating) AS mu FROM uo), i AS (SELECT item_id, sum(rating - mu) / (count(*) + 25) AS score FROM uo, mu GROUP BY 1), u AS (SELECT user_id, sum(rating - mu - score) / (count(*) + 10) AS bias FROM uo JOIN i USING (item_id), mu GROUP BY 1)
 SELECT 'item' AS kind, item_id AS id, round(score, 6) AS bias FROM i UNION ALL SELECT 'user', user_id, round(bias, 6) FROM u""")
 def rec_global_effects(spark, sf_dir):
@@ -415,31 +521,31 @@ def rec_global_effects(spark, sf_dir):
     return six(item.select(F.lit("item").alias("kind"), F.col("item_id").alias("id"), F.col("score").alias("bias")).union(user.select(F.lit("user"), "user_id", "bias")), "bias")
 
 
-@query()
+@query(f"""WITH {UO}, {SPLIT}, {TRAIN}, {walk_sql("f", "SELECT DISTINCT user_id FROM test", "train", 10, 42)} SELECT user_id, rank::INT AS rank, item_id FROM f""")
 def rec_random(spark, sf_dir):
-    train, _, users, items, n_items = _setting(spark, sf_dir)
-    return ranking.top_n(recommenders.random_scores(users, items, 200), train, users, n_items, 10)
+    train, _, users, _, n_items = _setting(spark, sf_dir)
+    return recommenders.random_lists(train, users, n_items, 10)
 
 
 @query(recs_sql(cosine_sql("train", 100, 50)))
 def rec_itemknn_cf(spark, sf_dir):
-    train, _, _, _, n_items = _setting(spark, sf_dir)
+    setting = train, _, _, _, n_items = _setting(spark, sf_dir)
     w, p = recommenders.item_knn_cf(train, n_items)
-    return _recommended(spark, sf_dir, ranking.item_scores(p, w))
+    return _recommended(setting, ranking.item_scores(p, w))
 
 
 @query(recs_sql(f"""n AS (SELECT count(*) AS n FROM part), f AS (SELECT user_id, ln(any_value(n.n) / (1.0 + count(*))) AS idf FROM train, n GROUP BY 1), tw AS (SELECT user_id, item_id, sqrt(rating) * idf AS rating FROM train JOIN f USING (user_id)), {cosine_sql("tw", 10, 30)}""", "SELECT user_id, dst AS item_id, sum(rating * weight) AS score FROM tw JOIN w ON src = item_id GROUP BY ALL"))
 def rec_itemknn_cf_tfidf(spark, sf_dir):
-    train, _, _, _, n_items = _setting(spark, sf_dir)
+    setting = train, _, _, _, n_items = _setting(spark, sf_dir)
     w, p = recommenders.item_knn_cf(train, n_items, k=30, shrink=10, feature_weighting="TF-IDF")
-    return _recommended(spark, sf_dir, ranking.item_scores(p, w))
+    return _recommended(setting, ranking.item_scores(p, w))
 
 
 @query(recs_sql(cosine_sql("train", 100, 50, row="item_id", col="user_id"), "SELECT src AS user_id, item_id, sum(rating * weight) AS score FROM w JOIN train ON dst = train.user_id GROUP BY ALL"))
 def rec_userknn_cf(spark, sf_dir):
-    train, _, _, _, _ = _setting(spark, sf_dir)
+    setting = train, _, _, _, _ = _setting(spark, sf_dir)
     w, p = recommenders.user_knn_cf(train, table(spark, sf_dir, "customer").count())
-    return _recommended(spark, sf_dir, ranking.user_scores(p, w))
+    return _recommended(setting, ranking.user_scores(p, w))
 
 
 def _cbf_sql(name: str, source: str, col: str) -> str:
@@ -448,30 +554,30 @@ def _cbf_sql(name: str, source: str, col: str) -> str:
 
 @query(recs_sql(_cbf_sql("icm", "icm", "item_id")))
 def rec_itemknn_cbf(spark, sf_dir):
-    train, _, _, _, n_items = _setting(spark, sf_dir)
+    setting = train, _, _, _, n_items = _setting(spark, sf_dir)
     w = recommenders.knn_cbf(tables.icm_part(spark, sf_dir).withColumnRenamed("item_id", "id"), n_items, 20, 20)
-    return _recommended(spark, sf_dir, ranking.item_scores(train, w))
+    return _recommended(setting, ranking.item_scores(train, w))
 
 
 @query(recs_sql(_cbf_sql("ucm", "ucm", "user_id"), "SELECT src AS user_id, item_id, sum(rating * weight) AS score FROM w JOIN train ON dst = train.user_id GROUP BY ALL"))
 def rec_userknn_cbf(spark, sf_dir):
-    train, _, _, _, _ = _setting(spark, sf_dir)
+    setting = train, _, _, _, _ = _setting(spark, sf_dir)
     w = recommenders.knn_cbf(tables.ucm_customer(spark, sf_dir).withColumnRenamed("user_id", "id"), table(spark, sf_dir, "customer").count(), 20, 20)
-    return _recommended(spark, sf_dir, ranking.user_scores(train, w))
+    return _recommended(setting, ranking.user_scores(train, w))
 
 
 @query(recs_sql("hy AS (SELECT item_id, 'f' || feature AS feature, value * 5 AS value FROM icm UNION ALL SELECT item_id, 'i' || user_id, rating FROM train), " + cosine_sql("hy", 20, 20, row="feature", col="item_id", value="value")))
 def rec_hybrid_item(spark, sf_dir):
-    train, _, _, _, n_items = _setting(spark, sf_dir)
+    setting = train, _, _, _, n_items = _setting(spark, sf_dir)
     w = recommenders.item_knn_hybrid(train, tables.icm_part(spark, sf_dir), n_items, 5.0, k=20, shrink=20)
-    return _recommended(spark, sf_dir, ranking.item_scores(train, w))
+    return _recommended(setting, ranking.item_scores(train, w))
 
 
 @query(recs_sql("hy AS (SELECT user_id, 'f' || feature AS feature, value * 5 AS value FROM ucm UNION ALL SELECT user_id, 'i' || item_id, rating FROM train), " + cosine_sql("hy", 20, 20, row="feature", col="user_id", value="value"), "SELECT src AS user_id, item_id, sum(rating * weight) AS score FROM w JOIN train ON dst = train.user_id GROUP BY ALL"))
 def rec_hybrid_user(spark, sf_dir):
-    train, _, _, _, _ = _setting(spark, sf_dir)
+    setting = train, _, _, _, _ = _setting(spark, sf_dir)
     w = recommenders.user_knn_hybrid(train, tables.ucm_customer(spark, sf_dir), table(spark, sf_dir, "customer").count(), 5.0, k=20, shrink=20)
-    return _recommended(spark, sf_dir, ranking.user_scores(train, w))
+    return _recommended(setting, ranking.user_scores(train, w))
 
 
 def p3_sql(alpha: float, k: int, beta: float | None = None, normalise: bool = False) -> str:
@@ -485,14 +591,14 @@ w AS (SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY ds
 
 @query(recs_sql(p3_sql(0.8, 1000)))
 def rec_p3alpha(spark, sf_dir):
-    train = _setting(spark, sf_dir)[0]
-    return _recommended(spark, sf_dir, ranking.item_scores(train, recommenders.p3alpha(train, 1000, 0.8)))
+    setting = train, _, _, _, _ = _setting(spark, sf_dir)
+    return _recommended(setting, ranking.item_scores(train, recommenders.p3alpha(train, 1000, 0.8)))
 
 
 @query(recs_sql(p3_sql(1.0, 1000, 0.6, True)))
 def rec_rp3beta(spark, sf_dir):
-    train = _setting(spark, sf_dir)[0]
-    return _recommended(spark, sf_dir, ranking.item_scores(train, recommenders.p3alpha(train, 1000, 1.0, normalise=True, beta=0.6)))
+    setting = train, _, _, _, _ = _setting(spark, sf_dir)
+    return _recommended(setting, ranking.item_scores(train, recommenders.p3alpha(train, 1000, 1.0, normalise=True, beta=0.6)))
 
 
 @query(f"WITH {UE} SELECT src, dst, round(weight, 6) AS weight FROM (SELECT user_id AS src, item_id AS dst, rating AS weight, row_number() OVER (PARTITION BY item_id ORDER BY rating DESC, user_id) AS r FROM ue) WHERE r <= 3")
@@ -500,57 +606,86 @@ def rec_custom_similarity(spark, sf_dir):
     return recommenders.custom_similarity(tables.urm_events(spark, sf_dir).select(F.col("user_id").alias("src"), F.col("item_id").alias("dst"), F.col("rating").alias("weight")), 3)
 
 
-def _factor_recs(spark, urm, users, items, n_items, n=10):
-    ids = urm.select("user_id").distinct()
-    candidates = ids.join(F.broadcast(spark.range(n_items).select(F.col("id").alias("item_id"))))  # the catalogue of a dense model
-    return six(ranking.ranked(ranking.factor_scores(users, items, candidates).join(urm.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti"), n), "score")
+def _factor_recs(urm, users, items, n=10, mu=0.0):
+    return six(ranking.top_n_factors(users, items, n, urm.select("user_id", "item_id"), mu), "score")
+
+
+def _events(spark, sf_dir):
+    """The matrix of the events, written once, with the sizes of its universe: users and ids up to the greatest item's."""
+    u = materialise(tables.urm_events(spark, sf_dir), "events")
+    size = u.agg(F.count_distinct("user_id").alias("users"), (F.coalesce(F.max("item_id"), F.lit(-1)) + 1).alias("items")).first()
+    return u, size["users"], size["items"]
 
 
 @query()
 def rec_ease(spark, sf_dir):
-    u = tables.urm_events(spark, sf_dir)
-    return six(ranking.ranked(ranking.item_scores(u, factorisation.ease(u, 100, 50.0)).join(u.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti"), 10), "score")
+    u, _, n_items = _events(spark, sf_dir)
+    return six(ranking.ranked(ranking.item_scores(u, factorisation.ease(u, n_items, 50.0)).join(u.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti"), 10), "score")
+
+
+@query(f"""WITH {UE}, g AS (SELECT a.item_id AS i, b.item_id AS j, sum(a.rating * b.rating) AS v FROM ue a JOIN ue b ON a.user_id = b.user_id AND a.item_id <> b.item_id GROUP BY ALL) SELECT i, j, round(v, 4) AS value FROM g""")
+def ease_optimality(spark, sf_dir):
+    """EASE minimises its loss if (G + l2) B equals G off the diagonal, G's own diagonal being the items' interactions."""
+    u, _, n_items = _events(spark, sf_dir)
+    b = factorisation.ease(u, n_items, 50.0)
+    m = _items_matrix(u)
+    pairs = similarity.pair_dots(m)
+    diagonal = u.groupBy(F.col("item_id").alias("i")).agg((F.count("*") + 50.0).alias("dot")).select("i", F.col("i").alias("j"), "dot")
+    g = materialise(pairs.union(pairs.select("j", "i", "dot")).union(diagonal), "gram")
+    left = g.select("i", F.col("j").alias("src"), "dot").join(b, "src").groupBy("i", F.col("dst").alias("j")).agg(F.round(F.sum(F.col("dot") * F.col("weight")), 4).alias("value"))
+    return left.join(g.filter("i <> j").select("i", "j"), ["i", "j"], "left_semi")
+
+
+@query("SELECT i AS a, j AS b, (i = j)::INT::DOUBLE AS dot FROM range(8) x(i), range(8) y(j)")
+def puresvd_orthonormal(spark, sf_dir):
+    """The item factors of a truncated SVD are orthonormal."""
+    u, _, n_items = _events(spark, sf_dir)
+    _, v, _ = factorisation.pure_svd(u, n_items, 8)
+    f = factorisation.item_table(spark, v).select("id", F.posexplode("factors").alias("k", "x"))
+    both = f.select("id", F.col("k").alias("a"), F.col("x").alias("xa")).join(f.select("id", F.col("k").alias("b"), F.col("x").alias("xb")), "id")
+    dots = both.groupBy("a", "b").agg(F.round(F.sum(F.col("xa") * F.col("xb")), 6).alias("dot"))
+    return dots.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"), (F.col("dot") + 0.0).alias("dot"))
 
 
 @query()
 def rec_puresvd(spark, sf_dir):
-    u = tables.urm_events(spark, sf_dir)
-    users, v, _ = factorisation.pure_svd(u, 100, 8)
-    return _factor_recs(spark, u, users, factorisation.item_table(spark, v), 100)
+    u, _, n_items = _events(spark, sf_dir)
+    users, v, _ = factorisation.pure_svd(u, n_items, 8)
+    return _factor_recs(u, users, factorisation.item_table(spark, v))
 
 
 @query()
 def rec_puresvd_item(spark, sf_dir):
-    u = tables.urm_events(spark, sf_dir)
-    _, v, _ = factorisation.pure_svd(u, 100, 8)
+    u, _, n_items = _events(spark, sf_dir)
+    _, v, _ = factorisation.pure_svd(u, n_items, 8)
     return six(factorisation.item_similarity_of(spark, v, 10), "weight")
 
 
 @query()
 def rec_ials(spark, sf_dir):
-    u = tables.urm_orders(spark, sf_dir)
+    u = materialise(tables.urm_orders(spark, sf_dir), "orders")
     users, items = factorisation.implicit_als(u, 5, rounds=2)
-    return _factor_recs(spark, u, users, items, table(spark, sf_dir, "part").count())
+    return _factor_recs(u, users, items)
 
 
 @query()
 def rec_nmf(spark, sf_dir):
-    u = tables.urm_events(spark, sf_dir)
-    users, h = factorisation.nmf(u, 100, 5, 5)
-    return _factor_recs(spark, u, users, factorisation.item_table(spark, h), 100)
+    u, _, n_items = _events(spark, sf_dir)
+    users, h = factorisation.nmf(u, n_items, 5, 5)
+    return _factor_recs(u, users, factorisation.item_table(spark, h))
 
 
 @query()
 def rec_slim_en(spark, sf_dir):
-    u = tables.urm_events(spark, sf_dir)
-    return six(factorisation.slim_elastic_net(u, 100, 150, k=20), "weight")
+    u, n_users, n_items = _events(spark, sf_dir)
+    return six(factorisation.slim_elastic_net(u, n_items, n_users, k=20), "weight")
 
 
 def _sgd(model):
     def run(spark, sf_dir):
-        u = tables.urm_events(spark, sf_dir)
-        users, v, b, mu = factorisation.sgd_factors(u, 100, model, 5, 3, 0.01, negatives=0.2 if model == "funk" else 0.0)
-        return _factor_recs(spark, u, users, factorisation.item_table(spark, v, b), 100)
+        u, _, n_items = _events(spark, sf_dir)
+        users, v, b, _ = factorisation.sgd_factors(u, n_items, model, 5, 3, 0.01, negatives=0.2 if model == "funk" else 0.0)
+        return _factor_recs(u, users, factorisation.item_table(spark, v, b))
 
     return run
 
@@ -561,7 +696,8 @@ for _model, _name in (("funk", "rec_funksvd"), ("bpr", "rec_bpr"), ("asy", "rec_
 
 @query()
 def rec_slim_bpr(spark, sf_dir):
-    return six(factorisation.slim_bpr(tables.urm_events(spark, sf_dir), 100, 2, k=20), "weight")
+    u, _, n_items = _events(spark, sf_dir)
+    return six(factorisation.slim_bpr(u, n_items, 2, k=20), "weight")
 
 
 # --- evaluation -------------------------------------------------------------------------------------------------------
@@ -587,6 +723,13 @@ def eval_holdout_accuracy(spark, sf_dir):
     return six(evaluation.accuracy(recs, test, users, [5, 10, 20]).select("cutoff", "n_users", *cols), *cols)
 
 
+@query(f"""WITH {UO}, {SPLIT}, {TRAIN}, {TOPPOP}, {MARKED}, few AS (SELECT user_id FROM train GROUP BY 1 HAVING count(*) < 30) SELECT cutoff, count(*) AS n_users, round(avg(h / n), 6) AS "PRECISION", round(avg(h / p), 6) AS "RECALL" FROM e WHERE user_id IN (SELECT user_id FROM few) GROUP BY 1""")
+def eval_user_subset(spark, sf_dir):
+    recs, train, test, users, _ = _toppop_lists(spark, sf_dir)
+    few = users.join(train.groupBy("user_id").count().filter("count < 30"), "user_id", "left_semi")
+    return six(evaluation.accuracy(recs, test, few, [5, 10, 20]).select("cutoff", "n_users", "PRECISION", "RECALL"), "PRECISION", "RECALL")
+
+
 @query(f"""WITH {UO}, {SPLIT}, {TRAIN}, {TOPPOP}, {MARKED} SELECT cutoff, round(avg(ps / least(p, n)), 6) AS "MAP", round(avg(coalesce(1 / f, 0)), 6) AS "MRR", round(avg(CASE WHEN n = h THEN 1 WHEN h = 0 THEN 0 ELSE won / (h * (n - h)) END), 6) AS "ROC_AUC" FROM e GROUP BY 1""")
 def eval_map_mrr_auc(spark, sf_dir):
     recs, _, test, users, _ = _toppop_lists(spark, sf_dir)
@@ -639,11 +782,11 @@ def eval_correct_coverage(spark, sf_dir):
     return six(evaluation.correct_coverage(recs, test, items, table(spark, sf_dir, "customer").count(), [10, 20]), "COVERAGE_TEST_CORRECT", "COVERAGE_USER_CORRECT")
 
 
-@query(f"""WITH {UO}, {SPLIT}, {TRAIN}, {TOPPOP}, {cosine_sql("train", 0, 100000)}, t AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM recs WHERE rank <= 5),
+@query(f"""WITH {UO}, {SPLIT}, {TRAIN}, {TOPPOP}, {cosine_sql("train", 0, 1 << 62)}, t AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM recs WHERE rank <= 5),
 x AS (SELECT a.user_id, a.n, sum(1 - coalesce(weight, 0)) AS s FROM t a JOIN t b ON a.user_id = b.user_id AND a.rank <> b.rank AND a.rank < a.n LEFT JOIN w ON src = a.item_id AND dst = b.item_id GROUP BY 1, 2) SELECT round(avg(s / (n * (n - 1))), 6) AS "DIVERSITY_SIMILARITY" FROM x""")
 def eval_similarity_diversity(spark, sf_dir):
     recs, train, _, _, _ = _toppop_lists(spark, sf_dir)
-    w = similarity.similarity(_items_matrix(train), "cosine", 100000)
+    w = similarity.similarity(_items_matrix(train), "cosine", None)
     return six(evaluation.similarity_diversity(recs, w, 5), "DIVERSITY_SIMILARITY")
 
 
@@ -722,12 +865,15 @@ def item_neighbourhood(spark, sf_dir):
     return got.select("item_id", F.concat(F.lit("["), F.array_join(F.col("users").cast("array<string>"), ", "), F.lit("]")).alias("users"))
 
 
-@query()
+@query(f"""WITH {UO}, want AS (SELECT user_id, 2 * count(*) AS w FROM uo GROUP BY 1), {walk_sql("f", "SELECT user_id FROM want", "uo", "SELECT max(w) FROM want")}
+SELECT user_id, item_id, 1 AS label FROM uo UNION ALL SELECT user_id, item_id, 0 FROM f JOIN want USING (user_id) WHERE rank <= w""")
 def pointwise_samples(spark, sf_dir):
     return neural_data.pointwise_samples(tables.urm_orders(spark, sf_dir), table(spark, sf_dir, "part").count(), 2)
 
 
-@query()
+@query(f"""WITH {UO}, {cosine_sql("uo", 0, 5, row="item_id", col="user_id")},
+p AS (SELECT a.user_id, a.item_id AS via_item, w.dst AS via_user, c.item_id, round(weight, 9) AS weight FROM uo a JOIN w ON w.src = a.user_id AND w.weight > 0.1 JOIN uo b ON b.user_id = w.dst AND b.item_id = a.item_id JOIN uo c ON c.user_id = w.dst AND c.item_id <> a.item_id)
+SELECT user_id, via_item, via_user, item_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY weight DESC, via_user, via_item) AS r FROM p) WHERE r <= 1""")
 def meta_paths(spark, sf_dir):
     u = tables.urm_orders(spark, sf_dir)
     m = u.select(F.col("item_id").alias("row"), F.col("user_id").alias("col"), F.col("rating").alias("value"))

@@ -120,11 +120,16 @@ def read_labelled_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks of `item:` and then `user,rating,date` lines, a file or many: user_id, item_id, rating, ts. The header is
-    carried along the lines of its file by position; files are independent partitions."""
-    rows = spark.read.text(path, wholetext=False).withColumn("file", F.input_file_name()).withColumn("at", F.monotonically_increasing_id())
+    """Blocks of `item:` and then `user,rating,date` lines, a file or many: user_id, item_id, rating, ts. Each split of a
+    file carries headers along its own lines; a split that starts amid a block gets the last header before it, found among
+    one row for each split in the order of their offsets."""
+    raw = spark.read.text(path, wholetext=False).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    rows = raw.withColumn("at", F.monotonically_increasing_id())
     head = F.when(F.col("value").endswith(":"), F.regexp_replace("value", ":$", ""))
-    w = W.partitionBy("file").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.withColumn("item_id", F.last(head, ignorenulls=True).over(w)).filter(~F.col("value").endswith(":") & (F.trim("value") != ""))
+    ends = rows.groupBy("file", "start").agg(F.max_by(head, F.when(head.isNotNull(), F.col("at"))).alias("last"))
+    before = F.last("last", ignorenulls=True).over(W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, -1))
+    own = W.partitionBy("file", "start").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("own", F.last(head, ignorenulls=True).over(own)).filter(~F.col("value").endswith(":") & (F.trim("value") != ""))
+    rows = rows.join(ends.select("file", "start", before.alias("before")), ["file", "start"]).withColumn("item_id", F.coalesce("own", "before"))
     p = F.split("value", ",")
     return rows.select(p[0].alias("user_id"), "item_id", p[1].cast("double").alias("rating"), F.unix_timestamp(p[2], "yyyy-MM-dd").cast("double").alias("ts"))

@@ -261,3 +261,23 @@ def test_stream(spark, sf, tmp_path):
     q = ingest.append_to(ingest.windowed_interactions(events), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(60)
     assert spark.read.schema("window_start timestamp, user_id long, item_id long, rating double, ts timestamp").parquet(str(tmp_path / "out")).count() > 0
+
+
+@pytest.mark.parametrize("cells", [4_000_000, 30])
+def test_blocked_factor_lists_equal_the_whole_grid(spark, cells, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(ranking, "SCORE_CELLS", 7)
+    schema = "id long, factors array<double>, bias double"
+    users = [(int(i), [float(x) for x in rng.integers(-2, 3, 3)], 0.5) for i in (4, 9, 2)]
+    items = [(int(i), [float(x) for x in rng.integers(-2, 3, 3)], float(rng.integers(2))) for i in rng.permutation(40)]
+    seen = [(4, 3), (4, 39), (9, 0), (7, 1)]
+    got = ranking.top_n_factors(spark.createDataFrame(users, schema), spark.createDataFrame(items, schema), 6, spark.createDataFrame(seen, "user_id long, item_id long"), 1.5, cells)
+    want = []
+    for u, f, b in users:
+        best = sorted((-(float(np.dot(f, g)) + b + c + 1.5), i) for i, g, c in items if (u, i) not in seen)[:6]
+        want += [(u, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted((r["user_id"], r["rank"], r["item_id"], r["score"]) for r in got.collect()) == sorted(want)
+    assert ranking.top_n_factors(spark.createDataFrame([], schema), spark.createDataFrame(items, schema), 6).count() == 0
+    assert ranking.top_n_factors(spark.createDataFrame(users, schema), spark.createDataFrame([], schema), 6).count() == 0

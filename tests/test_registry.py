@@ -10,17 +10,14 @@ def rows(df):
         if v is None or v != v:
             return "NULL"
         if isinstance(v, float):
-            return f"{v:.5f}".replace("-0.00000", "0.00000")
+            return f"{v:.6f}".replace("-0.000000", "0.000000")
         return str(v)
 
     cols = sorted(df.columns)
     return cols, sorted(tuple(map(cell, r)) for r in df[cols].astype(object).itertuples(index=False))
 
 
-SLOW = {"rec_rp3beta", "rec_hybrid_item", "rec_hybrid_user", "rec_userknn_cbf", "rec_itemknn_cf_tfidf", "eval_similarity_diversity", "sim_dice", "sim_tversky", "sim_dot", "sim_asymmetric", "sim_row_weighted", "split_repeats", "rec_itemknn_cbf", "meta_paths"}
-
-
-@pytest.mark.parametrize("name", [n for n in registry.ORACLE_SQL if n not in SLOW])
+@pytest.mark.parametrize("name", list(registry.ORACLE_SQL))
 def test_agrees_with_sql(spark, sf, duck, name):
     got, want = registry.QUERIES[name](spark, sf).toPandas(), duck.sql(registry.ORACLE_SQL[name]).df()
     assert rows(got) == rows(want)
