@@ -5,7 +5,9 @@ with the value r + u, u uniform; a coordinate is the least value of its bin. Rou
 the last COORDS rounds guarantee; in expectation this costs O(n + t log t) and each coordinate of two sets agrees with
 the probability of their Jaccard similarity, with concentration like independent samples'.
 
-Links: texts of equal shingle sets are one node (found by a 128-bit hash of the set). The bands' buckets suggest pairs;
+Links: texts of equal shingle sets are one node, found by a 128-bit name of the set's 64-bit hashes; among n sets two
+different ones share a name with probability n^2 / 2^129 (2e-15 for 10^12 sets), and within a pair of sets of a million
+shingles a hash is shared by chance with probability 1e-7, so names aren't compared with texts again. The bands' buckets suggest pairs;
 in each bucket all members are compared with its most central member first (the one that meets most others over its
 buckets: of copies of one text, that text). After a pass over connected components only
 members of one bucket that are still in different components remain, so a group of copies costs its size, not its
@@ -30,10 +32,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillrank.llm._common import GOLD, byte_texts, map_arrow, mix, slices, words
-from quillrank.runtime import materialise, ship
+from quillrank.runtime import discard, materialise, ship
 
 SHINGLE, NUM, DEN = 5, 75, 100
 BANDS, ROWS = 84, 6
@@ -207,9 +210,11 @@ def components(edges: DataFrame) -> DataFrame:
         step = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("next"))
         jump = labels.select(F.col("id").alias("next"), F.col("label").alias("far"))
         new = materialise(step.join(jump, "next", "left").select("id", F.col("label").alias("old"), F.least("next", F.coalesce("far", "next")).alias("label")), "labels")
-        labels = new.select("id", "label")
+        discard(labels)
         if new.filter("old <> label").isEmpty():
-            return labels
+            discard(both)
+            return new.select("id", "label")
+        labels = new
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -252,13 +257,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         open_keys = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
         rest = materialise(at.join(open_keys, "key", "left_semi"), "rest")
         few = rest if depth == DEEPEST else rest.filter(F.col("members") <= FEW)
-        # families: what the open buckets of one leader hold. One of bounded size is compared within a task
-        family = materialise(few.select("lead", "id", "label").distinct(), "families")
+        # families: what the open buckets of one leader hold. One of bounded size is compared within a task. The larger
+        # ones, of which there are few, are looked up by leader and salt, so none of their rows meet in one task
+        salted = few.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
         bytes_of = texts.select("id", F.octet_length("text").alias("bytes"))
-        fit = family.join(bytes_of, "id").groupBy("lead").agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes")).filter((F.col("rows") <= FAMILY_ROWS) & (F.col("bytes") <= FAMILY_BYTES)).select("lead")
-        together = family.join(fit, "lead", "left_semi").join(sizes, "id").join(texts, "id").select("lead", "id", "label", "bits", "text")
+        family = materialise(salted.select("lead", "salt", "id", "label").distinct().join(bytes_of, "id"), "families")
+        wide = family.groupBy("lead").agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes")).filter((F.col("rows") > FAMILY_ROWS) | (F.col("bytes") > FAMILY_BYTES))
+        wide = wide.select("lead", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint").alias("salt"))
+        together = family.join(wide, ["lead", "salt"], "left_anti").join(sizes, "id").join(texts, "id").select("lead", "id", "label", "bits", "text")
         near = materialise(family_links(together, size, num, den), "links")
-        few = few.join(fit, "lead", "left_anti").select("key", "id", "label").join(sizes, "id")
+        few = salted.join(wide, ["lead", "salt"], "left_semi").select("key", "id", "label").join(sizes, "id")
         x, y = (few.select("key", F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("label").alias(f"label_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
         apart = (F.col("label_a") < F.col("label_b")) & fits(F.col("n_a"), F.col("n_b")) & likely("bits_a", "bits_b", num, den)
         cross = x.join(y, (x["key"] == y["key"]) & apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -304,8 +312,17 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         whole = deduplicated(rest.withColumn(key, keyed_ids(rest, id_col, text_col)), key, text_col)
         return whole.drop(key).union(docs.filter(blank))
     found = near_duplicates(docs, id_col, text_col)
-    kept = found.filter("kept").groupBy(id_col).agg(F.count("*").alias("_rows"))
-    repeated = not kept.filter("_rows > 1").isEmpty()
+    kept = materialise(found.filter("kept").groupBy(id_col).agg(F.count("*").alias("_rows")), "kept")
     k = kept.select(F.col(id_col).alias("_k"))
     out = docs.join(k, docs[id_col].eqNullSafe(F.col("_k")), "left_semi")
-    return out.dropDuplicates([id_col]) if repeated else out
+    if kept.filter("_rows > 1").isEmpty():
+        return out
+    # of rows that share an id the one with the least text (then the least of all columns), whichever task is repeated
+    again = kept.filter("_rows > 1").select(F.col(id_col).alias("_k"))
+    order = [text_col, *(c for c in docs.columns if c not in (text_col, id_col))]
+    first = F.row_number().over(W.partitionBy(id_col).orderBy(*[F.col(c).asc_nulls_first() for c in order]))
+    at = "_at"
+    while at in docs.columns:
+        at += "_"
+    least = out.join(again, out[id_col] == F.col("_k"), "left_semi").withColumn(at, first).filter(F.col(at) == 1).drop(at)
+    return out.join(again, out[id_col] == F.col("_k"), "left_anti").union(least)
