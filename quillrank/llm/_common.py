@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillrank.runtime import ship
@@ -65,6 +66,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def within_budget(rows: DataFrame, by: str, order: list[Column], text: str, most_rows: int, most_bytes: int) -> DataFrame:
+    """Of each value of by the first rows in the given order: most_rows at most, and none that starts after most_bytes of
+    their texts. No row is refused for its own length. rows is small already: a bounded sample's candidates."""
+    w = W.partitionBy(by).orderBy(*order)
+    before = F.coalesce(F.sum(F.octet_length(text)).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("_at", F.row_number().over(w)).withColumn("_before", before).filter((F.col("_at") <= most_rows) & (F.col("_before") < most_bytes)).drop("_before")
+
+
+def blocks_of(df: DataFrame, text_col: str, block_bytes: int) -> int:
+    """Blocks to deal texts into: one for each shuffle partition, or more if they would exceed block_bytes."""
+    size = df.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // block_bytes))
+
+
 def fold(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n (a null id: 0)."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(0)) % n

@@ -6,11 +6,15 @@ in a long text as in a short one; training picks each text's highest window anew
 the classes weighted evenly. Words are also trained in altered spellings, so misspellings share n-grams with them.
 
 Since the softmax is linear in the mean, a word's share of the class difference is one number: scoring looks words up
-and takes sliding sums. Training uses a bounded sample of labelled rows (SAMPLE_ROWS of each label, texts of up to
-SAMPLE_TEXT_BYTES, chosen by hash); every text is scored whole, a run of more than LONGEST characters in overlapping parts as its words.
+and takes sliding sums. Training uses a bounded sample of labelled rows: of each label SAMPLE_ROWS ids by hash, and of
+their rows the first in the same order up to SAMPLE_ROWS and SAMPLE_BYTES of text (a long text counts like any other).
+Every text is scored whole, a run of more than LONGEST characters in overlapping parts as its words.
 
 Nulls: a null text is empty; an empty text scores as the training texts' share of positives would have it (a neutral
-low score). Rows with a null label teach nothing. Without any positive or negative example all scores are 0.
+low score). Rows with a null label or id teach nothing; an id with both labels teaches both. Without any positive or
+negative example all scores are 0. Ties and repeated rows: equal texts have equal scores, repeated rows come out
+repeated; rows that share a labelled id all teach, within the bounds. Empty tables give empty results; columns other than
+the named ones are never read.
 """
 
 from __future__ import annotations
@@ -23,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm._common import byte_texts, keep_rows, map_arrow, mix, slices
+from quillrank.llm._common import byte_texts, keep_rows, map_arrow, mix, slices, within_budget
 
-#: The training sample's bound: rows of each label, and bytes of a text.
-SAMPLE_ROWS, SAMPLE_TEXT_BYTES = 2_500, 40_000
+#: The training sample's bound: rows of each label, and bytes of their texts.
+SAMPLE_ROWS, SAMPLE_BYTES = 2_500, 12 << 20
 BUCKETS, DIM, WIDTH, PASSES = 1 << 15, 12, 5, 14
 NGRAMS = (3, 4, 5)
 CACHE_ITEMS = 150_000
@@ -244,13 +248,16 @@ def calibrated(texts: list[str], labels: list[int]) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> Model:
-    """Trains on a bounded sample: of each label the SAMPLE_ROWS rows with the least hash of their id."""
-    text = F.col(text_col)
-    rows = docs.select(id_col, F.coalesce(text, F.lit("")).alias("_t")).filter(F.octet_length("_t") <= SAMPLE_TEXT_BYTES)
-    marked = labels.filter(F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).alias("_y"))
-    picks = [marked.filter(F.col("_y") == k).orderBy(F.xxhash64(F.col(id_col)), id_col).limit(SAMPLE_ROWS) for k in (0, 1)]
-    sample = F.broadcast(picks[0].union(picks[1]))  # 2 * SAMPLE_ROWS rows at most
-    got = rows.join(sample, id_col).orderBy(id_col, "_t").limit(4 * SAMPLE_ROWS).toPandas()
+    """Trains on a bounded sample: of each label the SAMPLE_ROWS ids with the least hash, and of their rows SAMPLE_ROWS and
+    SAMPLE_BYTES of text at most."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    marked = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_id is not null").distinct()
+    order = [F.xxhash64("_id"), F.col("_id")]
+    picks = [marked.filter(F.col("_y") == k).orderBy(*order).limit(SAMPLE_ROWS) for k in (0, 1)]
+    found = rows.join(F.broadcast(picks[0].union(picks[1])), "_id")  # 2 * SAMPLE_ROWS ids at most
+    first = [found.filter(F.col("_y") == k).orderBy(*order, "_t").limit(SAMPLE_ROWS) for k in (0, 1)]
+    kept = within_budget(first[0].union(first[1]), "_y", [*order, F.col("_t")], "_t", SAMPLE_ROWS, SAMPLE_BYTES)
+    got = kept.select("_id", "_t", "_y").toPandas().sort_values(["_id", "_t", "_y"], kind="stable")
     return calibrated(got["_t"].tolist(), got["_y"].tolist())
 
 

@@ -149,7 +149,7 @@ def test_forward_sums_all_segmentations():
         if not w:
             return np.ones(2)
         total = np.zeros(2)
-        for j in range(1, min(len(w), langid.PIECE_CHARS) + 1):
+        for j in range(1, min(len(w), v.longest) + 1):
             p = number.get(w[:j], 0 if j == 1 else None)
             if p is not None:
                 total = total + prob[p] * brute(w[j:])
@@ -159,12 +159,85 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(langid.likelihoods(words, v, prob), np.log([brute(w) for w in words]))
 
 
+def plain_forward(w, number, longest, prob):
+    """Log-probability by the recurrence over a text of any length, rescaled as it goes."""
+    a, scale = [np.ones(prob.shape[1])], np.zeros(prob.shape[1])
+    for j in range(1, len(w) + 1):
+        x = np.zeros(prob.shape[1])
+        for n in range(1, min(longest, j) + 1):
+            p = number.get(w[j - n : j], 0 if n == 1 else None)
+            if p is not None:
+                x = x + prob[p] * a[-n]
+        a.append(x)
+        a, top = a[-longest:], x
+        scale, a = scale + np.log(top), [y / top for y in a]
+    return scale
+
+
+def test_long_runs_sum_all_segmentations_too(monkeypatch):
+    v = langid.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(4)
+    prob = np.random.default_rng(0).random((v.size, 3)) / 100
+    number = {x: i + 1 for i, x in enumerate(v.names)}
+    longest = max(v.names, key=len)
+    words = ["▁" + "".join(rng.choice(v.names[::97]) for _ in range(k)) for k in (1, 9, 40, 300)] + ["▁" + longest * 3, "▁" + "☃" * 50, "▁b"]
+    want = [plain_forward(w, number, v.longest, prob) for w in words]
+    for stretch, cells in ((4096, 40_000), (7, 40_000), (40, 10)):
+        monkeypatch.setattr(langid, "STRETCH", stretch)
+        monkeypatch.setattr(langid, "CELLS", cells)
+        assert np.allclose(langid.likelihoods(words, v, prob), want)
+
+
+def test_learning_from_long_runs_equals_learning_from_short_ones(monkeypatch):
+    v = langid.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    from collections import Counter
+
+    counts = [Counter({"▁thehouse": 3, "▁onthehill": 1}), Counter({"▁dasxhaus☃": 2, "▁house": 1})]
+    short = langid.learn(counts, v)
+    monkeypatch.setattr(langid, "SHORT", 2)
+    assert np.allclose(langid.learn(counts, v), short)
+
+
 def test_language_id_held_out(spark):
     got = registry.op5_language_id(spark, "/root/testdata/sf0.01").toPandas().merge(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").toPandas())
     held = got[got["held_out"]]
     assert (held["lang_pred"] == held["lang"]).mean() > 0.97 and got["score"].between(0, 1).all()
 
 
+def test_predictions_against_plain_forward(spark, docs):
+    texts = {i: t for i, t in enumerate(["the cat sat on the mat", "die katze sitzt auf der matte", "the dog ran", "der hund lief weg", "☃", "½ ² ①", "x" * 3000, "The CAT", None])}
+    rows = [(i, t, "de" if i in (1, 3) else None if i == 8 else "en") for i, t in texts.items()]
+    df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, lang string")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    m = langid.fit(df, "doc_id", "text", "lang", fold("doc_id", 3) >= 0, path)
+    v = langid.vocabulary(path)
+    number = {x: i + 1 for i, x in enumerate(v.names)}
+    got = langid.predict(df, "doc_id", "text", m).collect()
+    assert len(got) == 10 and m.languages == ["de", "en"]
+    for r in got:
+        t = texts[r["doc_id"]] or ""
+        if not any(map(str.isalpha, t)):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        words = t.lower().split()
+        total = sum(plain_forward("▁" + w, number, v.longest, m.prob) for w in words)
+        share = np.exp((total - total.max()) / np.sqrt(len(words)))
+        assert r["lang_pred"] == m.languages[int(total.argmax())] and abs(r["score"] - share.max() / share.sum()) < 1e-4
+
+
+def test_language_sample_keeps_its_bounds(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 5)
+    rows = [(i, f"w{i} " * 20, f"l{i % 230:03}") for i in range(230 * 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(langid, "learn", lambda counts, pieces: seen.append(counts) or np.ones((pieces.size, len(counts))))
+    m = langid.fit(df, "doc_id", "text", "lang", fold("doc_id", 3) >= 0, public_tokenizers.path("piece_bpe_32k.model"))
+    assert len(m.languages) == 230 and all(len(c) == 5 for c in seen[0])
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 1)
+    langid.fit(df, "doc_id", "text", "lang", fold("doc_id", 3) >= 0, public_tokenizers.path("piece_bpe_32k.model"))
+    assert all(len(c) == 1 for c in seen[1])  # a first text is never refused
+
+
 def test_language_id_of_odd_texts(spark, docs):
     df = docs([*ODD, "123 !!"])
     m = langid.fit(df, "doc_id", "text", "lang", fold("doc_id", 3) >= 0, public_tokenizers.path("piece_bpe_32k.model"))
@@ -217,3 +290,35 @@ def test_toxicity_of_unspaced_runs():
     grams = lambda words: {w[i : i + n] for w in words for n in toxicity.NGRAMS for i in range(len(w) - n + 1)}
     assert grams(toxicity.tokens(run)) == grams([run]) and max(map(len, toxicity.tokens(run))) <= toxicity.LONGEST
     assert toxicity.tokens("x" * 500 + " " + "ab" * 40) == ["xx", "ab" * 40]
+
+
+def test_scores_against_plain_windows(spark, docs):
+    rng = random.Random(6)
+    good, bad = ["alpha", "beta", "gamma", "delta", "river"], ["vilest", "rotter"]
+    texts = [" ".join(rng.choice(good) for _ in range(12)) + (" " + rng.choice(bad) if k % 2 else "") for k in range(120)]
+    m = toxicity.calibrated(texts, [k % 2 for k in range(120)])
+    gain = m.embeddings.astype(float) @ (m.weights[:, 1] - m.weights[:, 0])
+
+    def plain(text):
+        own = [gain[toxicity.gram_ids([w])[0]].mean() for w in toxicity.tokens(text)]
+        best = max((sum(own[i : i + 5]) / len(own[i : i + 5]) for i in range(max(1, len(own) - 4))), default=0.0) if own else 0.0
+        z = m.scale * (best + float(m.bias[1] - m.bias[0])) + m.offset
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    odd = [*ODD, *texts[:6], "river vi1est", "x" * 200 + "rotter", "alpha beta gamma delta"]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs(odd), "doc_id", "text", m).collect()}
+    assert all(abs(got[i] - plain(t or "")) < 1e-5 for i, t in enumerate(odd))
+
+
+def test_toxicity_sample_takes_repeated_ids_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 6)
+    seen = []
+    monkeypatch.setattr(toxicity, "calibrated", lambda texts, labels: seen.append(list(zip(texts, labels, strict=True))))
+    docs = spark.createDataFrame([(i, f"t{i} " * (20_000 if i == 3 else 1)) for i in range(12)] + [(1, "again"), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)] + [(1, 1), (0, None), (None, 1), (2, 1), (99, 1)], "doc_id long, toxic int")
+    toxicity.fit(docs, labels, "doc_id", "text", "toxic")
+    toxicity.fit(docs.orderBy("text"), labels.orderBy("toxic"), "doc_id", "text", "toxic")
+    assert seen[0] == seen[1] and len([1 for _, y in seen[0] if y == 1]) <= 6 and len([1 for _, y in seen[0] if y == 0]) == 6
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 100)
+    toxicity.fit(docs, labels, "doc_id", "text", "toxic")
+    assert ("again", 1) in seen[2] and max(len(t) for t, _ in seen[2]) > 40_000 and {y for t, y in seen[2] if t == "t2 "} == {0, 1}
