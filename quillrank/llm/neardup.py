@@ -263,7 +263,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         bytes_of = texts.select("id", F.octet_length("text").alias("bytes"))
         family = materialise(salted.select("lead", "salt", "id", "label").distinct().join(bytes_of, "id"), "families")
         wide = family.groupBy("lead").agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes")).filter((F.col("rows") > FAMILY_ROWS) | (F.col("bytes") > FAMILY_BYTES))
-        wide = wide.select("lead", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint").alias("salt"))
+        wide = wide.select("lead", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
         together = family.join(wide, ["lead", "salt"], "left_anti").join(sizes, "id").join(texts, "id").select("lead", "id", "label", "bits", "text")
         near = materialise(family_links(together, size, num, den), "links")
         few = salted.join(wide, ["lead", "salt"], "left_semi").select("key", "id", "label").join(sizes, "id")

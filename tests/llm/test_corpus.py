@@ -66,6 +66,38 @@ def test_components_against_brute_force(docs, monkeypatch, seed, few, family):
     assert all(got[i]["kept"] == (label[i] == i) for i in texts)
 
 
+def test_pairs_at_the_threshold_in_a_bucket_of_many(docs):
+    """Default bounds: over 2,000 texts share a passage and little else, so their bucket is split by further bands; pairs
+    planted just above 0.75 must be met all the same."""
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(4000)]
+    draw = lambda n: [rng.choice(vocab) for _ in range(n)]
+    passage, texts = draw(34), []
+    for _ in range(neardup.FEW + 300):
+        texts.append(draw(13) + passage)
+    planted = []
+    for k in range(60):
+        own = draw(66)
+        a, b = [*own, *passage], [*own[:5], "zz", *own[6:], *passage]
+        b = b[: -5 - k % 2] if k % 3 else b
+        planted.append((len(texts), len(texts) + 1))
+        texts += [a, b]
+    texts = {i: " ".join(t) for i, t in enumerate(texts)}
+    want = {(a, b) for a, b in planted if 100 * len(sets(texts[a]) & sets(texts[b])) >= 75 * len(sets(texts[a]) | sets(texts[b]))}
+    assert len(want) == 60
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs(texts)).collect()}
+    found = sum(got[a] == got[b] for a, b in want)
+    assert found == 60
+
+
+def test_least_text_of_a_shared_id_stays(spark):
+    w = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, w + " b", 2), (1, w + " a", 9), (1, w + " a", 3), (2, w + " c", 1), (3, "x y", 1), (3, "x y", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _at int")
+    got = neardup.deduplicated(df)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == [(1, w + " a", 3), (3, "x y", 1)]
+
+
 def test_sketch_estimates_similarity_and_fills():
     rng = np.random.default_rng(0)
     for n in (1, 3, 50, 5000):
