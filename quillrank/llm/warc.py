@@ -9,6 +9,9 @@ Archives are files in a folder that all executors share, through Arrow's file sy
 of a task writes under names of its own, and only the files in a written manifest count, so a lost executor or a second
 attempt leaves nothing half-written in the result. Memory is bounded by the largest record.
 
+A target URI keeps what a URI may hold; other characters (white space, controls, all beyond ASCII) are percent-encoded, and
+such a record also has its url as it was, as a JSON string in X-URL.
+
 Of records with equal payloads (SHA-1 and length) of at least min_bytes, the one with the smallest page id is a response
 and the others are revisits that refer to it; rows that share that page id are all responses. Nulls: a null html is an
 empty payload, a null url is left out, rows with a null page id are revisits of their payload's smallest id, or responses
@@ -24,7 +27,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote, unquote
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -60,7 +63,8 @@ def record(page_id: int | None, url: str | None, payload: bytes, first: int | No
     if page_id is not None:
         lines.append(f"X-Page-ID: {page_id}")
     if url is not None:
-        lines.append(f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~-._' + chr(39))}")
+        uri = quote(url, safe=":/?#[]@!$&()*+,;=%~-._" + chr(39))
+        lines += [f"WARC-Target-URI: {uri}"] + ([f"X-URL: {json.dumps(url)}"] if uri != url else [])
     lines += [f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}", f"X-Payload-Length: {len(payload)}"]
     if first is not None:
         lines += [f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{first}')}>", f"X-Refers-To-Page-ID: {first}", f"WARC-Profile: {REVISIT_PROFILE}"]
@@ -119,7 +123,7 @@ def parsed(rec: bytes) -> dict:
     else:
         payload, size, digest = None, int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha1:")
     number = lambda k: int(fields[k]) if k in fields else None
-    return {"page_id": number("X-Page-ID"), "url": unquote(fields["WARC-Target-URI"]) if "WARC-Target-URI" in fields else None, "record_type": kind, "payload_bytes": size, "payload_digest": digest, "refers_to": number("X-Refers-To-Page-ID"), "payload": payload}
+    return {"page_id": number("X-Page-ID"), "url": json.loads(fields["X-URL"]) if "X-URL" in fields else fields.get("WARC-Target-URI"), "record_type": kind, "payload_bytes": size, "payload_digest": digest, "refers_to": number("X-Refers-To-Page-ID"), "payload": payload}
 
 
 def with_first(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_bytes: int = 0) -> DataFrame:
