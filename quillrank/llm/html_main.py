@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -36,6 +37,7 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 SAME = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "thead": "tbody tfoot", "tbody": "thead tbody", "tfoot": "thead tbody"}
 SAME = {k: frozenset(v.split()) for k, v in SAME.items()}
 SCOPE = frozenset("table td th ul ol dl article section main div body html aside nav form button".split())
+P_ONLY, LISTS = frozenset(["p"]), frozenset("ul ol dl table select".split())
 TAGS = "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dd dt table tr td blockquote pre figure figcaption header footer nav aside form button label textarea fieldset a span b strong em i small address details dialog menu".split()
 TAG_AT = {t: i for i, t in enumerate(TAGS)}
 
@@ -73,10 +75,23 @@ def tag_end(source: str, at: int, dead: set[int]) -> int:
     return source.find(">", at)
 
 
+def closed(stack: list[int], tags: list[str], is_open: Counter, ends: frozenset[str], scope: frozenset[str]) -> None:
+    """Closes the innermost open element of ends, with what is open within it, unless one of scope is met first."""
+    for k in range(len(stack) - 1, 0, -1):
+        t = tags[stack[k]]
+        if t in ends:
+            is_open.subtract(tags[x] for x in stack[k:])
+            del stack[k:]
+            return
+        if t in scope:
+            return
+
+
 def parse(source: str) -> Page:
     """Elements in document order (0 is a root above all) and their texts."""
     tags, parents, attrs, segments = ["#root"], [-1], [""], []
     stack, block, at, silent = [0], 0, 0, 0
+    is_open = Counter()  # open elements by name: a close tag without one needn't search the stack
     last, dead = source.rfind(">"), set()
     while True:
         m = _tag.search(source, at) if at <= last else None
@@ -96,33 +111,25 @@ def parse(source: str) -> Page:
             if name == "br" and not silent:
                 segments.append((block, stack[-1], " "))
                 continue
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] == name:
-                    for x in stack[k:]:
-                        silent -= tags[x] in SILENT
-                    del stack[k:]
-                    break
+            if is_open[name]:
+                while True:
+                    own = tags[stack.pop()]
+                    is_open[own] -= 1
+                    silent -= own in SILENT
+                    if own == name:
+                        break
             if name not in INLINE:
                 block += 1
             continue
         if name in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                t = tags[stack[k]]
-                if t == "p":
-                    del stack[k:]
-                    break
-                if t in SCOPE:
-                    break
+            if is_open["p"]:
+                closed(stack, tags, is_open, P_ONLY, SCOPE)
         elif name in SAME:
-            for k in range(len(stack) - 1, 0, -1):
-                t = tags[stack[k]]
-                if t in SAME[name]:
-                    del stack[k:]
-                    break
-                if t in ("ul", "ol", "dl", "table", "select"):
-                    break
+            if any(is_open[t] for t in SAME[name]):
+                closed(stack, tags, is_open, SAME[name], LISTS)
         elif name == "body" and silent:  # a head that isn't closed
             while len(stack) > 1 and tags[stack[-1]] != "html":
+                is_open[tags[stack[-1]]] -= 1
                 silent -= tags[stack.pop()] in SILENT
         if name == "br":
             if not silent:
@@ -146,6 +153,7 @@ def parse(source: str) -> Page:
             block += 1
             continue
         stack.append(len(tags) - 1)
+        is_open[name] += 1
         silent += name in SILENT
     return Page(tags, parents, attrs, segments)
 
