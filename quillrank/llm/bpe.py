@@ -183,7 +183,7 @@ class Codec:
         if len(self.cache) >= CACHE_ITEMS:
             self.older, self.cache = self.cache, {}
         extra = self.learn(set().union(*split).difference(self.cache))
-        get = {**self.cache, **extra}.__getitem__ if extra else self.cache.__getitem__
+        get = self.cache.__getitem__ if not extra else lambda p: extra[p] if p in extra else self.cache[p]
         return [list(chain.from_iterable(map(get, x))) for x in split]
 
     def encode(self, text: str) -> list[int]:
