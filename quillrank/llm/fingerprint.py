@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm._common import GOLD, byte_texts, map_arrow, mix, slices
+from quillrank.llm._common import GOLD, blocks_of, byte_texts, map_arrow, mix, slices
 
 #: Levels whose phrases are sketched (a phrase of level k has about 3.3^k characters), and names that a sketch holds.
 LEVELS, SKETCH = (2, 3), 64
+#: Bytes of text of a block of neighbouring ids.
+BLOCK_BYTES = 64 << 20
 CHUNK_CHARS = 1 << 19
 _one = np.uint64(1)
 _debruijn = np.uint64(0x03F79D71B4CB0A89)
@@ -130,10 +132,10 @@ def likeness(a: str, b: str) -> float:
 def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows in blocks of neighbouring ids for a pass in descending order: id, text, block, tail. A block's tail rows are
     copies of the next block's first rows (of the first block's, after the last). Ids are read once to cut the blocks
-    at existing ids, one for each shuffle partition; each text is shuffled once."""
-    spark = df.sparkSession
+    at existing ids, one for each shuffle partition, more if one would exceed BLOCK_BYTES; each text is shuffled once.
+    Ids are whole numbers."""
     own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = blocks_of(own, "text", BLOCK_BYTES)
     shares = F.array(*[F.lit((k + 1) / parts) for k in range(parts)])
     cuts = own.agg(F.percentile_approx("id", shares, 20 * parts).alias("q"), F.max("id").alias("m")).first()
     tops = sorted({*(cuts["q"] or ()), cuts["m"]} - {None}, reverse=True)  # the first id of each block

@@ -6,10 +6,14 @@ mini-batch, so that all is matrix products); every task trains on all its tokens
 averaged, weighted by tokens. Since scores are sums over the two positions, the normaliser of every context is one
 entry of one matrix product, so log-probabilities are exactly normalised.
 
-The model's own vocabulary is the end of text, the TOP most frequent words (ties: the least word) and one token for the
-rest, within which words have their smoothed relative frequency. Counts cover all training tokens. Words are counted in
-blocks of texts (one for each shuffle partition): a block sends each distinct word once and gets back the counts of its
-own words only, so neither a task nor the driver ever holds the whole vocabulary.
+The softmax is factored by classes: the end of text and the TOP most frequent words (ties: the least word) are classes of
+their own, all other words are hashed into classes whose number grows with the vocabulary (class_count()). A class has its
+own target and context vectors; within one, words have their smoothed relative frequency, so a word's probability is its
+class's by the model times its share of the class, and all words' add up to one. Counts cover all training tokens. Words
+are counted in blocks of texts (one for each shuffle partition, more if one would exceed BLOCK_BYTES): a block sends each
+distinct word once and gets back the counts of its own words only, so neither a task nor the driver ever holds the whole
+vocabulary. A worker's table of normalisers has (TOP + classes)^2 entries of 4 bytes. Training follows the input's splits:
+other splits give slightly other parameters.
 
 Nulls: a null text is empty and holds the end of text only. Without training texts every base score is 0. Repeated rows
 count and come back repeated; a null id is in fold 0. Empty tables give empty results; only the two named columns are
@@ -19,6 +23,7 @@ read.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +31,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm._common import map_arrow, slices
+from quillrank.llm._common import blocks_of, map_arrow, slices
 from quillrank.runtime import materialise
 
 TOP, DIM, BATCH, NOISE, RATE = 1500, 16, 2048, 64, 0.08
-END, REST, WORD0 = 0, 1, 2
-SLICE = 2 << 20
+END, WORD0 = 0, 1
+SLICE, BLOCK_BYTES, STRIPE = 2 << 20, 64 << 20, 256
+
+
+def class_count(distinct: int) -> int:
+    """Classes of the words beyond TOP, by the number of distinct training words: 330 for 353,883, 840 for 3.6 million."""
+    return max(1, int(2 * max(1, distinct) ** 0.4))
 
 
 def tokenised(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -73,9 +83,10 @@ def block_counts(docs: DataFrame) -> DataFrame:
 @dataclass
 class Model:
     words: list[str]
-    counts: np.ndarray  # of END, REST and words, in training
-    r: np.ndarray  # context vectors of END, REST, words and the start
-    q: np.ndarray  # target vectors of END, REST and words
+    counts: np.ndarray  # of END, words and classes, in training
+    kinds: np.ndarray  # distinct training words of each class
+    r: np.ndarray  # context vectors of END, words, classes and the start
+    q: np.ndarray  # target vectors of END, words and classes
     b: np.ndarray
     c: np.ndarray  # 2 x DIM
     total: int = 0  # training tokens
@@ -83,7 +94,7 @@ class Model:
     tables: tuple | None = field(default=None, repr=False)
 
     def __reduce__(self):
-        return Model, (self.words, self.counts, self.r, self.q, self.b, self.c, self.total, self.distinct)
+        return Model, (self.words, self.counts, self.kinds, self.r, self.q, self.b, self.c, self.total, self.distinct)
 
     @property
     def start(self) -> int:
@@ -92,12 +103,21 @@ class Model:
     def number(self) -> dict[str, int]:
         return {w: i + WORD0 for i, w in enumerate(self.words)}
 
+    def numbers(self, names: list[str], number: dict[str, int]) -> np.ndarray:
+        """Each word's class: its own, or the one that it is hashed into."""
+        first, n, get = WORD0 + len(self.words), len(self.kinds), number.get
+        return np.fromiter((i if (i := get(x)) is not None else first + crc32(x.encode()) % n for x in names), np.int64, len(names))
+
     def lookup(self):
-        """Scores by the last and the last but one token, the bias, and every context's log-normaliser."""
+        """Scores by the last and the last but one token, the bias, every context's log-normaliser, and the words' numbers.
+        The normalisers are made for STRIPE contexts at a time."""
         if self.tables is None:
             near, far = (np.clip((self.r * c) @ self.q.T, -25, 25).astype(np.float32) for c in self.c)
-            z = (np.exp(near.astype(np.float64)) * np.exp(self.b)) @ np.exp(far.astype(np.float64)).T
-            self.tables = near, far, self.b, np.log(z).astype(np.float32), self.number()
+            right, scale = np.exp(far).T, np.exp(self.b).astype(np.float32)
+            z = np.empty((len(near), len(far)), np.float32)
+            for a in range(0, len(near), STRIPE):
+                np.log((np.exp(near[a : a + STRIPE]) * scale) @ right, out=z[a : a + STRIPE])
+            self.tables = near, far, self.b, z, self.number()
         return self.tables
 
     def log_probs(self, w: np.ndarray, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
@@ -123,18 +143,18 @@ def contexts(ids: np.ndarray, lens: np.ndarray, start: int) -> tuple[np.ndarray,
     return w, w1, w2, ends
 
 
-def initial(words: list[str], counts: np.ndarray, total: int, distinct: int, seed: int = 11) -> Model:
+def initial(words: list[str], counts: np.ndarray, kinds: np.ndarray, total: int, distinct: int, seed: int = 11) -> Model:
     rng = np.random.default_rng(seed)
     n = len(counts)
     p = (counts + 0.5) / (counts + 0.5).sum()
-    return Model(words, counts, rng.normal(0, 0.1, (n + 1, DIM)), rng.normal(0, 0.1, (n, DIM)), np.log(p), np.array([np.ones(DIM), np.full(DIM, 0.5)]), total, distinct)
+    return Model(words, counts, kinds, rng.normal(0, 0.1, (n + 1, DIM)), rng.normal(0, 0.1, (n, DIM)), np.log(p), np.array([np.ones(DIM), np.full(DIM, 0.5)]), total, distinct)
 
 
 class Trainer:
     """Adagrad on the noise-contrastive objective."""
 
     def __init__(self, m: Model, seed: int):
-        self.m = Model(m.words, m.counts, m.r.copy(), m.q.copy(), m.b.copy(), m.c.copy())
+        self.m = Model(m.words, m.counts, m.kinds, m.r.copy(), m.q.copy(), m.b.copy(), m.c.copy())
         self.rng, self.seen = np.random.default_rng(seed), 0
         self.noise = np.exp(m.b - np.logaddexp.reduce(m.b))
         self.cum = np.cumsum(self.noise)
@@ -174,11 +194,6 @@ class Trainer:
             self.step(w[pick], w1[pick], w2[pick])
 
 
-def numbered(names: pa.Array, codes: np.ndarray, number: dict[str, int]) -> np.ndarray:
-    get = number.get
-    return np.fromiter((get(x, REST) for x in names.to_pylist()), np.int64, len(names))[codes]
-
-
 def trained(docs: DataFrame, start: Model) -> Model:
     """docs: id and text of the training texts. Every task trains on all its tokens; the parameters' weighted means."""
     held = docs.sparkSession.sparkContext.broadcast(start)
@@ -189,7 +204,7 @@ def trained(docs: DataFrame, start: Model) -> Model:
         for batch in batches:
             for part in slices(batch, 0, budget=SLICE):
                 names, codes, lens = tokenised(part.column(0))
-                t.learn(*contexts(numbered(names, codes, number), lens, m.start)[:3])
+                t.learn(*contexts(m.numbers(names.to_pylist(), number)[codes], lens, m.start)[:3])
         if t.seen:
             x = t.m
             rows = np.concatenate((x.r, x.q, np.pad(x.b[:, None], ((0, 0), (0, DIM - 1))), x.c))
@@ -201,14 +216,14 @@ def trained(docs: DataFrame, start: Model) -> Model:
     if not len(got):
         return start
     v, n = got[[f"v{k}" for k in range(DIM)]].to_numpy(), len(start.b)
-    return Model(start.words, start.counts, v[: n + 1], v[n + 1 : 2 * n + 1], v[2 * n + 1 : 3 * n + 1, 0], v[3 * n + 1 :], start.total, start.distinct)
+    return Model(start.words, start.counts, start.kinds, v[: n + 1], v[n + 1 : 2 * n + 1], v[2 * n + 1 : 3 * n + 1, 0], v[3 * n + 1 :], start.total, start.distinct)
 
 
 def score(df: DataFrame, id_col: str, text_col: str, learn_from: Column, top: int = TOP) -> DataFrame:
     """Per row: id_col, n_tokens, n_known, train_tokens, base_score (smoothed unigram) and score (the model's), both
     log10 probabilities of the whole text. learn_from marks the training rows."""
     spark = df.sparkSession
-    blocks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = blocks_of(df, text_col, BLOCK_BYTES)
     block = F.pmod(F.xxhash64(F.col(id_col), F.octet_length(F.col(text_col))), F.lit(blocks)).cast("int")
     own = df.select(block.alias("block"), learn_from.alias("learn"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     counted = block_counts(own.repartitionById(blocks, F.col("block")))
@@ -217,8 +232,15 @@ def score(df: DataFrame, id_col: str, text_col: str, learn_from: Column, top: in
     ends = own.filter("learn").count()
     total, distinct = (totals["tokens"] or 0) + ends, (totals["known"] or 0) + (ends > 0)
     best = words.filter("c > 0").orderBy(F.desc("c"), "word").limit(top).select("word", "c").collect()
-    rest = total - ends - sum(r["c"] for r in best)
-    start = initial([r["word"] for r in best], np.array([ends, rest, *(r["c"] for r in best)], np.float64), total, distinct)
+    classes = class_count(distinct)
+    own_class = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(classes)).cast("int")
+    rest, kinds = np.zeros(classes), np.zeros(classes)
+    for r in words.filter("c > 0").groupBy(own_class.alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():  # a row for each class
+        rest[r["k"]], kinds[r["k"]] = r["c"], r["n"]
+    for r in best:  # words with a class of their own
+        k = crc32(r["word"].encode()) % classes
+        rest[k], kinds[k] = rest[k] - r["c"], kinds[k] - 1
+    start = initial([r["word"] for r in best], np.array([ends, *(r["c"] for r in best), *rest], np.float64), kinds, total, distinct)
     held = spark.sparkContext.broadcast(trained(own.filter("learn").select("text"), start))
     kind = dict(own.dtypes)["id"]
     none = lambda t: F.lit(None).cast(t)
@@ -228,9 +250,9 @@ def score(df: DataFrame, id_col: str, text_col: str, learn_from: Column, top: in
 
     def run(batches):
         m = held.value
-        rest_words = max(0, m.distinct - len(m.words) - (m.counts[END] > 0))
+        first = WORD0 + len(m.words)
         base_of = lambda c: np.log10((c + 0.5) / (m.total + 0.5 * (m.distinct + 1)))
-        rest_of = lambda c: np.log10((c + 0.5) / (m.counts[REST] + 0.5 * (rest_words + 1)))
+        class_size = m.counts[first:] + 0.5 * (m.kinds + 1)  # half a count for each word and for those never seen
         count: dict[str, int] = {}
         for batch in batches:
             for part in slices(batch, 2, budget=SLICE):
@@ -242,11 +264,12 @@ def score(df: DataFrame, id_col: str, text_col: str, learn_from: Column, top: in
                 if not part.num_rows:
                     continue
                 names, codes, lens = tokenised(part.column(2))
-                get, number = count.get, m.lookup()[4].get
+                get = count.get
                 every = names.to_pylist()
                 c_of = np.fromiter((get(x, 0) for x in every), np.float64, len(every))
-                id_of = np.fromiter((number(x, REST) for x in every), np.int64, len(every))
-                within = np.where(id_of == REST, rest_of(c_of), 0.0)
+                id_of = m.numbers(every, m.lookup()[4])
+                within, hashed = np.zeros(len(every)), id_of >= first
+                within[hashed] = np.log10((c_of[hashed] + 0.5) / class_size[id_of[hashed] - first])
                 w, w1, w2, ends = contexts(id_of[codes], lens, m.start)
                 inside = np.ones(len(w), bool)
                 inside[ends] = False
