@@ -217,6 +217,19 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new
 
 
+def with_nodes(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """rows (id, n, k1, k2) with the node of their set; null for an empty set, or if no row with an id has it. Sets of many
+    copies, of which there are few, are looked up by name and salt first; what is left of the rows is dealt by name, but
+    those that need no name by their id, so no name's rows meet in one task."""
+    salts = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
+    wide = sets.filter(F.col("copies") > FEW).select("k1", "k2", F.col("node").alias("wide"), F.explode(salts).alias("salt"))
+    first = rows.withColumn("salt", F.pmod(F.xxhash64("id", "n"), F.lit(SALTS))).join(wide, ["k1", "k2", "salt"], "left")
+    need = F.col("wide").isNull() & (F.col("n") > 0)
+    first = first.select("id", "n", "wide", need.alias("need"), F.when(need, F.col("k1")).otherwise(F.xxhash64("id")).alias("j1"), F.when(need, F.col("k2")).otherwise(F.col("salt")).alias("j2"))
+    rest = sets.filter(F.col("copies") <= FEW).select(F.lit(True).alias("need"), F.col("k1").alias("j1"), F.col("k2").alias("j2"), "node")
+    return first.join(rest, ["need", "j1", "j2"], "left").select("id", "n", F.coalesce("wide", "node").alias("node"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
     """Per row: id_col, n_shingles, component_id (least id reachable over links with den * intersection >= num * union),
     kept (id is the component's)."""
@@ -224,14 +237,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = materialise(sketches(own, "id", "text", size), "sketches")
     named = rows.filter("n > 0 and id is not null")
     # equal sets are one node: its least id
-    sets = named.groupBy("k1", "k2").agg(F.min("id").alias("node"))
+    sets = materialise(named.groupBy("k1", "k2").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "sets")
     keyed = named.groupBy("k1", "k2").agg(F.min("id").alias("node"), F.first("bands").alias("bands"))
     level = keyed.select("node", F.posexplode("bands").alias("band", "key"))
     sizes = named.select("id", "n", "bits")
     # rows of one id but several texts: its texts' nodes belong together
-    shared = named.join(sets, ["k1", "k2"]).filter("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
-    several = named.groupBy("id").agg(F.count_distinct("k1", "k2").alias("sets")).filter("sets > 1").select("id")
-    edges = materialise(shared.join(several, F.col("b") == several["id"], "left_semi").distinct(), "links")
+    several = named.groupBy("id").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi"), F.min("k2").alias("lo2"), F.max("k2").alias("hi2")).filter("lo <> hi or lo2 <> hi2").select("id")
+    shared = with_nodes(named.join(several, "id", "left_semi").select("id", "n", "k1", "k2"), sets).filter("id <> node")
+    edges = materialise(shared.select(F.col("node").alias("a"), F.col("id").alias("b")).distinct(), "links")
     fits = lambda m, n: F.lit(den) * F.least(m, n) >= F.lit(num) * F.greatest(m, n)  # noqa: E731  no link is possible otherwise
     texts, tried, labels = None, None, edges.select(F.col("a").alias("id"), F.col("a").alias("label")).limit(0)
     for depth in range(1, DEEPEST + 1):
@@ -282,9 +295,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         deeper = many.join(rows.select("id", "bands"), "id").select(F.col("id").alias("node"), F.col("key").alias("up"), F.col("band").alias("from"), F.posexplode("bands").alias("band", "own"))
         level = deeper.filter("band > from").select("node", "band", F.xxhash64("up", "own").alias("key")).distinct()
-    node = rows.select("id", "n", "k1", "k2").join(sets, ["k1", "k2"], "left")
-    found = node.join(labels.withColumnRenamed("id", "node"), "node", "left")
-    component: Column = F.when((F.col("n") > 0) & F.col("node").isNotNull(), F.coalesce("label", "node")).otherwise(F.col("id"))
+    labelled = sets.join(labels.withColumnRenamed("id", "node"), "node", "left").select("k1", "k2", "copies", F.coalesce("label", "node").alias("node"))
+    found = with_nodes(rows.select("id", "n", "k1", "k2"), labelled)
+    component: Column = F.when((F.col("n") > 0) & F.col("node").isNotNull(), F.col("node")).otherwise(F.col("id"))
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 

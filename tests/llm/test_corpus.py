@@ -158,12 +158,35 @@ def test_tiling_against_brute_force():
     rng = random.Random(7)
     for _ in range(60):
         p, t = ([rng.choice("abc") for _ in range(rng.randrange(4, 25))] for _ in range(2))
-        seeds = [(i, j) for i in range(len(p) - 2) for j in range(len(t) - 2) if p[i : i + 3] == t[j : j + 3]]
-        got = decontam.tiles(p, t, seeds, 3)
-        assert all(p[i : i + n] == t[j : j + n] for i, j, n in got)
-        assert got == sorted(got, key=lambda x: -x[2]) or sum(x[2] for x in got) > 0
-        assert max((x[2] for x in got), default=0) == max((n for n in range(3, 25) for i in range(len(p) - n + 1) for j in range(len(t) - n + 1) if p[i : i + n] == t[j : j + n]), default=0)
-        assert abs(sum(x[2] for x in got) - brute_tiles(p, t, 3)) <= 3  # ties may be taken in another order
+        seeds = np.array([(i, j) for i in range(len(p) - 2) for j in range(len(t) - 2) if p[i : i + 3] == t[j : j + 3]], np.int64).reshape(-1, 2)
+        got = decontam.tiles(decontam.matches(seeds[:, 0], seeds[:, 1], 3), 3)
+        assert all(p[i : i + n] == t[j : j + n] for i, j, n in got) and got == sorted(got, key=lambda x: (-x[2], x[0], x[1]))
+        assert sum(n for _, _, n in got) == brute_tiles(p, t, 3)
+
+
+def test_contamination_against_brute_force(spark, docs, monkeypatch):
+    rng = random.Random(17)
+    vocab = "ab cd ef gh ij kl".split()
+    draw = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    items = [(k, draw(rng.randrange(1, 14))) for k in range(25)] + [(25, "ab " * 60), (26, None), (27, "--")]
+    texts = [draw(rng.randrange(0, 30)) for _ in range(40)] + ["ab " * 400, "AB, cd! ef", None, "ab cd " * 50]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {}
+    for i, t in enumerate(texts):
+        for k, x in items:
+            p, w = decontam.tokens(x or ""), decontam.tokens(t or "")
+            size = min(4, len(p))
+            if p and (n := brute_tiles(p, w, size)) >= 0.5 * len(p):
+                want[i, k] = n
+    for seeds, collide in ((1 << 20, False), (1, False), (1 << 20, True)):
+        monkeypatch.setattr(decontam, "SEEDS", seeds)
+        if collide:  # hashes of which most are shared by chance
+            monkeypatch.setattr(decontam, "rolling", lambda ids, size: ids[: max(0, len(ids) - size + 1)] % np.uint64(3))
+            index = decontam.Index([x for x in items if x[1]], 4)
+            got = {(d, k): n for d, k, _, n, _ in index.hits([t or "" for t in texts], 0.5)}
+        else:
+            got = {(r["doc_id"], r["item_id"]): r["covered"] for r in decontam.contaminated(docs(texts), bench).collect()}
+        assert got == want
 
 
 def test_reordered_and_altered_passages_are_caught(spark, docs, monkeypatch):
@@ -196,6 +219,10 @@ def test_warc_round_trip(spark):
     assert by[5, 9]["record_type"] == "revisit" and by[5, 9]["refers_to"] == 3 and by[3, 9]["record_type"] == "response"
     assert by[9, 0]["refers_to"] == 8 and by[7, 3_000_000]["record_type"] == "response" and by[None, 9]["refers_to"] == 3
     assert {r["url"] for r in got} == {"http://a/\r\nx é", None, "u"}
+    urls = ["http://a/%41b?q=100%25", "http://a/%zz é", "%", "", "a b%20c", "x\u2028y\x00"]
+    back = warc.round_trip(pages(spark, [(i, u, "p") for i, u in enumerate(urls)]), "page_id", "url", "html").collect()
+    assert {r["page_id"]: r["url"] for r in back} == dict(enumerate(urls))
+    assert b"WARC-Target-URI: http://a/%41b?q=100%25\r\n" in warc.record(1, urls[0], b"", None)
     import base64
 
     assert by[3, 9]["payload_digest"] == base64.b32encode(hashlib.sha1("<p>é</p>".encode()).digest()).decode() == by[5, 9]["payload_digest"]
@@ -319,6 +346,20 @@ def test_quoted_values_of_any_length(model):
         html_main.parse("<p>x</p>" + s * 40_000)  # linear, or this takes minutes
 
 
+def test_deep_and_stray_tags_take_linear_time():
+    import time
+
+    def took(n):
+        began = time.perf_counter()
+        html_main.parse("<div>" * n + "</span>" * n + "<p>x" * n)
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(16_000) < 12 * took(4_000) + 0.5
+    p = html_main.parse("<div><p>a<b>b</div></p>c</b><ul><li>d<li>e</ul></li>f")
+    assert [(p.tags[e], t) for _, e, t in p.segments] == [("p", "a"), ("b", "b"), ("#root", "c"), ("li", "d"), ("li", "e"), ("#root", "f")]
+
+
 def test_body_holds_everything_after_a_long_head():
     class Trees:  # all but html and body are main text
         def logits(self, x):

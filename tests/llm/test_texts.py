@@ -61,7 +61,7 @@ def test_fingerprints_of_no_and_one_and_idless_rows(spark, docs):
 
 def test_model_is_normalised():
     rng = np.random.default_rng(0)
-    m = lblm.initial([f"w{i}" for i in range(20)], np.arange(22.0), 231, 22)
+    m = lblm.initial([f"w{i}" for i in range(20)], np.arange(24.0), np.array([4.0, 5, 6]), 276, 36)
     m.r, m.q = rng.normal(size=m.r.shape), rng.normal(size=m.q.shape)
     n = len(m.b)
     for w1, w2 in ((0, 0), (3, 5), (m.start, m.start), (4, m.start)):
@@ -69,12 +69,12 @@ def test_model_is_normalised():
 
 
 def test_training_learns_what_follows():
-    m = lblm.initial(["a", "b", "c"], np.array([50.0, 1, 300, 300, 300]), 951, 5)
+    m = lblm.initial(["a", "b", "c"], np.array([50.0, 300, 300, 300, 1]), np.ones(1), 951, 5)
     t = lblm.Trainer(m, 1)
-    ids = np.tile([2, 3, 4], 3000)
+    ids = np.tile([1, 2, 3], 3000)
     for _ in range(5):
         t.learn(*lblm.contexts(ids, np.array([9000]), m.start)[:3])
-    p = np.exp(t.m.log_probs(np.array([3, 4]), np.array([2, 2]), np.array([4, 4])))
+    p = np.exp(t.m.log_probs(np.array([2, 3]), np.array([1, 1]), np.array([3, 3])))
     assert p[0] > 0.8 > p[1]
 
 
@@ -98,6 +98,32 @@ def test_base_scores_against_brute_force(spark, docs):
     assert lblm.score(docs([]), "doc_id", "text", ~held).count() == 0
 
 
+def test_scores_against_brute_force(spark, docs, monkeypatch):
+    import zlib
+    from collections import Counter
+
+    texts = dict(enumerate([*ODD, "The the THE cat\tsat", "cat on a mat", "unseen words here", "q w e r t y the cat"] * 4))
+    held, models, real = fold("doc_id", 5) == 1, [], lblm.trained
+    monkeypatch.setattr(lblm, "trained", lambda *a: models.append(real(*a)) or models[-1])
+    monkeypatch.setattr(lblm, "STRIPE", 3)
+    got = {r["doc_id"]: r["score"] for r in lblm.score(docs(texts), "doc_id", "text", ~held, top=4).collect()}
+    m, split = models[0], {i: (t or "").encode().lower().split() for i, t in texts.items()}
+    c = Counter(w for i, x in split.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in x)
+    own = {w.encode(): 1 + k for k, w in enumerate(m.words)}
+    assert len(own) == 4 and m.counts[1:5].tolist() == sorted(c.values(), reverse=True)[:4] and m.kinds.sum() == len(c) - 4
+    assert m.counts[5:].sum() == sum(c.values()) - m.counts[1:5].sum()
+    for i, x in split.items():
+        ids = [own.get(w, 5 + zlib.crc32(w) % len(m.kinds)) for w in x] + [0]
+        total, w1, w2 = 0.0, m.start, m.start
+        for k, y in enumerate(ids):
+            z = m.q @ (m.r[w1] * m.c[0] + m.r[w2] * m.c[1]) + m.b
+            total += z[y] - np.log(np.exp(z).sum())
+            if y >= 5:
+                total += np.log((c[x[k]] + 0.5) / (m.counts[y] + 0.5 * (m.kinds[y - 5] + 1)))
+            w1, w2 = y, w1
+        assert np.isclose(got[i], total / np.log(10), rtol=1e-4)
+
+
 def test_scores_beat_the_base_on_held_out_texts(spark, sf):
     got = registry.op2_lm_scores(spark, "/root/testdata/sf0.01").filter("held_out").toPandas()
     assert got["score"].sum() > got["base_score"].sum()
