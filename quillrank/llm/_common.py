@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +22,38 @@ M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
+_last: list[str] = []
+_caches: list[Callable] = []
+
+
+def cached_in_worker(cached):
+    """Marks a function with a cache (functools.lru_cache) that lasts as long as a worker runs tasks of one module."""
+    _caches.append(cached.cache_clear)
+    return cached
+
+
+def entered(module: str) -> None:
+    """A worker outlives its tasks: when one of another module begins, what the former modules kept goes, back to the system
+    too, so that a chain of operators takes the memory of its largest and not of all."""
+    if _last and _last[0] != module:
+        for clear in _caches:
+            clear()
+        gc.collect()
+        with suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+    _last[:] = [module]
+
+
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """fn: an iterator of pyarrow batches to another; the package is sent to the executors first."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    module = fn.__module__
+
+    def run(batches):
+        entered(module)
+        yield from fn(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def plain(a: pa.Array) -> pa.Array:
@@ -88,9 +119,10 @@ def fold(id_col: str, n: int) -> Column:
 def keep_rows(df: DataFrame, text_col: str, make_keep) -> DataFrame:
     """The rows of df whose text a predicate keeps, all columns as they are, without a shuffle. make_keep() is called
     once a task and gives a function from a list of texts (null: empty) to a list of booleans."""
-    at = df.columns.index(text_col)
+    at, module = df.columns.index(text_col), make_keep.__module__
 
     def run(batches):
+        entered(module)
         keep = make_keep()
         for batch in batches:
             for part in slices(batch, at):

@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 
-from quillrank.llm._common import byte_texts, map_arrow, slices
+from quillrank.llm._common import byte_texts, cached_in_worker, map_arrow, slices
 
 #: Pre-tokens that a worker keeps with their ids (and as many older ones), and the longest that it keeps; characters of
 #: new pre-tokens that share a queue.
@@ -193,6 +193,7 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+@cached_in_worker
 @lru_cache(maxsize=4)
 def codec(ranks_path: str, pattern: str) -> Codec:
     return Codec(ranks_path, pattern)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.llm._common import byte_texts, keep_rows, map_arrow, mix, slices, within_budget
+from quillrank.llm._common import byte_texts, cached_in_worker, keep_rows, map_arrow, mix, slices, within_budget
 
 #: The training sample's bound: rows of each language, and bytes of their texts.
 SAMPLE_ROWS, SAMPLE_BYTES = 1_000, 4 << 20
@@ -93,6 +93,7 @@ class Pieces:
         return out
 
 
+@cached_in_worker
 @lru_cache(maxsize=2)
 def vocabulary(model_file: str) -> Pieces:
     import sentencepiece
