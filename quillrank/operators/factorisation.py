@@ -7,7 +7,8 @@ larger catalogue raises an error that names the distributed alternative (ALS, P3
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import chain, count, islice
 
 import numpy as np
 import pandas as pd
@@ -16,8 +17,9 @@ from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillrank.operators import prep, similarity
-from quillrank.runtime import materialise, ship
+from quillrank.operators import prep, similarity, weighting
+from quillrank.runtime import discard, materialise, ship
+from quillrank.sources import store
 
 #: Numbers of a dense item table that a task or the driver may hold (800 MB).
 ITEM_CELLS = 100_000_000
@@ -54,8 +56,12 @@ def as_weights(spark, w: np.ndarray, k: int | None = None) -> DataFrame:
     return df if k is None else prep.top_k(df, k, "dst", "weight", "src")
 
 
-def ease(urm: DataFrame, n_items: int, l2: float = 1e3, k: int | None = None) -> DataFrame:
-    """EASE: B = P / -diag P, P the inverse Gram matrix whose diagonal is the items' interaction counts plus l2."""
+def ease(urm: DataFrame, n_items: int, l2: float = 1e3, k: int | None = None, normalise: bool = False) -> DataFrame:
+    """EASE: B = P / -diag P, P the inverse Gram matrix whose diagonal is the items' interaction counts plus l2. normalise:
+    ratings are divided by their user's and then by their item's Euclidean norm."""
+    if normalise:
+        own = urm.select("user_id", "item_id", "rating")
+        urm = materialise(weighting.normalised(weighting.normalised(own, "user_id", "rating", "l2"), "item_id", "rating", "l2"), "normalised")
     g = gram(urm, n_items)
     counts = urm.groupBy("item_id").agg(F.count("*").alias("n")).toPandas()
     diag = np.full(n_items, float(l2))
@@ -77,12 +83,13 @@ def _rows(batch) -> list[tuple]:
 
 
 def _item_sums(df: DataFrame, fn: Callable, n_items: int, width: int, mean: bool = False) -> np.ndarray:
-    """fn turns a task's rows into an items x width array, which are summed (or averaged) over tasks per item."""
+    """fn turns a task's rows, which it gets one after another, into an items x width array; those are summed (or averaged)
+    over tasks per item."""
 
     def run(batches):
-        rows = [r for b in batches for r in _rows(b)]
-        if rows:
-            out = fn(rows)
+        rows = (r for b in batches for r in _rows(b))
+        if (first := next(rows, None)) is not None:
+            out = fn(chain((first,), rows))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_items)), pa.array(list(out), pa.list_(pa.float64()))], names=["i", "v"])
 
     parts = _mapped(df, run, "i long, v array<double>").select("i", F.posexplode("v").alias("k", "x"))
@@ -112,6 +119,7 @@ def pure_svd(urm: DataFrame, n_items: int, factors: int = 20, rounds: int = 6, s
             return out
 
         z = _item_sums(p, project, n_items, width)
+        held.destroy()
         v, r = np.linalg.qr(z)
         _, values, vt = np.linalg.svd(r @ r.T)
         values = values**0.25
@@ -128,6 +136,7 @@ def pure_svd(urm: DataFrame, n_items: int, factors: int = 20, rounds: int = 6, s
         return full
 
     e, vec = np.linalg.eigh(_item_sums(p, small, n_items, width)[:width])
+    held.destroy()
     order = np.argsort(-e)[:factors]
     v, values = v @ vec[:, order], np.sqrt(np.maximum(e[order], 0))
     flip = np.sign(v[np.abs(v).argmax(0), np.arange(v.shape[1])])
@@ -174,15 +183,17 @@ def implicit_als(urm: DataFrame, factors: int = 10, reg: float = 0.1, alpha: flo
     return shape(m.userFactors), shape(m.itemFactors)
 
 
-def nmf(urm: DataFrame, n_items: int, factors: int = 10, rounds: int = 15, seed: int = 42) -> tuple[DataFrame, np.ndarray]:
-    """Non-negative factors by multiplicative updates for the squared error: user table, item factors."""
+def nmf(urm: DataFrame, n_items: int, factors: int = 10, rounds: int = 15, seed: int = 42, loss: str = "frobenius") -> tuple[DataFrame, np.ndarray]:
+    """Non-negative factors by multiplicative updates for the squared error ('frobenius') or the Kullback-Leibler divergence
+    ('kullback-leibler'), without penalties: user table, item factors."""
+    divergence = {"frobenius": False, "kullback-leibler": True}[loss]
     bounded(n_items, factors)
     spark = urm.sparkSession
     h = np.random.default_rng(seed).random((n_items, factors)) + 0.1
     state = profiles(urm).withColumn("w", F.transform(F.sequence(F.lit(1), F.lit(factors)), lambda k: F.pmod(F.xxhash64("user_id", k, F.lit(seed)), F.lit(1000)) / 1000.0 + 0.1))
     state = materialise(state, "nmf")
     for _ in range(rounds):
-        held = spark.sparkContext.broadcast((h, h.T @ h))
+        held = spark.sparkContext.broadcast((h, h.sum(0) if divergence else h.T @ h))
 
         def update(batches, held=held):
             for b in batches:
@@ -190,21 +201,33 @@ def nmf(urm: DataFrame, n_items: int, factors: int = 10, rounds: int = 15, seed:
                 out = []
                 for _, items, ratings, w in _rows(b):
                     w = np.array(w)
-                    out.append((w * (np.array(ratings) @ x[items]) / (w @ hh + EPS)).tolist())
+                    if divergence:
+                        out.append((w * ((np.array(ratings) / (x[items] @ w + EPS)) @ x[items]) / (hh + EPS)).tolist())
+                    else:
+                        out.append((w * (np.array(ratings) @ x[items]) / (w @ hh + EPS)).tolist())
                 yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.list_(pa.float64()))], names=["user_id", "items", "ratings", "w"])
 
         state = materialise(_mapped(state.select("user_id", "items", "ratings", "w"), update, "user_id long, items array<long>, ratings array<double>, w array<double>"), "nmf")
 
-        def sums(rows):
-            top, ww = np.zeros((n_items, factors)), np.zeros((factors, factors))
+        tall = max(n_items, factors)
+
+        def sums(rows, held=held):
+            x, _ = held.value
+            top, ww = np.zeros((tall, factors)), np.zeros((tall, factors))
             for _, items, ratings, w in rows:
                 w = np.array(w)
-                top[items] += np.outer(ratings, w)
-                ww += np.outer(w, w)
-            return np.hstack((top, np.vstack((ww, np.zeros((n_items - factors, factors))))))
-
-        both = _item_sums(state, sums, n_items, 2 * factors)
-        h = h * both[:, :factors] / (h @ both[:factors, factors:] + EPS)
+                if divergence:
+                    top[items] += np.outer(np.array(ratings) / (x[items] @ w + EPS), w)
+                    ww[0] += w
+                else:
+                    top[items] += np.outer(ratings, w)
+                    ww[:factors] += np.outer(w, w)
+            return np.hstack((top, ww))
+
+        both = _item_sums(state, sums, tall, 2 * factors)
+        held.destroy()
+        below = both[0, factors:] if divergence else h @ both[:factors, factors:]
+        h = h * both[:n_items, :factors] / (below + EPS)
     return state.select(F.col("user_id").alias("id"), F.col("w").alias("factors"), F.lit(0.0).alias("bias")), h
 
 
@@ -282,11 +305,18 @@ def negative_item(rng: np.random.Generator, seen: set, n_items: int) -> int | No
     return j
 
 
-def sgd_factors(urm: DataFrame, n_items: int, model: str, factors: int = 8, epochs: int = 5, rate: float = 0.05, reg: float = 0.01, how: str = "sgd", negatives: float = 0.0, seed: int = 42) -> tuple[DataFrame, np.ndarray, np.ndarray, float]:
+def sgd_factors(urm: DataFrame, n_items: int, model: str, factors: int = 8, epochs: int = 5, **how) -> tuple[DataFrame, np.ndarray, np.ndarray, float]:
+    """The model after so many epochs of sgd_epochs()."""
+    return next(islice(sgd_epochs(urm, n_items, model, factors, **how), epochs - 1, None))
+
+
+def sgd_epochs(urm: DataFrame, n_items: int, model: str, factors: int = 8, rate: float = 0.05, reg: float = 0.01, how: str = "sgd", negatives: float = 0.0, seed: int = 42, parts: int = 16) -> Iterator[tuple[DataFrame, np.ndarray, np.ndarray, float]]:
     """model: 'funk' (squared error with biases, negatives: zero samples per interaction), 'bpr' (pairs), or 'asy' (the
-    user's vector is the mean-scaled sum of its items' own vectors). An epoch is a pass in which every task runs SGD over
-    its users from the same item parameters, which are then averaged over tasks. Returns the user table, item factors
-    (for asy: the scoring ones), item biases and the mean."""
+    user's vector is the mean-scaled sum of its items' own vectors). An epoch is a pass in which every part of the users runs
+    SGD from the same item parameters, which are then averaged over parts. Users are dealt into parts by a hash of their id
+    and go in the order of their ids, so a result depends on parts and seed but not on the cluster. how: the step rule of all
+    parameters; users keep their own accumulators from epoch to epoch, items' start anew. Yields, after each epoch, the user
+    table, item factors (for asy: the scoring ones), item biases and the mean; ends never."""
     width = 2 * factors + 1
     bounded(n_items, width)
     spark = urm.sparkSession
@@ -294,18 +324,23 @@ def sgd_factors(urm: DataFrame, n_items: int, model: str, factors: int = 8, epoc
     rng = np.random.default_rng(seed)
     params = np.hstack((rng.normal(0, 0.1, (n_items, 2 * factors)), np.zeros((n_items, 1))))
     start = F.transform(F.sequence(F.lit(0), F.lit(factors)), lambda k: F.when(k == factors, 0.0).otherwise(F.pmod(F.xxhash64("user_id", k, F.lit(seed)), F.lit(2001)) / 10000.0 - 0.1))
-    state = materialise(profiles(urm).withColumn("u", start), "sgd")
-    for epoch in range(epochs):
+    first = F.array_repeat(F.lit(0.0), 2 * (factors + 1) + 1)
+    state = materialise(profiles(urm).withColumn("u", start).withColumn("acc", first), "sgd")
+    for epoch in count():
         held = spark.sparkContext.broadcast(params)
+        dealt = state.withColumn("part", F.pmod(F.xxhash64("user_id"), F.lit(parts)).cast("int")).repartitionById(parts, F.col("part"))
+        dealt = dealt.sortWithinPartitions("user_id").select("user_id", "items", "ratings", "u", "acc")
 
         def run(batches, held=held, epoch=epoch):
             x, local = held.value.copy(), np.random.default_rng(seed + epoch)
             opt = Optimiser(how, x.shape, rate)
-            ids, out, touched = [], [], 0
+            ids, out, kept, touched, vector = [], [], [], 0, slice(0, factors)
             for b in batches:
-                for user, items, ratings, u in _rows(b):
+                for user, items, ratings, u, acc in _rows(b):
                     touched += 1
                     u, seen = np.array(u), set(items)
+                    own = Optimiser(how, factors + 1, rate)
+                    own.m, own.v, own.t = np.array(acc[: factors + 1]), np.array(acc[factors + 1 : -1]), int(acc[-1])
                     for t in local.permutation(len(items)):
                         i, r = items[t], ratings[t]
                         if model == "bpr":
@@ -315,7 +350,7 @@ def sgd_factors(urm: DataFrame, n_items: int, model: str, factors: int = 8, epoc
                             d = x[i, :factors] - x[j, :factors]
                             s = 1 / (1 + np.exp(np.clip(u[:-1] @ d, -30, 30)))
                             old = u[:-1].copy()
-                            u[:-1] += rate * (s * d - reg * u[:-1])
+                            u[:-1] += own.step(vector, s * d - reg * u[:-1])
                             x[i, :factors] += opt.step((i, slice(0, factors)), s * old - reg * x[i, :factors])
                             x[j, :factors] += opt.step((j, slice(0, factors)), -s * old - reg * x[j, :factors])
                             continue
@@ -328,29 +363,62 @@ def sgd_factors(urm: DataFrame, n_items: int, model: str, factors: int = 8, epoc
                             gi = e * vec - reg * x[item, :factors]
                             if model == "asy":
                                 scale = (np.array(ratings) / np.sqrt(len(items)))[:, None]
-                                x[items, factors : 2 * factors] += rate * (e * scale * x[item, :factors] - reg * x[items, factors : 2 * factors]) / len(items)
+                                mine = (items, slice(factors, 2 * factors))
+                                x[mine] += opt.step(mine, (e * scale * x[item, :factors] - reg * x[mine]) / len(items))
                             else:
-                                u[:-1] += rate * (e * x[item, :factors] - reg * u[:-1])
+                                u[:-1] += own.step(vector, e * x[item, :factors] - reg * u[:-1])
                             x[item, :factors] += opt.step((item, slice(0, factors)), gi)
-                            x[item, -1] += rate * (e - reg * x[item, -1])
-                            u[-1] += rate * (e - reg * u[-1])
+                            x[item, -1] += opt.step((item, width - 1), e - reg * x[item, -1])
+                            u[-1] += own.step(factors, e - reg * u[-1])
                     ids.append(user)
                     out.append(u.tolist())
+                    kept.append([*own.m.tolist(), *own.v.tolist(), float(own.t)])
             if touched:
                 kind = pa.list_(pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(ids + list(range(n_items)), pa.int64()), pa.array([True] * len(ids) + [False] * n_items), pa.array(out + x.tolist(), kind), pa.array([1.0] * len(ids) + [float(touched)] * n_items)], names=["id", "is_user", "v", "weight"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids + list(range(n_items)), pa.int64()), pa.array([True] * len(ids) + [False] * n_items), pa.array(out + x.tolist(), kind), pa.array([1.0] * len(ids) + [float(touched)] * n_items), pa.array(kept + [None] * n_items, kind)], names=["id", "is_user", "v", "weight", "acc"])
 
-        both = materialise(_mapped(state.select("user_id", "items", "ratings", "u"), run, "id long, is_user boolean, v array<double>, weight double"), "sgd")
+        both = materialise(_mapped(dealt, run, "id long, is_user boolean, v array<double>, weight double, acc array<double>"), "sgd")
+        held.destroy()
         cells = both.filter("not is_user").select("id", "weight", F.posexplode("v").alias("k", "x")).groupBy("id", "k").agg((F.sum(F.col("x") * F.col("weight")) / F.sum("weight")).alias("x")).toPandas()
         params = params.copy()
         params[cells["id"], cells["k"]] = cells["x"]
-        state = materialise(state.drop("u").join(both.filter("is_user").select(F.col("id").alias("user_id"), F.col("v").alias("u")), "user_id"), "sgd")
-    v, bias = params[:, :factors], params[:, -1]
-    if model == "asy":
-        users = fold_in(state, params[:, factors : 2 * factors], scale=True)
-    else:
-        users = state.select(F.col("user_id").alias("id"), F.slice("u", 1, factors).alias("factors"), F.element_at("u", -1).alias("bias"))
-    return users, v, bias, mu
+        old = state
+        state = materialise(state.drop("u", "acc").join(both.filter("is_user").select(F.col("id").alias("user_id"), F.col("v").alias("u"), "acc"), "user_id"), "sgd")
+        discard(both)
+        if epoch == 0:
+            discard(old)  # later states may still be read as a yielded user table
+        if model == "asy":
+            users = fold_in(state, params[:, factors : 2 * factors], scale=True)
+        else:
+            users = state.select(F.col("user_id").alias("id"), F.slice("u", 1, factors).alias("factors"), F.element_at("u", -1).alias("bias"))
+        yield users, params[:, :factors], params[:, -1], mu
+
+
+def cold_user_model(train: DataFrame, profiles_of: DataFrame, v: np.ndarray, how: str = "mean", k: int = 100) -> DataFrame:
+    """Scores (user_id, item_id, score) of users that the factorisation never saw, from their profiles (user_id, item_id,
+    rating) and the item factors: 'mean' scores with the sum of rating * v over the square root of the profile's length;
+    'knn' with the k heaviest entries of V V' for each item."""
+    spark = train.sparkSession
+    if how == "knn":
+        w = item_similarity_of(spark, v, k)
+        seen = profiles_of.join(train.select("item_id").distinct(), "item_id", "left_semi")
+        return seen.join(w, seen["item_id"] == w["src"]).groupBy("user_id", F.col("dst").alias("item_id")).agg(F.sum(F.col("rating") * F.col("weight")).alias("score"))
+    users = fold_in(profiles(profiles_of), v, scale=True)
+    table = item_table(spark, v).select(F.col("id").alias("item_id"), F.col("factors").alias("fi"))
+    warm = train.select("item_id").distinct().join(table, "item_id")
+    pairs = users.select(F.col("id").alias("user_id"), F.posexplode("factors").alias("d", "x")).join(warm.select("item_id", F.posexplode("fi").alias("d", "y")), "d")
+    return pairs.groupBy("user_id", "item_id").agg(F.sum(F.col("x") * F.col("y")).alias("score"))
+
+
+def save_model(folder: str, users: DataFrame, v: np.ndarray, bias: np.ndarray | None = None, mu: float = 0.0) -> None:
+    """A factor model as tables of users and items and its mean."""
+    store.save(folder, {"users": users, "items": item_table(users.sparkSession, v, bias)}, {"mu": mu})
+
+
+def load_model(spark, folder: str) -> tuple[DataFrame, DataFrame, float]:
+    """User table, item table and mean of a saved model, as ranking.top_n_factors() takes them."""
+    tables, values = store.load(spark, folder)
+    return tables["users"], tables["items"], values["mu"]
 
 
 def slim_bpr(urm: DataFrame, n_items: int, epochs: int = 3, rate: float = 0.05, reg: float = 0.001, k: int = 100, symmetric: bool = True, seed: int = 42) -> DataFrame:
@@ -375,6 +443,7 @@ def slim_bpr(urm: DataFrame, n_items: int, epochs: int = 3, rate: float = 0.05,
             return x
 
         s = _item_sums(p, learn, n_items, n_items, mean=True)
+        held.destroy()
         if symmetric:
             s = (s + s.T) / 2
         np.fill_diagonal(s, 0)

@@ -29,6 +29,19 @@ def exists(spark: SparkSession, folder: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
+def there(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def published_or_made(spark: SparkSession, published: dict[str, str], read: Callable[[str], DataFrame], make: Callable[[], dict[str, DataFrame]]) -> tuple[dict[str, DataFrame], bool]:
+    """The parts of a split that its authors published, read from their files if all are there, else those that make()
+    gives; and whether they are the published ones."""
+    if published and all(there(spark, p) for p in published.values()):
+        return {name: read(p) for name, p in published.items()}, True
+    return make(), False
+
+
 def load_or_build(spark: SparkSession, folder: str, build: Callable[[], tuple[dict[str, DataFrame], dict]]) -> tuple[dict[str, DataFrame], dict]:
     """The saved copy if there is one, else builds, saves and loads it."""
     if not exists(spark, folder):

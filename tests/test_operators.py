@@ -281,3 +281,95 @@ def test_blocked_factor_lists_equal_the_whole_grid(spark, cells, monkeypatch):
     assert sorted((r["user_id"], r["rank"], r["item_id"], r["score"]) for r in got.collect()) == sorted(want)
     assert ranking.top_n_factors(spark.createDataFrame([], schema), spark.createDataFrame(items, schema), 6).count() == 0
     assert ranking.top_n_factors(spark.createDataFrame(users, schema), spark.createDataFrame([], schema), 6).count() == 0
+
+
+def test_factor_models_and_their_options(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(u, i, float(rng.integers(1, 5))) for u in range(30) for i in rng.permutation(12)[: 3 + u % 4].tolist()]
+    urm = spark.createDataFrame(rows, "user_id long, item_id long, rating double")
+    dense_urm = np.zeros((30, 12))
+    for u, i, r in rows:
+        dense_urm[u, i] = r
+
+    def matrix(users, v):
+        w = np.array([r["factors"] for r in users.orderBy("id").collect()])
+        return w @ v.T
+
+    seen = dense_urm > 0
+    divergence = lambda x: (dense_urm[seen] * np.log(dense_urm[seen] / x[seen])).sum() - dense_urm.sum() + x.sum()
+    square = lambda x: ((dense_urm - x) ** 2).sum()
+    for loss, of in (("frobenius", square), ("kullback-leibler", divergence)):
+        values = [of(matrix(*factorisation.nmf(urm, 12, 4, n, loss=loss))) for n in (1, 4, 9)]
+        assert values[0] > values[1] > values[2]
+    x = dense_urm / np.linalg.norm(dense_urm, axis=1, keepdims=True)
+    x = x / np.linalg.norm(x, axis=0, keepdims=True)
+    g = x.T @ x
+    np.fill_diagonal(g, (x > 0).sum(0) + 5.0)
+    p = np.linalg.inv(g)
+    want = p / -np.diag(p)
+    np.fill_diagonal(want, 0)
+    got = np.zeros((12, 12))
+    for r in factorisation.ease(urm, 12, 5.0, normalise=True).collect():
+        got[r["src"], r["dst"]] = r["weight"]
+    assert np.allclose(got, want)
+    for how in ("sgd", "adagrad", "rmsprop", "adam"):
+        errors = []
+        for k, (users, v, b, mu) in zip(range(3), factorisation.sgd_epochs(urm, 12, "funk", 3, 0.02, how=how, parts=3), strict=False):
+            own = {r["id"]: r for r in users.collect()}
+            errors.append(sum((r - mu - b[i] - own[u]["bias"] - np.dot(own[u]["factors"], v[i])) ** 2 for u, i, r in rows))
+        assert errors[2] < errors[0]
+    a, b = (factorisation.sgd_factors(x, 12, "bpr", 3, 2, parts=3)[1] for x in (urm, urm.repartition(5)))
+    assert np.allclose(a, b)  # whichever way the rows come
+    users, v, _ = factorisation.pure_svd(urm, 12, 3)
+    factorisation.save_model(str(tmp_path / "svd"), users, v, mu=0.5)
+    u2, i2, mu = factorisation.load_model(spark, str(tmp_path / "svd"))
+    assert mu == 0.5 and ranking.top_n_factors(u2, i2, 4).count() == 120
+    cold = spark.createDataFrame([(99, 0, 2.0), (99, 3, 1.0)], "user_id long, item_id long, rating double")
+    got = {r["item_id"]: r["score"] for r in factorisation.cold_user_model(urm, cold, v).collect()}
+    vec = (2 * v[0] + v[3]) / np.sqrt(2)
+    assert len(got) == 12 and all(np.isclose(got[i], vec @ v[i]) for i in got)
+    knn = {r["item_id"]: r["score"] for r in factorisation.cold_user_model(urm, cold, v, "knn", 12).collect()}
+    assert all(np.isclose(knn[i], 2 * v[0] @ v[i] + v[3] @ v[i]) for i in knn)
+
+
+def test_search_drivers_fit_every_model(spark):
+    from quillrank.plans import drivers
+
+    rng = np.random.default_rng(6)
+    rows = [(u, i, 1.0) for u in range(20) for i in rng.permutation(8)[:4].tolist()]
+    urm = spark.createDataFrame(rows, "user_id long, item_id long, rating double")
+    split = splits.leave_k_out(urm, 1, validation=False)
+    train, held = (split.filter(f"split = '{x}'").drop("split") for x in ("train", "test"))
+    feature = lambda c: urm.select(c, (F.col(c) % 3).cast("string").alias("feature"), F.lit(1.0).alias("value")).distinct()
+    s = drivers.Setting(train, urm.select("user_id").distinct(), 20, 8, feature("item_id"), feature("user_id"), n=3, epochs=1)
+    params = {"k": 5, "shrink": 0, "factors": 2, "alpha": 0.5, "beta": 0.3, "l2": 10.0, "weight": 2.0, "l1_ratio": 0.1, "epsilon": 1.0, "reg": 0.01, "rate": 0.05, "how": "adam", "negatives": 0.2, "normalise": True, "feature_weighting": "TF-IDF", "symmetric": True}
+    for model in [*drivers.COLLABORATIVE, *drivers.NEIGHBOURS]:
+        own = {k: params[k] for k in drivers.space_of(model)}
+        assert drivers.fits(s, model)(**own).select("user_id").distinct().count() == 20, model
+    found = drivers.search(s, held, "p3alpha", cases=3, starts=2)
+    assert len(found.cases) == 3 and found.best().value >= 0 and all(c.exception is None for c in found.cases)
+    best, at, value = drivers.trained_until(s, held, "bpr", most=4, every=2, factors=2)
+    assert at in (2, 4) and 0 <= value <= 1 and len(best) == 4
+
+
+def test_published_splits_are_read_if_all_are_there(spark, tmp_path):
+    df = spark.range(3)
+    for name in ("train", "test"):
+        df.write.parquet(str(tmp_path / name))
+    paths = {n: str(tmp_path / n) for n in ("train", "test")}
+    got, theirs = store.published_or_made(spark, paths, spark.read.parquet, lambda: {})
+    assert theirs and got["train"].count() == 3
+    got, theirs = store.published_or_made(spark, paths | {"validation": str(tmp_path / "none")}, spark.read.parquet, lambda: {"train": df})
+    assert not theirs and list(got) == ["train"]
+
+
+def test_blocks_keep_their_headers_across_splits(spark, tmp_path):
+    lines = [x for i in range(40) for x in (f"{i}:", *(f"{u},{u % 5}.0,2001-02-03" for u in range(i % 7)))]
+    (tmp_path / "blocks.txt").write_text("\n".join(lines) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64b")
+    try:
+        got = readers.read_blocks(spark, str(tmp_path / "blocks.txt"))
+        assert sorted((int(r["item_id"]), int(r["user_id"])) for r in got.collect()) == [(i, u) for i in range(40) for u in range(i % 7)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
