@@ -183,8 +183,11 @@ class Codec:
         if len(self.cache) >= CACHE_ITEMS:
             self.older, self.cache = self.cache, {}
         extra = self.learn(set().union(*split).difference(self.cache))
-        get = self.cache.__getitem__ if not extra else lambda p: extra[p] if p in extra else self.cache[p]
-        return [list(chain.from_iterable(map(get, x))) for x in split]
+        self.cache.update(extra)  # while these texts need them
+        out = [list(chain.from_iterable(map(self.cache.__getitem__, x))) for x in split]
+        for p in extra:
+            del self.cache[p]
+        return out
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0]
