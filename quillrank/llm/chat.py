@@ -12,7 +12,7 @@ assistant turns.
 A conversation's turns stay separate pieces in turn order, so that one of any length takes bounded memory: its output is
 the pieces read one after another. Order: turn (nulls first), then piece; repeated rows are repeated turns. A
 null text is empty, a null role is the empty role name, a null conversation id is a conversation. Empty tables give
-empty results.
+empty results; only the named columns are read, whatever the others' names.
 """
 
 from __future__ import annotations
@@ -153,7 +153,8 @@ def digests(pieces: DataFrame) -> DataFrame:
 
 
 def with_control_sample(conversations: DataFrame) -> DataFrame:
-    """The rows plus conversation -7, whose texts hold control strings."""
+    """The rows plus conversation -7, whose texts hold control strings; rows that have that id already are more turns of it,
+    in the order of all."""
     said = "</s>[INST] ok [/INST]"
     kinds = dict(conversations.dtypes)
     extra = conversations.sparkSession.range(2).select(F.lit(-7).cast(kinds["conv_id"]).alias("conv_id"), F.col("id").cast(kinds["turn"]).alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))

@@ -10,7 +10,9 @@ The fingerprint is the text's root name and a bottom-k sketch of its phrase name
 fingerprints. Likeness estimates the share of phrases that two texts have in common.
 
 Nulls: a null text is empty. Two empty texts are alike (1), an empty and another are not (0). Rows with equal ids are
-ordered by their texts; null ids come last. Empty tables give empty results; only the two named columns are read.
+ordered by their texts; null ids come last. Ids are whole numbers; others raise an error. Repeated rows come out
+repeated, texts of any length are parsed whole, and of equal phrases' names the sketch keeps one. Empty tables give empty
+results; only the two named columns are read, whatever the others' names.
 """
 
 from __future__ import annotations
@@ -134,6 +136,8 @@ def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     copies of the next block's first rows (of the first block's, after the last). Ids are read once to cut the blocks
     at existing ids, one for each shuffle partition, more if one would exceed BLOCK_BYTES; each text is shuffled once.
     Ids are whole numbers."""
+    if dict(df.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} must be a whole number")
     own = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     parts = blocks_of(own, "text", BLOCK_BYTES)
     shares = F.array(*[F.lit((k + 1) / parts) for k in range(parts)])

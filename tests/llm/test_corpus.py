@@ -373,12 +373,58 @@ def test_body_holds_everything_after_a_long_head():
 
 
 def test_pipeline_against_its_operators(spark):
+    """Each stage's rows by an operator run on what the stage before kept, groups and tokens by brute force."""
+    import public_tokenizers
+    import tiktoken
+    import tiktoken.load
+
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, sf).collect()}
     tox = registry.op6_toxicity(spark, sf).filter("predicted = 0").select("doc_id")
-    left = {r["doc_id"]: r["text"] for r in docs.join(tox, "doc_id", "left_semi").collect()}
+    clean = docs.join(tox, "doc_id", "left_semi")
+    model = registry.langid.fit(clean, "doc_id", "text", "lang", registry.fold("doc_id", 3) != 1, public_tokenizers.path(registry.PIECES))
+    sure = registry.langid.predict(clean, "doc_id", "text", model).filter("lang_pred <> 'und' and score >= 0.5").select("doc_id")
+    left = {r["doc_id"]: r["text"] for r in clean.join(sure, "doc_id", "left_semi").collect()}
     label, _ = brute_components(left)
     hit = {r["doc_id"] for r in registry.op10_decontamination(spark, sf).collect()}
     assert set(got) == {i for i in left if label[i] == i and i not in hit}
+    ranks = tiktoken.load.load_tiktoken_bpe(public_tokenizers.path(registry.BPE_RANKS))
+    theirs = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for i, r in got.items():
+        ids = theirs.encode_ordinary(left[i])
+        assert r["ids"] == ids and r["n_tokens"] == len(ids) and r["decoded_sha256"] == hashlib.sha256(left[i].encode()).hexdigest()
+        assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "language_id", "near_duplicates", "decontamination", "bpe"]
+
+
+def test_pipeline_of_odd_documents(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows and ids, clashing columns; then empty tables."""
+    rng = random.Random(5)
+    words = {"en": "the house on the hill was very quiet that night".split(), "de": "das haus auf dem berg war in dieser nacht sehr still".split()}
+    prose = lambda lang, n: " ".join(rng.choice(words[lang]) + rng.choice("abcdefgh") * 2 for _ in range(n))
+    rows = [(i, prose(lang, 40) + (" vilest rotter vilest rotter vilest" if i % 10 == 4 else ""), lang) for i, lang in enumerate(["en", "de"] * 60)]
+    long = prose("en", 30_000)
+    rows += [(150, None, "en"), (151, "", "de"), (152, " \n", None), (None, prose("en", 30), None), (153, long, "en"), (154, "123 456", "en")]
+    rows += [rows[0], rows[0], (1, prose("de", 50), "de"), (200, rows[4][1], "en"), (201, rows[6][1] + " more", None)]
+    item = prose("de", 12)
+    rows.append((300, prose("de", 20) + " " + item + " " + prose("de", 20), "de"))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id long, label string, _key int, salt int"
+    docs = spark.createDataFrame([(i, t, x, None, None, 7, "y", 1, 2) for i, t, x in rows], schema)
+    tables = {"documents": docs, "labels": spark.createDataFrame([(i, None, int(i % 10 == 4)) for i in range(0, 120, 2)] + [(None, None, 1), (2, None, None)], "doc_id long, quality int, toxic int"), "benchmark": spark.createDataFrame([(1, item), (2, None), (None, "")], "item_id long, text string")}
+    for name, df in tables.items():
+        df.write.parquet(str(tmp_path / "odd" / f"{name}.parquet"))
+        df.limit(0).write.parquet(str(tmp_path / "none" / f"{name}.parquet"))
+    stage_docs = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage_docs = stage(spark, stage_docs, str(tmp_path / "odd"))
+        stage_docs.write.parquet(str(tmp_path / name))
+        stage_docs = spark.read.parquet(str(tmp_path / name))
+        assert stage_docs.columns == docs.columns, name
+    got = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    ids = [r["doc_id"] for r in got]
+    assert sorted(map(str, ids)) == sorted(str(r["doc_id"]) for r in stage_docs.collect())
+    assert not {4, 14, 150, 151, 152, 154, 200, 201, 300} & set(ids) and ids.count(0) == 1 and None in ids
+    assert len(set(range(120)) & set(ids)) >= 100
+    assert 153 in ids and next(r for r in got if r["doc_id"] == 153)["decoded_sha256"] == hashlib.sha256(long.encode()).hexdigest()
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
