@@ -28,8 +28,12 @@ class Setting:
     epochs: int = 10
 
 
-def _sparse(s: Setting, scores: DataFrame) -> DataFrame:
-    return ranking.top_n(scores, s.train, s.users, s.n_items, s.n)
+def _by_items(s: Setting, profile: DataFrame, w: DataFrame) -> DataFrame:
+    return ranking.top_n_weighted(profile, w, s.users, s.n_items, s.n, s.train)
+
+
+def _by_users(s: Setting, ratings: DataFrame, w: DataFrame) -> DataFrame:
+    return _by_items(s, ranking.neighbour_profiles(w), ranking.rating_weights(ratings))
 
 
 def _factors(s: Setting, users: DataFrame, items: DataFrame, mu: float = 0.0) -> DataFrame:
@@ -44,12 +48,12 @@ def _sgd(s: Setting, model: str, **p) -> DataFrame:
 
 def _item_knn(s: Setting, kind: str, **p) -> DataFrame:
     w, profile = recommenders.item_knn_cf(s.train, s.n_items, kind=kind, **p)
-    return _sparse(s, ranking.item_scores(profile, w))
+    return _by_items(s, profile, w)
 
 
 def _user_knn(s: Setting, kind: str, **p) -> DataFrame:
     w, profile = recommenders.user_knn_cf(s.train, s.n_users, kind=kind, **p)
-    return _sparse(s, ranking.user_scores(profile, w))
+    return _by_users(s, profile, w)
 
 
 def _svd(s: Setting, factors: int) -> DataFrame:
@@ -64,34 +68,34 @@ def _nmf(s: Setting, **p) -> DataFrame:
 
 #: A function of a setting and a case's parameters for each collaborative model.
 COLLABORATIVE: dict[str, Callable[..., DataFrame]] = {
-    "p3alpha": lambda s, **p: _sparse(s, ranking.item_scores(s.train, recommenders.p3alpha(s.train, **p))),
-    "rp3beta": lambda s, **p: _sparse(s, ranking.item_scores(s.train, recommenders.p3alpha(s.train, **p))),
+    "p3alpha": lambda s, **p: _by_items(s, s.train, recommenders.p3alpha(s.train, **p)),
+    "rp3beta": lambda s, **p: _by_items(s, s.train, recommenders.p3alpha(s.train, **p)),
     "funk": lambda s, **p: _sgd(s, "funk", **p),
     "asy": lambda s, **p: _sgd(s, "asy", **p),
     "bpr": lambda s, **p: _sgd(s, "bpr", **p),
     "als": lambda s, **p: _factors(s, *factorisation.implicit_als(s.train, rounds=s.epochs, **p)),
     "svd": _svd,
     "nmf": _nmf,
-    "slim_bpr": lambda s, **p: _sparse(s, ranking.item_scores(s.train, factorisation.slim_bpr(s.train, s.n_items, s.epochs, **p))),
-    "slim": lambda s, **p: _sparse(s, ranking.item_scores(s.train, factorisation.slim_elastic_net(s.train, s.n_items, s.n_users, **p))),
-    "ease": lambda s, **p: _sparse(s, ranking.item_scores(s.train, factorisation.ease(s.train, s.n_items, **p))),
+    "slim_bpr": lambda s, **p: _by_items(s, s.train, factorisation.slim_bpr(s.train, s.n_items, s.epochs, **p)),
+    "slim": lambda s, **p: _by_items(s, s.train, factorisation.slim_elastic_net(s.train, s.n_items, s.n_users, **p)),
+    "ease": lambda s, **p: _by_items(s, s.train, factorisation.ease(s.train, s.n_items, **p)),
 }
 
 
 def _item_content(s: Setting, kind: str, **p) -> DataFrame:
-    return _sparse(s, ranking.item_scores(s.train, recommenders.knn_cbf(s.icm.withColumnRenamed("item_id", "id"), s.n_items, kind=kind, **p)))
+    return _by_items(s, s.train, recommenders.knn_cbf(s.icm.withColumnRenamed("item_id", "id"), s.n_items, kind=kind, **p))
 
 
 def _user_content(s: Setting, kind: str, **p) -> DataFrame:
-    return _sparse(s, ranking.user_scores(s.train, recommenders.knn_cbf(s.ucm.withColumnRenamed("user_id", "id"), s.n_users, kind=kind, **p)))
+    return _by_users(s, s.train, recommenders.knn_cbf(s.ucm.withColumnRenamed("user_id", "id"), s.n_users, kind=kind, **p))
 
 
 def _item_hybrid(s: Setting, kind: str, weight: float, **p) -> DataFrame:
-    return _sparse(s, ranking.item_scores(s.train, recommenders.item_knn_hybrid(s.train, s.icm, s.n_items, weight, kind=kind, **p)))
+    return _by_items(s, s.train, recommenders.item_knn_hybrid(s.train, s.icm, s.n_items, weight, kind=kind, **p))
 
 
 def _user_hybrid(s: Setting, kind: str, weight: float, **p) -> DataFrame:
-    return _sparse(s, ranking.user_scores(s.train, recommenders.user_knn_hybrid(s.train, s.ucm, s.n_users, weight, kind=kind, **p)))
+    return _by_users(s, s.train, recommenders.user_knn_hybrid(s.train, s.ucm, s.n_users, weight, kind=kind, **p))
 
 
 #: Neighbourhood models, which take a similarity's kind too.

@@ -482,10 +482,13 @@ def _setting(spark, sf_dir):
     return train, test, evaluation.eligible(test), tables.items(spark, sf_dir), table(spark, sf_dir, "part").count()
 
 
-def _recommended(setting, scores, profile=None, n=10):
+def _by_items(setting, profile, w, n=10):
     train, _, users, _, n_items = setting
-    scores = scores.withColumn("score", F.round("score", 9))
-    return six(ranking.top_n(scores, train if profile is None else profile, users, n_items, n), "score")
+    return six(ranking.top_n_weighted(profile, w, users, n_items, n, train), "score")
+
+
+def _by_users(setting, ratings, w, n=10):
+    return _by_items(setting, ranking.neighbour_profiles(w), ranking.rating_weights(ratings), n)
 
 
 def recs_sql(model: str, scores: str = "SELECT user_id, dst AS item_id, sum(rating * weight) AS score FROM train JOIN w ON src = item_id GROUP BY ALL", n: int = 10) -> str:
@@ -531,21 +534,21 @@ def rec_random(spark, sf_dir):
 def rec_itemknn_cf(spark, sf_dir):
     setting = train, _, _, _, n_items = _setting(spark, sf_dir)
     w, p = recommenders.item_knn_cf(train, n_items)
-    return _recommended(setting, ranking.item_scores(p, w))
+    return _by_items(setting, p, w)
 
 
 @query(recs_sql(f"""n AS (SELECT count(*) AS n FROM part), f AS (SELECT user_id, ln(any_value(n.n) / (1.0 + count(*))) AS idf FROM train, n GROUP BY 1), tw AS (SELECT user_id, item_id, sqrt(rating) * idf AS rating FROM train JOIN f USING (user_id)), {cosine_sql("tw", 10, 30)}""", "SELECT user_id, dst AS item_id, sum(rating * weight) AS score FROM tw JOIN w ON src = item_id GROUP BY ALL"))
 def rec_itemknn_cf_tfidf(spark, sf_dir):
     setting = train, _, _, _, n_items = _setting(spark, sf_dir)
     w, p = recommenders.item_knn_cf(train, n_items, k=30, shrink=10, feature_weighting="TF-IDF")
-    return _recommended(setting, ranking.item_scores(p, w))
+    return _by_items(setting, p, w)
 
 
 @query(recs_sql(cosine_sql("train", 100, 50, row="item_id", col="user_id"), "SELECT src AS user_id, item_id, sum(rating * weight) AS score FROM w JOIN train ON dst = train.user_id GROUP BY ALL"))
 def rec_userknn_cf(spark, sf_dir):
     setting = train, _, _, _, _ = _setting(spark, sf_dir)
     w, p = recommenders.user_knn_cf(train, table(spark, sf_dir, "customer").count())
-    return _recommended(setting, ranking.user_scores(p, w))
+    return _by_users(setting, p, w)
 
 
 def _cbf_sql(name: str, source: str, col: str) -> str:
@@ -556,28 +559,28 @@ def _cbf_sql(name: str, source: str, col: str) -> str:
 def rec_itemknn_cbf(spark, sf_dir):
     setting = train, _, _, _, n_items = _setting(spark, sf_dir)
     w = recommenders.knn_cbf(tables.icm_part(spark, sf_dir).withColumnRenamed("item_id", "id"), n_items, 20, 20)
-    return _recommended(setting, ranking.item_scores(train, w))
+    return _by_items(setting, train, w)
 
 
 @query(recs_sql(_cbf_sql("ucm", "ucm", "user_id"), "SELECT src AS user_id, item_id, sum(rating * weight) AS score FROM w JOIN train ON dst = train.user_id GROUP BY ALL"))
 def rec_userknn_cbf(spark, sf_dir):
     setting = train, _, _, _, _ = _setting(spark, sf_dir)
     w = recommenders.knn_cbf(tables.ucm_customer(spark, sf_dir).withColumnRenamed("user_id", "id"), table(spark, sf_dir, "customer").count(), 20, 20)
-    return _recommended(setting, ranking.user_scores(train, w))
+    return _by_users(setting, train, w)
 
 
 @query(recs_sql("hy AS (SELECT item_id, 'f' || feature AS feature, value * 5 AS value FROM icm UNION ALL SELECT item_id, 'i' || user_id, rating FROM train), " + cosine_sql("hy", 20, 20, row="feature", col="item_id", value="value")))
 def rec_hybrid_item(spark, sf_dir):
     setting = train, _, _, _, n_items = _setting(spark, sf_dir)
     w = recommenders.item_knn_hybrid(train, tables.icm_part(spark, sf_dir), n_items, 5.0, k=20, shrink=20)
-    return _recommended(setting, ranking.item_scores(train, w))
+    return _by_items(setting, train, w)
 
 
 @query(recs_sql("hy AS (SELECT user_id, 'f' || feature AS feature, value * 5 AS value FROM ucm UNION ALL SELECT user_id, 'i' || item_id, rating FROM train), " + cosine_sql("hy", 20, 20, row="feature", col="user_id", value="value"), "SELECT src AS user_id, item_id, sum(rating * weight) AS score FROM w JOIN train ON dst = train.user_id GROUP BY ALL"))
 def rec_hybrid_user(spark, sf_dir):
     setting = train, _, _, _, _ = _setting(spark, sf_dir)
     w = recommenders.user_knn_hybrid(train, tables.ucm_customer(spark, sf_dir), table(spark, sf_dir, "customer").count(), 5.0, k=20, shrink=20)
-    return _recommended(setting, ranking.user_scores(train, w))
+    return _by_users(setting, train, w)
 
 
 def p3_sql(alpha: float, k: int, beta: float | None = None, normalise: bool = False) -> str:
@@ -592,13 +595,13 @@ w AS (SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY ds
 @query(recs_sql(p3_sql(0.8, 1000)))
 def rec_p3alpha(spark, sf_dir):
     setting = train, _, _, _, _ = _setting(spark, sf_dir)
-    return _recommended(setting, ranking.item_scores(train, recommenders.p3alpha(train, 1000, 0.8)))
+    return _by_items(setting, train, recommenders.p3alpha(train, 1000, 0.8))
 
 
 @query(recs_sql(p3_sql(1.0, 1000, 0.6, True)))
 def rec_rp3beta(spark, sf_dir):
     setting = train, _, _, _, _ = _setting(spark, sf_dir)
-    return _recommended(setting, ranking.item_scores(train, recommenders.p3alpha(train, 1000, 1.0, normalise=True, beta=0.6)))
+    return _by_items(setting, train, recommenders.p3alpha(train, 1000, 1.0, normalise=True, beta=0.6))
 
 
 @query(f"WITH {UE} SELECT src, dst, round(weight, 6) AS weight FROM (SELECT user_id AS src, item_id AS dst, rating AS weight, row_number() OVER (PARTITION BY item_id ORDER BY rating DESC, user_id) AS r FROM ue) WHERE r <= 3")

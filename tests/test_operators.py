@@ -373,3 +373,19 @@ def test_blocks_keep_their_headers_across_splits(spark, tmp_path):
         assert sorted((int(r["item_id"]), int(r["user_id"])) for r in got.collect()) == [(i, u) for i in range(40) for u in range(i % 7)]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+@pytest.mark.parametrize("entries,cells", [(4_000_000, 4_000_000), (20, 9)])
+def test_weighted_lists_equal_the_relational_ones(spark, entries, cells, monkeypatch):
+    monkeypatch.setattr(ranking, "SCORE_CELLS", cells)
+    rng = np.random.default_rng(8)
+    train = [(u, int(i), float(rng.integers(1, 5))) for u in range(12) for i in rng.permutation(15)[: u % 5]]
+    w = [(int(a), int(b), float(rng.integers(-3, 4))) for a in range(15) for b in rng.permutation(15)[:4]]
+    urm = spark.createDataFrame(train, "user_id long, item_id long, rating double")
+    weights = spark.createDataFrame(w, "src long, dst long, weight double")
+    users = spark.range(14).withColumnRenamed("id", "user_id")
+    want = ranking.top_n(ranking.item_scores(urm, weights), urm, users, 15, 6)
+    got = ranking.top_n_weighted(urm, weights, users, 15, 6, urm, entries)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert ranking.top_n_weighted(urm, weights.filter("false"), users, 15, 2).count() == 28
+    assert ranking.top_n_weighted(urm, weights, users.filter("false"), 15, 2).count() == 0
