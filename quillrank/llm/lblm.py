@@ -12,7 +12,8 @@ own target and context vectors; within one, words have their smoothed relative f
 class's by the model times its share of the class, and all words' add up to one. Counts cover all training tokens. Words
 are counted in blocks of texts (one for each shuffle partition, more if one would exceed BLOCK_BYTES): a block sends each
 distinct word once and gets back the counts of its own words only, so neither a task nor the driver ever holds the whole
-vocabulary. A worker's table of normalisers has (TOP + classes)^2 entries of 4 bytes. Training follows the input's splits:
+vocabulary. A worker holds three tables (scores by each context token, normalisers) of (TOP + classes)^2 entries of 4
+bytes. Training follows the input's splits:
 other splits give slightly other parameters.
 
 Nulls: a null text is empty and holds the end of text only. Without training texts every base score is 0. Repeated rows
