@@ -48,9 +48,9 @@ def user_knn_cf(urm: DataFrame, n_users: int, k: int = 50, shrink: float = 100,
 
 
 def knn_cbf(features: DataFrame, n: int, k: int = 50, shrink: float = 100, kind: str = "cosine", normalise: bool = True, feature_weighting: str = "none", **how) -> DataFrame:
-    """Weights between ids by their features (id, feature, value)."""
+    """Weights between ids by their features (id, feature, value). Features that many ids share are multiplied in blocks."""
     f = weighting.weighted(features, feature_weighting, n, "id", "feature", "value").filter("value <> 0")
-    return similarity.similarity(f.select(F.col("feature").alias("row"), F.col("id").alias("col"), "value"), kind, k, shrink, normalise, **how)
+    return similarity.similarity(f.select(F.col("feature").alias("row"), F.col("id").alias("col"), "value"), kind, k, shrink, normalise, **{"dense": True} | how)
 
 
 def item_knn_hybrid(urm: DataFrame, icm: DataFrame, n_items: int, icm_weight: float = 1.0, **how) -> DataFrame:

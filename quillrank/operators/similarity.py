@@ -1,17 +1,33 @@
 """Similarities between the columns of a matrix: a self-join on rows, sums per pair, norms, and a top-k window.
 
 Input: triples (row, col, value). Output: src, dst, weight, the k heaviest non-zero src for each dst. Each unordered pair
-is computed once (src < dst) and mirrored, which halves the join. A row of p entries makes p (p - 1) / 2 pairs, the work
-that any exact method has.
+is computed once (src < dst) and mirrored, which halves the join. A row of p entries makes p (p - 1) / 2 pairs.
+
+Rows that many columns share (a content feature of a few values) would make most pairs of the catalogue a row of a shuffle
+each. With dense=True their part of the dots is a matrix product instead: columns go to the tasks in blocks of bounded
+size, the pairs of the other rows are added, and only each column's k heaviest of a block leave a task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillrank.operators.ranking import best_of
+from quillrank.runtime import discard, materialise, ship
+
 EPS = 1e-6
+#: Most rows in the matrix product. If there are more, those that at least one column in WIDE has are taken, widest first.
+DENSE_ROWS, WIDE = 512, 32
+#: Numbers of a block of columns, and pairs that a task weighs at once.
+BLOCK_CELLS, PAIR_CELLS = 4_000_000, 2_000_000
+#: Digits by which weights of the matrix product are compared: it adds in another order for each block.
+DIGITS = 12
 #: Weights up to this are what rounding leaves of a zero.
 ZERO = 1e-12
 
@@ -54,19 +70,19 @@ def heaviest(w: DataFrame, k: int | None, n_cols: int | None = None) -> DataFram
     return w.withColumn("_held", held).filter(place <= k).drop("_r", "_held")
 
 
-def similarity(m: DataFrame, kind: str = "cosine", k: int | None = 50, shrink: float = 0.0, normalise: bool = True, alpha: float = 0.5, beta: float = 1.0, row_weights: DataFrame | None = None, n_cols: int | None = None, start_col: int | None = None, end_col: int | None = None) -> DataFrame:
-    """kind: cosine, asymmetric, adjusted (rows centred), pearson (columns centred), jaccard, tanimoto, dice, tversky."""
+def similarity(m: DataFrame, kind: str = "cosine", k: int | None = 50, shrink: float = 0.0, normalise: bool = True, alpha: float = 0.5, beta: float = 1.0, row_weights: DataFrame | None = None, n_cols: int | None = None, start_col: int | None = None, end_col: int | None = None, dense: bool = False) -> DataFrame:
+    """kind: cosine, asymmetric, adjusted (rows centred), pearson (columns centred), jaccard, tanimoto, dice, tversky.
+    dense: rows that many columns share are multiplied in blocks (see above), for whole-numbered columns, with a k and
+    without row_weights and n_cols; other calls take the join. The result is the same."""
     if kind == "adjusted":
         m = centred(m, "row")
     elif kind == "pearson":
         m = centred(m, "col")
     elif kind in ("jaccard", "tanimoto", "dice", "tversky"):
         m = m.withColumn("value", F.lit(1.0))
-    q = squares(m)
-    pairs = pair_dots(m, row_weights).join(q.select(F.col("col").alias("i"), F.col("q").alias("qi")), "i").join(q.select(F.col("col").alias("j"), F.col("q").alias("qj")), "j")
-    dot, h = F.col("dot"), F.lit(float(shrink)) + F.lit(EPS)
+    h = float(shrink) + EPS
 
-    def weight(dst: Column, src: Column) -> Column:
+    def weight(dot, dst, src, root, power):
         if kind in ("jaccard", "tanimoto"):
             return dot / (dst + src - dot + h)
         if kind == "dice":
@@ -76,10 +92,14 @@ def similarity(m: DataFrame, kind: str = "cosine", k: int | None = 50, shrink: f
         if not normalise:
             return dot / shrink if shrink else dot
         if kind == "asymmetric":
-            return dot / (F.pow(dst, F.lit(alpha)) * F.pow(src, F.lit(1 - alpha)) + h)
-        return dot / (F.sqrt(dst) * F.sqrt(src) + h)
+            return dot / (power(dst, alpha) * power(src, 1 - alpha) + h)
+        return dot / (root(dst) * root(src) + h)
 
-    w = mirrored(pairs, weight)
+    if dense and k is not None and n_cols is None and row_weights is None and dict(m.dtypes)["col"] in ("tinyint", "smallint", "int", "bigint"):
+        return _by_blocks(m, lambda dot, dst, src: weight(dot, dst, src, np.sqrt, np.power), k, start_col, end_col)
+    q = squares(m)
+    pairs = pair_dots(m, row_weights).join(q.select(F.col("col").alias("i"), F.col("q").alias("qi")), "i").join(q.select(F.col("col").alias("j"), F.col("q").alias("qj")), "j")
+    w = mirrored(pairs, lambda dst, src: weight(F.col("dot"), dst, src, F.sqrt, lambda x, y: F.pow(x, F.lit(y))))
     if start_col is not None:
         w = w.filter(F.col("dst") >= start_col)
     if end_col is not None:
@@ -87,6 +107,82 @@ def similarity(m: DataFrame, kind: str = "cosine", k: int | None = 50, shrink: f
     return heaviest(w, k, n_cols)
 
 
+def _by_blocks(m: DataFrame, weight: Callable, k: int, start_col: int | None, end_col: int | None, cells: int | None = None) -> DataFrame:
+    """similarity() with the dots of widely shared rows as matrix products; weight(dot, dst's q, src's q) over arrays."""
+    spark, kind = m.sparkSession, dict(m.dtypes)["col"]
+    m = materialise(m.filter("value <> 0 and col is not null").select("row", "col", F.col("value").cast("double").alias("value")), "matrix")
+    owners = m.filter("row is not null").groupBy("row").agg(F.count("*").alias("n"))
+    wide = [r["row"] for r in owners.orderBy(F.desc("n"), "row").limit(DENSE_ROWS + 1).collect()]
+    rest = len(wide) > DENSE_ROWS
+    if rest:
+        least = m.select("col").distinct().count() / WIDE
+        wide = [r["row"] for r in owners.filter(F.col("n") >= least).orderBy(F.desc("n"), "row").limit(DENSE_ROWS).collect()]
+    width = max(1, len(wide))
+    names = spark.createDataFrame(list(zip(wide, range(len(wide)), strict=True)), f"row {dict(m.dtypes)['row']}, at int")  # at most DENSE_ROWS
+    hot = m.join(F.broadcast(names), "row").groupBy("col").agg(F.collect_list(F.struct("at", "value")).alias("h"))
+    cols = squares(m).join(hot, "col", "left").select(F.col("col").cast("bigint").alias("col"), "q", F.coalesce("h.at", F.array().cast("array<int>")).alias("at"), F.coalesce("h.value", F.array().cast("array<double>")).alias("value"))
+    cols = materialise(cols, "columns")
+    n = max(1, -(-cols.count() * (width + 2) // (cells or BLOCK_CELLS)))
+    block = F.pmod(F.xxhash64(F.col("col")), F.lit(n)).cast("int")
+    targets = cols
+    if start_col is not None:
+        targets = targets.filter(F.col("col") >= start_col)
+    if end_col is not None:
+        targets = targets.filter(F.col("col") < end_col)
+    none = F.array().cast("array<bigint>").alias("src"), F.array().cast("array<double>").alias("dot")
+    if rest:
+        both = F.explode(F.array(F.struct(F.col("i").alias("col"), F.col("j").alias("dst"), "dot"), F.struct(F.col("j").alias("col"), F.col("i").alias("dst"), "dot")))
+        pairs = pair_dots(m.join(F.broadcast(names), "row", "left_anti")).select(both.alias("p")).select(F.col("p.col").cast("bigint").alias("col"), F.col("p.dst").cast("bigint").alias("dst"), F.col("p.dot").alias("dot"))
+        pairs = materialise(pairs.withColumn("part", block), "pairs")
+    ship(spark)
+    out = None
+    for b in range(n):
+        got = cols.filter(block == b).toArrow().sort_by("col")  # about BLOCK_CELLS numbers when dense
+        ids, v, q = got["col"].to_numpy(), _dense(got["at"].combine_chunks(), got["value"].combine_chunks(), width), got["q"].to_numpy()
+        if not len(ids):
+            continue
+        held = spark.sparkContext.broadcast((ids, v, q))
+        rows = targets.select("*", *none)
+        if rest:  # a list has at most as many pairs as the block has columns
+            lists = pairs.filter(F.col("part") == b).groupBy(F.col("dst").alias("col")).agg(F.collect_list(F.struct("col", "dot")).alias("p"))
+            rows = targets.join(lists, "col", "left").select(*targets.columns, F.coalesce("p.col", none[0]).alias("src"), F.coalesce("p.dot", none[1]).alias("dot"))
+
+        def run(batches, held=held):
+            ids, v, q = held.value
+            step = max(1, PAIR_CELLS // len(ids))
+            for batch in batches:
+                for start in range(0, batch.num_rows, step):
+                    dst, qd, at, value, src, dot = batch.slice(start, step).columns
+                    names = dst.to_numpy(zero_copy_only=False)
+                    d = _dense(at, value, width) @ v.T
+                    row = np.repeat(np.arange(len(d)), src.value_lengths().to_numpy(zero_copy_only=False))
+                    d[row, np.searchsorted(ids, src.flatten().to_numpy(zero_copy_only=False))] += dot.flatten().to_numpy(zero_copy_only=False)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        w = np.round(weight(d, qd.to_numpy(zero_copy_only=False)[:, None], q), DIGITS)
+                    w[~(np.abs(w) > ZERO)] = -np.inf
+                    own = np.minimum(np.searchsorted(ids, names), len(ids) - 1)
+                    same = ids[own] == names
+                    w[np.flatnonzero(same), own[same]] = -np.inf
+                    r, c = best_of(w, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[c], pa.int64()), pa.array(names[r], pa.int64()), pa.array(w[r, c])], names=["src", "dst", "weight"])
+
+        found = materialise(rows.mapInArrow(run, "src bigint, dst bigint, weight double"), "weights")
+        held.destroy()
+        out = found if out is None else out.union(found)
+    for done in (m, cols, *([pairs] if rest else [])):
+        discard(done)
+    if out is None:
+        out = spark.createDataFrame([], "src bigint, dst bigint, weight double")
+    return heaviest(out, k).select(F.col("src").cast(kind).alias("src"), F.col("dst").cast(kind).alias("dst"), "weight")
+
+
+def _dense(at: pa.ListArray, value: pa.ListArray, width: int) -> np.ndarray:
+    """Lists of places and of values there as the rows of a matrix; values of one place add."""
+    row = np.repeat(np.arange(len(at)), at.value_lengths().to_numpy(zero_copy_only=False))
+    cell = row * width + at.flatten().to_numpy(zero_copy_only=False)
+    return np.bincount(cell, value.flatten().to_numpy(zero_copy_only=False), len(at) * width).astype(np.float64).reshape(len(at), width)
+
+
 def euclidean(m: DataFrame, cols: DataFrame, k: int, shrink: float = 0.0, mode: str = "lin", normalise: bool = False, average: int | None = None) -> DataFrame:
     """Similarity from distance: every pair counts, also of columns without a common row, so columns are compared with
     blocks of columns. mode: lin, exp or log; average: rows to divide by. cols: all column ids (`col`)."""

@@ -389,3 +389,23 @@ def test_weighted_lists_equal_the_relational_ones(spark, entries, cells, monkeyp
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert ranking.top_n_weighted(urm, weights.filter("false"), users, 15, 2).count() == 28
     assert ranking.top_n_weighted(urm, weights, users.filter("false"), 15, 2).count() == 0
+
+
+@pytest.mark.parametrize("rows,cells", [(512, 4_000_000), (3, 60), (0, 60)])
+def test_blocked_similarity_equals_the_join(spark, rows, cells, monkeypatch):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(similarity, "DENSE_ROWS", rows)
+    monkeypatch.setattr(similarity, "BLOCK_CELLS", cells)
+    monkeypatch.setattr(similarity, "PAIR_CELLS", 11)
+    data = [(f"f{r}", int(c) * 3, float(rng.integers(-1, 4))) for r in range(8) for c in range(30) if rng.random() < (0.9 if r < 2 else 0.15)]
+    data += [("only", 1000, 2.0), (None, 3, 1.0), ("f1", None, 1.0), ("f2", 3, 2.0), ("f2", 3, 1.0)]
+    m = spark.createDataFrame(data, "row string, col int, value double")
+    for how in (dict(kind="cosine", shrink=2), dict(kind="tversky", alpha=0.2), dict(kind="cosine", normalise=False, start_col=6, end_col=50)):
+        got, want = ({(r["dst"], r["src"]): round(round(r["weight"], 12), 8) for r in similarity.similarity(m, k=60, dense=d, **how).collect()} for d in (True, False))
+        assert got == want and len(got) > 20, how
+        few = similarity.similarity(m, k=4, dense=True, **how).collect()
+        for dst in {r["dst"] for r in few}:
+            best = sorted((-w, s) for (t, s), w in want.items() if t == dst)[:4]
+            assert sorted((-round(round(r["weight"], 12), 8), r["src"]) for r in few if r["dst"] == dst) == best
+    empty = similarity.similarity(m.limit(0), k=4, dense=True)
+    assert empty.count() == 0 and empty.dtypes == [("src", "int"), ("dst", "int"), ("weight", "double")]
