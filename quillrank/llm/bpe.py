@@ -15,8 +15,8 @@ from __future__ import annotations
 
 import base64
 import gc
+from array import array
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -96,11 +96,11 @@ class Codec:
         self.byte_ids = np.array([self.ranks[bytes([k])] for k in range(256)], np.int64)
         self.byte_pairs = np.array([get(bytes([k >> 8, k & 255]), -1) for k in range(1 << 16)], np.int64)
         self.findall = regex.compile(pattern).findall
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """Ids of each pre-token; none may be empty."""
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids (as 32-bit integers in a row) of each pre-token; none may be empty."""
         data = np.frombuffer(GAP_BYTE.join([b"", *pieces, b""]), np.uint8).astype(np.int64)
         gaps = np.concatenate(([0], np.cumsum([len(x) + 1 for x in pieces])))
         token = self.byte_ids[data]
@@ -155,17 +155,17 @@ class Codec:
             while (x := sym[i]) != GAP:
                 ids.append(x)
                 i = after[i]
-            out.append(tuple(ids))
+            out.append(array("i", ids).tobytes())
         return out
 
-    def learn(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
         """Ids of pre-tokens that the cache doesn't hold; those that are too long for it come back."""
         new, older, ranks = [], self.older.get, self.ranks.get
         for p in pieces:
             if (ids := older(p)) is not None:
                 self.cache[p] = ids
             elif (whole := ranks(p.encode())) is not None:
-                self.cache[p] = (whole,)
+                self.cache[p] = array("i", (whole,)).tobytes()
             else:
                 new.append(p)
         extra = {}
@@ -178,23 +178,31 @@ class Codec:
                 start, size = k + 1, 0
         return extra
 
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         split = list(map(self.findall, texts))
         if len(self.cache) >= CACHE_ITEMS:
             self.older, self.cache = self.cache, {}
         extra = self.learn(set().union(*split).difference(self.cache))
         self.cache.update(extra)  # while these texts need them
-        out = [list(chain.from_iterable(map(self.cache.__getitem__, x))) for x in split]
+        get = self.cache.__getitem__
+        out = [np.frombuffer(b"".join(map(get, x)), np.int32) for x in split]
         for p in extra:
             del self.cache[p]
         return out
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_all([text])[0]
+        return self.encode_all([text])[0].tolist()
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
+    def columns(self, texts: list[str]) -> tuple[pa.Array, pa.Array]:
+        """Ids of each text, and the bytes that they stand for."""
+        ids = self.encode_all(texts)
+        starts = np.concatenate(([0], np.cumsum([len(x) for x in ids], dtype=np.int64))).astype(np.int32)
+        flat = np.concatenate([np.zeros(0, np.int32), *ids])
+        return pa.ListArray.from_arrays(starts, flat), pa.array([self.decode(x.tolist()) for x in ids], pa.binary())
+
 
 @cached_in_worker
 @lru_cache(maxsize=4)
@@ -212,8 +220,8 @@ def encode_decode(df: DataFrame, id_col: str, text_col: str, ranks_path: str, pa
         try:
             for batch in batches:
                 for part in slices(batch, 1):
-                    ids = c.encode_all([t.decode() for t in byte_texts(part.column(1))])
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(x) for x in ids], pa.binary())], names=["id", "ids", "decoded"])
+                    ids, decoded = c.columns([t.decode() for t in byte_texts(part.column(1))])
+                    yield pa.RecordBatch.from_arrays([part.column(0), ids, decoded], names=["id", "ids", "decoded"])
         finally:
             gc.enable()
 
