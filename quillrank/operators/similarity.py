@@ -26,8 +26,8 @@ EPS = 1e-6
 DENSE_ROWS, WIDE = 512, 32
 #: Numbers of a block of columns, and pairs that a task weighs at once.
 BLOCK_CELLS, PAIR_CELLS = 4_000_000, 2_000_000
-#: Digits by which weights of the matrix product are compared: it adds in another order for each block.
-DIGITS = 12
+#: Last bits of a weight that don't count when weights are compared: a matrix product adds in another order for each block.
+LOOSE_BITS = 12
 #: Weights up to this are what rounding leaves of a zero.
 ZERO = 1e-12
 
@@ -107,8 +107,9 @@ def similarity(m: DataFrame, kind: str = "cosine", k: int | None = 50, shrink: f
     return heaviest(w, k, n_cols)
 
 
-def _by_blocks(m: DataFrame, weight: Callable, k: int, start_col: int | None, end_col: int | None, cells: int | None = None) -> DataFrame:
-    """similarity() with the dots of widely shared rows as matrix products; weight(dot, dst's q, src's q) over arrays."""
+def _by_blocks(m: DataFrame, weight: Callable, k: int, start_col: int | None, end_col: int | None, known: DataFrame | None = None) -> DataFrame:
+    """similarity() with the dots of widely shared rows as matrix products; weight(dot, dst's q, src's q) over arrays.
+    known: ids (`col`) that count even without values."""
     spark, kind = m.sparkSession, dict(m.dtypes)["col"]
     m = materialise(m.filter("value <> 0 and col is not null").select("row", "col", F.col("value").cast("double").alias("value")), "matrix")
     owners = m.filter("row is not null").groupBy("row").agg(F.count("*").alias("n"))
@@ -120,9 +121,10 @@ def _by_blocks(m: DataFrame, weight: Callable, k: int, start_col: int | None, en
     width = max(1, len(wide))
     names = spark.createDataFrame(list(zip(wide, range(len(wide)), strict=True)), f"row {dict(m.dtypes)['row']}, at int")  # at most DENSE_ROWS
     hot = m.join(F.broadcast(names), "row").groupBy("col").agg(F.collect_list(F.struct("at", "value")).alias("h"))
-    cols = squares(m).join(hot, "col", "left").select(F.col("col").cast("bigint").alias("col"), "q", F.coalesce("h.at", F.array().cast("array<int>")).alias("at"), F.coalesce("h.value", F.array().cast("array<double>")).alias("value"))
+    q = squares(m) if known is None else known.select("col").join(squares(m), "col", "left").na.fill(0.0, ["q"])
+    cols = q.join(hot, "col", "left").select(F.col("col").cast("bigint").alias("col"), "q", F.coalesce("h.at", F.array().cast("array<int>")).alias("at"), F.coalesce("h.value", F.array().cast("array<double>")).alias("value"))
     cols = materialise(cols, "columns")
-    n = max(1, -(-cols.count() * (width + 2) // (cells or BLOCK_CELLS)))
+    n = max(1, -(-cols.count() * (width + 2) // BLOCK_CELLS))
     block = F.pmod(F.xxhash64(F.col("col")), F.lit(n)).cast("int")
     targets = cols
     if start_col is not None:
@@ -157,23 +159,131 @@ def _by_blocks(m: DataFrame, weight: Callable, k: int, start_col: int | None, en
                     d = _dense(at, value, width) @ v.T
                     row = np.repeat(np.arange(len(d)), src.value_lengths().to_numpy(zero_copy_only=False))
                     d[row, np.searchsorted(ids, src.flatten().to_numpy(zero_copy_only=False))] += dot.flatten().to_numpy(zero_copy_only=False)
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        w = np.round(weight(d, qd.to_numpy(zero_copy_only=False)[:, None], q), DIGITS)
-                    w[~(np.abs(w) > ZERO)] = -np.inf
+                    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+                        w = weight(d, qd.to_numpy(zero_copy_only=False)[:, None], q)
+                    key = _rounded(w)
+                    key[~(np.abs(w) > ZERO)] = -np.inf
                     own = np.minimum(np.searchsorted(ids, names), len(ids) - 1)
                     same = ids[own] == names
-                    w[np.flatnonzero(same), own[same]] = -np.inf
-                    r, c = best_of(w, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[c], pa.int64()), pa.array(names[r], pa.int64()), pa.array(w[r, c])], names=["src", "dst", "weight"])
+                    key[np.flatnonzero(same), own[same]] = -np.inf
+                    r, c = best_of(key, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[c], pa.int64()), pa.array(names[r], pa.int64()), pa.array(w[r, c]), pa.array(key[r, c])], names=["src", "dst", "weight", "key"])
 
-        found = materialise(rows.mapInArrow(run, "src bigint, dst bigint, weight double"), "weights")
+        found = materialise(rows.mapInArrow(run, "src bigint, dst bigint, weight double, key double"), "weights")
         held.destroy()
         out = found if out is None else out.union(found)
     for done in (m, cols, *([pairs] if rest else [])):
         discard(done)
     if out is None:
-        out = spark.createDataFrame([], "src bigint, dst bigint, weight double")
-    return heaviest(out, k).select(F.col("src").cast(kind).alias("src"), F.col("dst").cast(kind).alias("dst"), "weight")
+        out = spark.createDataFrame([], "src bigint, dst bigint, weight double, key double")
+    place = F.row_number().over(W.partitionBy("dst").orderBy(F.desc("key"), "src"))
+    return out.withColumn("_r", place).filter(F.col("_r") <= k).select(F.col("src").cast(kind).alias("src"), F.col("dst").cast(kind).alias("dst"), "weight")
+
+
+def _rounded(w: np.ndarray) -> np.ndarray:
+    """w to 52 - LOOSE_BITS bits."""
+    half = 1 << (LOOSE_BITS - 1)
+    return ((np.ascontiguousarray(w, np.float64).view(np.int64) + half) & ~(2 * half - 1)).view(np.float64)
+
+
+def _dense(at: pa.ListArray, value: pa.ListArray, width: int) -> np.ndarray:
+    """Lists of places and of values there as the rows of a matrix; values of one place add."""
+    row = np.repeat(np.arange(len(at)), at.value_lengths().to_numpy(zero_copy_only=False))
+    cell = row * width + at.flatten().to_numpy(zero_copy_only=False)
+    return np.bincount(cell, value.flatten().to_numpy(zero_copy_only=False), len(at) * width).astype(np.float64).reshape(len(at), width)
+
+
+def euclidean(m: DataFrame, cols: DataFrame, k: int, shrink: float = 0.0, mode: str = "lin", normalise: bool = False, average: int | None = None) -> DataFrame:
+    """Similarity from distance: every pair counts, also of columns without a common row, so columns (whole-numbered) are
+    compared with blocks of columns and only each one's k nearest of a block leave a task. mode: lin, exp or log; normalise:
+    by the columns' norms (one without values is near nothing then); average: rows to divide by. cols: all column ids
+    (`col`)."""
+
+    def weight(dot, dst, src):
+        d2 = np.maximum(dst + src - 2 * dot, 0.0)
+        d = np.sqrt(d2 / (np.sqrt(dst) * np.sqrt(src)) if normalise else d2) / (average or 1)
+        return 1 / ({"lin": d, "exp": np.exp(d), "log": np.log(d + 1)}[mode] + shrink + 1e-9)
+
+    return _by_blocks(m, weight, k, None, None, cols)
+
+
+def _by_blocks(m: DataFrame, weight: Callable, k: int, start_col: int | None, end_col: int | None, known: DataFrame | None = None) -> DataFrame:
+    """similarity() with the dots of widely shared rows as matrix products; weight(dot, dst's q, src's q) over arrays.
+    known: ids (`col`) that count even without values."""
+    spark, kind = m.sparkSession, dict(m.dtypes)["col"]
+    m = materialise(m.filter("value <> 0 and col is not null").select("row", "col", F.col("value").cast("double").alias("value")), "matrix")
+    owners = m.filter("row is not null").groupBy("row").agg(F.count("*").alias("n"))
+    wide = [r["row"] for r in owners.orderBy(F.desc("n"), "row").limit(DENSE_ROWS + 1).collect()]
+    rest = len(wide) > DENSE_ROWS
+    if rest:
+        least = m.select("col").distinct().count() / WIDE
+        wide = [r["row"] for r in owners.filter(F.col("n") >= least).orderBy(F.desc("n"), "row").limit(DENSE_ROWS).collect()]
+    width = max(1, len(wide))
+    names = spark.createDataFrame(list(zip(wide, range(len(wide)), strict=True)), f"row {dict(m.dtypes)['row']}, at int")  # at most DENSE_ROWS
+    hot = m.join(F.broadcast(names), "row").groupBy("col").agg(F.collect_list(F.struct("at", "value")).alias("h"))
+    q = squares(m) if known is None else known.select("col").join(squares(m), "col", "left").na.fill(0.0, ["q"])
+    cols = q.join(hot, "col", "left").select(F.col("col").cast("bigint").alias("col"), "q", F.coalesce("h.at", F.array().cast("array<int>")).alias("at"), F.coalesce("h.value", F.array().cast("array<double>")).alias("value"))
+    cols = materialise(cols, "columns")
+    n = max(1, -(-cols.count() * (width + 2) // BLOCK_CELLS))
+    block = F.pmod(F.xxhash64(F.col("col")), F.lit(n)).cast("int")
+    targets = cols
+    if start_col is not None:
+        targets = targets.filter(F.col("col") >= start_col)
+    if end_col is not None:
+        targets = targets.filter(F.col("col") < end_col)
+    none = F.array().cast("array<bigint>").alias("src"), F.array().cast("array<double>").alias("dot")
+    if rest:
+        both = F.explode(F.array(F.struct(F.col("i").alias("col"), F.col("j").alias("dst"), "dot"), F.struct(F.col("j").alias("col"), F.col("i").alias("dst"), "dot")))
+        pairs = pair_dots(m.join(F.broadcast(names), "row", "left_anti")).select(both.alias("p")).select(F.col("p.col").cast("bigint").alias("col"), F.col("p.dst").cast("bigint").alias("dst"), F.col("p.dot").alias("dot"))
+        pairs = materialise(pairs.withColumn("part", block), "pairs")
+    ship(spark)
+    out = None
+    for b in range(n):
+        got = cols.filter(block == b).toArrow().sort_by("col")  # about BLOCK_CELLS numbers when dense
+        ids, v, q = got["col"].to_numpy(), _dense(got["at"].combine_chunks(), got["value"].combine_chunks(), width), got["q"].to_numpy()
+        if not len(ids):
+            continue
+        held = spark.sparkContext.broadcast((ids, v, q))
+        rows = targets.select("*", *none)
+        if rest:  # a list has at most as many pairs as the block has columns
+            lists = pairs.filter(F.col("part") == b).groupBy(F.col("dst").alias("col")).agg(F.collect_list(F.struct("col", "dot")).alias("p"))
+            rows = targets.join(lists, "col", "left").select(*targets.columns, F.coalesce("p.col", none[0]).alias("src"), F.coalesce("p.dot", none[1]).alias("dot"))
+
+        def run(batches, held=held):
+            ids, v, q = held.value
+            step = max(1, PAIR_CELLS // len(ids))
+            for batch in batches:
+                for start in range(0, batch.num_rows, step):
+                    dst, qd, at, value, src, dot = batch.slice(start, step).columns
+                    names = dst.to_numpy(zero_copy_only=False)
+                    d = _dense(at, value, width) @ v.T
+                    row = np.repeat(np.arange(len(d)), src.value_lengths().to_numpy(zero_copy_only=False))
+                    d[row, np.searchsorted(ids, src.flatten().to_numpy(zero_copy_only=False))] += dot.flatten().to_numpy(zero_copy_only=False)
+                    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+                        w = weight(d, qd.to_numpy(zero_copy_only=False)[:, None], q)
+                    key = _rounded(w)
+                    key[~(np.abs(w) > ZERO)] = -np.inf
+                    own = np.minimum(np.searchsorted(ids, names), len(ids) - 1)
+                    same = ids[own] == names
+                    key[np.flatnonzero(same), own[same]] = -np.inf
+                    r, c = best_of(key, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[c], pa.int64()), pa.array(names[r], pa.int64()), pa.array(w[r, c]), pa.array(key[r, c])], names=["src", "dst", "weight", "key"])
+
+        found = materialise(rows.mapInArrow(run, "src bigint, dst bigint, weight double, key double"), "weights")
+        held.destroy()
+        out = found if out is None else out.union(found)
+    for done in (m, cols, *([pairs] if rest else [])):
+        discard(done)
+    if out is None:
+        out = spark.createDataFrame([], "src bigint, dst bigint, weight double, key double")
+    place = F.row_number().over(W.partitionBy("dst").orderBy(F.desc("key"), "src"))
+    return out.withColumn("_r", place).filter(F.col("_r") <= k).select(F.col("src").cast(kind).alias("src"), F.col("dst").cast(kind).alias("dst"), "weight")
+
+
+def _rounded(w: np.ndarray) -> np.ndarray:
+    """w to 52 - LOOSE_BITS bits."""
+    half = 1 << (LOOSE_BITS - 1)
+    return ((np.ascontiguousarray(w, np.float64).view(np.int64) + half) & ~(2 * half - 1)).view(np.float64)
 
 
 def _dense(at: pa.ListArray, value: pa.ListArray, width: int) -> np.ndarray:

@@ -464,12 +464,30 @@ def sim_row_weighted(spark, sf_dir):
     return six(similarity.similarity(_items_matrix(urm), "cosine", 20, row_weights=w), "weight")
 
 
-@query(f"""WITH {UE}, q AS (SELECT item_id, sum(rating * rating) AS q FROM ue GROUP BY 1), d AS (SELECT a.item_id AS src, b.item_id AS dst, sum(a.rating * b.rating) AS dot FROM ue a JOIN ue b ON a.user_id = b.user_id GROUP BY ALL),
-w AS (SELECT x.item_id AS src, y.item_id AS dst, 1 / (sqrt(greatest(x.q + y.q - 2 * coalesce(dot, 0), 0)) + 1e-9) AS weight FROM q x JOIN q y ON x.item_id <> y.item_id LEFT JOIN d ON src = x.item_id AND dst = y.item_id)
-SELECT src, dst, round(weight, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY weight DESC, src) AS r FROM w) WHERE r <= 10""")
-def sim_euclid_lin(spark, sf_dir):
+def euclid_sql(weight: str, d2: str = "greatest(x.q + y.q - 2 * coalesce(dot, 0), 0)") -> str:
+    return f"""WITH {UE}, q AS (SELECT item_id, sum(rating * rating) AS q FROM ue GROUP BY 1), d AS (SELECT a.item_id AS src, b.item_id AS dst, sum(a.rating * b.rating) AS dot FROM ue a JOIN ue b ON a.user_id = b.user_id GROUP BY ALL),
+p AS (SELECT x.item_id AS src, y.item_id AS dst, sqrt({d2}) AS d FROM q x JOIN q y ON x.item_id <> y.item_id LEFT JOIN d ON src = x.item_id AND dst = y.item_id), w AS (SELECT src, dst, {weight} AS weight FROM p)
+SELECT src, dst, round(weight, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY weight DESC, src) AS r FROM w) WHERE r <= 10"""
+
+
+def _euclid(spark, sf_dir, **how):
     m = _items_matrix(tables.urm_events(spark, sf_dir))
-    return six(similarity.euclidean(m, m.select("col").distinct(), 10), "weight")
+    return six(similarity.euclidean(m, m.select("col").distinct(), 10, **how), "weight")
+
+
+@query(euclid_sql("1 / (d + 1e-9)"))
+def sim_euclid_lin(spark, sf_dir):
+    return _euclid(spark, sf_dir)
+
+
+@query(euclid_sql("1 / (ln(d + 1) + 2 + 1e-9)"))
+def sim_euclid_log(spark, sf_dir):
+    return _euclid(spark, sf_dir, mode="log", shrink=2.0)
+
+
+@query(euclid_sql("1 / (exp(d) + 1e-9)", "greatest(x.q + y.q - 2 * coalesce(dot, 0), 0) / (sqrt(x.q) * sqrt(y.q))"))
+def sim_euclid_exp_normalised(spark, sf_dir):
+    return _euclid(spark, sf_dir, mode="exp", normalise=True)
 
 
 # --- recommenders -----------------------------------------------------------------------------------------------------
