@@ -13,7 +13,7 @@ from quillrank.functions.text import STOPWORDS
 from quillrank.operators import checks, evaluation, factorisation, neural_data, prep, ranking, recommenders, similarity, splits, statistics, weighting
 from quillrank.plans import report
 from quillrank.runtime import materialise, shared_dir, table
-from quillrank.sources import readers, tables
+from quillrank.sources import readers, store, tables
 from quillrank.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -721,6 +721,43 @@ def rec_slim_bpr(spark, sf_dir):
     return six(factorisation.slim_bpr(u, n_items, 2, k=20), "weight")
 
 
+@query(f"WITH {UE} SELECT DISTINCT user_id, 0.0::DOUBLE AS residual FROM ue")
+def ials_optimality(spark, sf_dir):
+    """ALS ends with the users' step: each user's factors x solve (Y'Y + sum r y y' + reg n I) x = sum (1 + r) y over its n
+    items. Residual: the greatest part of the difference over the greatest of the right side, to two digits (ALS keeps
+    single precision)."""
+    k, reg = 5, 0.1
+    u, _, _ = _events(spark, sf_dir)
+    users, items = factorisation.implicit_als(u, k, reg, rounds=2)
+    users, items = materialise(users, "users"), materialise(items, "items")
+    cells = items.agg(*[F.sum(F.col("factors")[a] * F.col("factors")[b]).alias(f"g{a}_{b}") for a in range(k) for b in range(k)]).first()
+    pairs = u.join(users.select(F.col("id").alias("user_id"), F.col("factors").alias("x")), "user_id").join(items.select(F.col("id").alias("item_id"), F.col("factors").alias("y")), "item_id")
+    at = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
+    parts = [F.sum(F.col("rating") * at * F.col("y")[a]).alias(f"l{a}") for a in range(k)] + [F.sum((1 + F.col("rating")) * F.col("y")[a]).alias(f"r{a}") for a in range(k)]
+    sums = pairs.groupBy("user_id").agg(F.first("x").alias("x"), F.count("*").alias("n"), *parts)
+    off = [F.abs(sum(F.lit(cells[f"g{a}_{b}"]) * F.col("x")[b] for b in range(k)) + F.col(f"l{a}") + reg * F.col("n") * F.col("x")[a] - F.col(f"r{a}")) for a in range(k)]
+    return sums.select("user_id", F.round(F.greatest(*off) / F.greatest(*[F.abs(F.col(f"r{a}")) for a in range(k)]), 2).alias("residual"))
+
+
+@query("SELECT unnest(['asy', 'funk', 'nmf']) AS model, true AS falls")
+def factor_loss_falls(spark, sf_dir):
+    """More rounds fit the events' matrix better: the squared error, of NMF over all cells, of the others over what is stored."""
+    u, _, n_items = _events(spark, sf_dir)
+
+    def loss(users, v, bias=None, mu=0.0, all_cells=False):
+        users = materialise(users, "users")
+        s = ranking.factor_scores(users, factorisation.item_table(spark, v, bias), u.select("user_id", "item_id"), mu).join(u, ["user_id", "item_id"])
+        if not all_cells:
+            return s.agg(F.sum(F.pow(F.col("rating") - F.col("score"), F.lit(2.0))).alias("e")).first()["e"]
+        k = v.shape[1]
+        own = users.agg(*[F.sum(F.col("factors")[a] * F.col("factors")[b]) for a in range(k) for b in range(k)]).first()
+        return s.agg(F.sum(F.col("rating") * (F.col("rating") - 2 * F.col("score"))).alias("e")).first()["e"] + sum(x * y for x, y in zip(own, (v.T @ v).ravel().tolist(), strict=True))
+
+    found = [("nmf", *(loss(*factorisation.nmf(u, n_items, 5, n), all_cells=True) for n in (1, 3, 6)))]
+    found += [(model, *(loss(*factorisation.sgd_factors(u, n_items, model, 5, n, rate=0.01)) for n in (1, 3, 6))) for model in ("asy", "funk")]
+    return spark.createDataFrame([(model, bool(a > b > c)) for model, a, b, c in found], "model string, falls boolean")
+
+
 # --- evaluation -------------------------------------------------------------------------------------------------------
 
 TOPPOP = """p AS (SELECT p_partkey AS item_id, coalesce(s, 0) AS s FROM part LEFT JOIN (SELECT item_id, count(*) AS s FROM train GROUP BY 1) x ON x.item_id = p_partkey),
@@ -905,3 +942,25 @@ def meta_paths(spark, sf_dir):
 def windowed_interactions(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", F.get_json_object("props", "$.k").cast("bigint").alias("item_id"), "ts")
     return ingest.windowed_interactions(e).drop("ts")
+
+
+@query("""WITH e AS (SELECT vec_id, unnest([1, 2, 3]) AS k, embedding FROM embeddings), u AS (SELECT vec_id, k, embedding[k % 3 + 1]::DOUBLE AS v FROM e), i AS (SELECT vec_id, k, embedding[k]::DOUBLE AS v FROM e)
+SELECT u.vec_id AS user_id, i.vec_id AS item_id, ((u.k - 1) * 3 + i.k - 1)::INT AS cell, round(CASE WHEN u.k = i.k THEN 0 ELSE u.v * i.v END, 6) + 0.0 AS value FROM u JOIN i ON i.vec_id = u.vec_id + 1""")
+def interaction_maps(spark, sf_dir):
+    """Maps of permuted user factors and item factors, without their main diagonals."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 3).cast("array<double>").alias("factors"))
+    pairs = e.select(F.col("id").alias("user_id"), (F.col("id") + 1).alias("item_id"))
+    maps = neural_data.outer_product(neural_data.permuted_factors(e, [1, 2, 0]), e, pairs, "off_diagonal")
+    return six(maps.select("user_id", "item_id", F.posexplode("map").alias("cell", "value")), "value").withColumn("value", F.col("value") + 0.0)
+
+
+# --- store ------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {UE} SELECT user_id, item_id, rating, (SELECT count(*) FROM ue) AS stored FROM ue")
+def stored_matrix(spark, sf_dir):
+    """A matrix and its count, saved and loaded; what is built a second time isn't: the saved copy serves."""
+    u, folder = tables.urm_events(spark, sf_dir).select("user_id", "item_id", "rating"), f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    store.load_or_build(spark, folder, lambda: ({"urm": u}, {"n": u.count()}))
+    found, values = store.load_or_build(spark, folder, lambda: ({"urm": u.limit(0)}, {"n": 0}))
+    return found["urm"].withColumn("stored", F.lit(values["n"]).cast("bigint"))
