@@ -6,15 +6,21 @@ mini-batch, so that all is matrix products); every task trains on all its tokens
 averaged, weighted by tokens. Since scores are sums over the two positions, the normaliser of every context is one
 entry of one matrix product, so log-probabilities are exactly normalised.
 
-The softmax is factored by classes: the end of text and the TOP most frequent words (ties: the least word) are classes of
-their own, all other words are hashed into classes whose number grows with the vocabulary (class_count()). A class has its
-own target and context vectors; within one, words have their smoothed relative frequency, so a word's probability is its
-class's by the model times its share of the class, and all words' add up to one. Counts cover all training tokens. Words
-are counted in blocks of texts (one for each shuffle partition, more if one would exceed BLOCK_BYTES): a block sends each
-distinct word once and gets back the counts of its own words only, so neither a task nor the driver ever holds the whole
-vocabulary. A worker holds three tables (scores by each context token, normalisers) of (TOP + classes)^2 entries of 4
-bytes. Training follows the input's splits:
-other splits give slightly other parameters.
+The softmax is factored twice. First by classes: the end of text and the TOP most frequent words (ties: the least word) are
+classes of their own, all other words are hashed into classes whose number grows with the vocabulary (class_count()). Then
+within a hashed class (Fine): every word with at least least_count() training tokens has a target and a context vector of
+its own, and the class's rarer words are one more entry. This second model is log-bilinear too, over the words' own vectors,
+trained by noise drawn from the class, and its normaliser is the sum over the class's entries. A rare word's probability is
+its entry's times its smoothed share of the class's rare tokens. All words' probabilities, those never seen included, add up
+to one. So the parameters grow with the corpus: least_count() follows the square root of the training tokens, hence at most
+100 * sqrt(tokens) words have vectors of their own (19 thousand of 0.35 million at sf0.1, 0.1 of 3.6 million at 0.5 GB).
+They go to every worker, 150 bytes each; should they be more than MOST_OWN, the count doubles until they aren't.
+
+Counts cover all training tokens. Words are counted in blocks of texts (one for each shuffle partition, more if one would
+exceed BLOCK_BYTES): a block sends each distinct word once and gets back the counts of its own words only, so neither a
+task nor the driver ever holds the whole vocabulary. Words with vectors of their own are known by a 64-bit hash; two of them
+with one hash count as rare. A worker holds three tables (scores by each context token, normalisers) of (TOP + classes)^2
+entries of 4 bytes. Training follows the input's splits: other splits give slightly other parameters.
 
 Nulls: a null text is empty and holds the end of text only. Without training texts every base score is 0. Repeated rows
 count and come back repeated; a null id is in fold 0. Empty tables give empty results; only the two named columns are
@@ -29,6 +35,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +45,9 @@ from quillrank.runtime import materialise
 TOP, DIM, BATCH, NOISE, RATE = 1500, 16, 2048, 64, 0.08
 END, WORD0 = 0, 1
 SLICE, BLOCK_BYTES, STRIPE = 2 << 20, 64 << 20, 256
+#: Noise words a class and learning rate of the model within classes; words with vectors of their own at most (600 MB).
+FINE_NOISE, FINE_RATE, MOST_OWN = 24, 0.15, 4_000_000
+HASH_SEED = 42  # of Spark's xxhash64
 
 
 def class_count(distinct: int) -> int:
@@ -45,6 +55,11 @@ def class_count(distinct: int) -> int:
     return max(1, int(2 * max(1, distinct) ** 0.4))
 
 
+def least_count(tokens: int) -> int:
+    """Training tokens that a word needs for vectors of its own: 18 of 3.2 million, 104 of 108 million tokens."""
+    return max(5, int(tokens**0.5 / 100))
+
+
 def tokenised(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words (A-Z lower-cased, split at ASCII white space), each token's number among them, words per text."""
     flat = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
@@ -81,6 +96,77 @@ def block_counts(docs: DataFrame) -> DataFrame:
     return map_arrow(docs, run, "word string, block int, n bigint")
 
 
+@dataclass
+class Fine:
+    """The words within hashed classes. A class's rows are offs[g] (its rare words) and those after it, up to offs[g + 1].
+    The last number of a target vector is its bias, where that of a context is one."""
+
+    least: int
+    keys: np.ndarray  # sorted hashes of the words with vectors of their own
+    row: np.ndarray  # their rows of q; row + shift is their context's of r
+    offs: np.ndarray
+    shift: int
+    r: np.ndarray  # contexts: END, words, classes (rare words) and the start, then one for each row of q
+    q: np.ndarray
+    rare: np.ndarray  # smoothed tokens of each class's rare words
+    c: tuple = (1.0, 0.5)
+
+    def find(self, names: list[str], group: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
+        """Each word's row, given its class: its own or the class's first (0 for a negative class). Words whose counts are
+        known to be too small aren't looked up."""
+        out = np.where(group >= 0, self.offs[group], 0)
+        ask = np.flatnonzero(group >= 0 if counts is None else (group >= 0) & (counts >= self.least))
+        if len(ask) and len(self.keys):
+            h = np.fromiter((xxhash.xxh64_intdigest(names[i].encode(), HASH_SEED) for i in ask.tolist()), np.uint64, len(ask))
+            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+            hit = self.keys[at] == h
+            out[ask[hit]] = self.row[at[hit]]
+        return out
+
+    def hidden(self, f1: np.ndarray, f2: np.ndarray) -> np.ndarray:
+        h = np.float32(self.c[0]) * self.r[f1] + np.float32(self.c[1]) * self.r[f2]
+        h[:, -1] = 1
+        return h
+
+    def log_probs(self, row: np.ndarray, group: np.ndarray, f1: np.ndarray, f2: np.ndarray) -> np.ndarray:
+        """Natural log-probabilities of the rows within their classes."""
+        order = np.argsort(group, kind="stable")
+        h, t = self.hidden(f1[order], f2[order]), row[order]
+        z = np.empty(len(h), np.float32)
+        for g, a, e in groups(group[order]):
+            x = h[a:e] @ self.q[self.offs[g] : self.offs[g + 1]].T
+            top = x.max(1)
+            z[a:e] = np.log(np.exp(x - top[:, None]).sum(1)) + top
+        out = np.empty(len(h))
+        out[order] = np.einsum("ij,ij->i", h, self.q[t]) - z
+        return out
+
+
+def groups(own: np.ndarray):
+    """(value, start, end) of each run of a sorted array."""
+    at = np.flatnonzero(np.diff(own, prepend=-1, append=-1)) if len(own) else np.zeros(1, np.int64)
+    return zip(own[at[:-1]].tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True)
+
+
+def fine(keys: np.ndarray, group: np.ndarray, counts: np.ndarray, size: np.ndarray, least: int, start: int, seed: int = 12) -> Fine:
+    """keys, group, counts: hash, class and training tokens of the words with vectors of their own. size: smoothed tokens of
+    each class; start: the number of the context before a text."""
+    _, first, times = np.unique(keys, return_index=True, return_counts=True)
+    once = first[times == 1]  # in the order of the hashes
+    keys, group, counts = keys[once], group[once], counts[once]
+    by_class = np.argsort(group, kind="stable")
+    many = np.bincount(group, minlength=len(size))
+    offs = np.concatenate(([0], np.cumsum(many + 1))).astype(np.int64)
+    row = np.empty(len(keys), np.int64)
+    row[by_class] = np.arange(len(keys)) + group[by_class] + 1
+    rng, rows = np.random.default_rng(seed), int(offs[-1])
+    rare = np.maximum(size - np.bincount(group, counts + 0.5, len(size)), 0.5)
+    q = rng.normal(0, 0.05, (rows, DIM)).astype(np.float32)
+    q[offs[:-1], -1] = np.log(rare / size)
+    q[row, -1] = np.log((counts + 0.5) / size[group])
+    return Fine(least, keys, row, offs, start + 1, rng.normal(0, 0.05, (start + 1 + rows, DIM)).astype(np.float32), q, rare)
+
+
 @dataclass
 class Model:
     words: list[str]
@@ -92,10 +178,11 @@ class Model:
     c: np.ndarray  # 2 x DIM
     total: int = 0  # training tokens
     distinct: int = 0
+    fine: Fine | None = field(default=None, repr=False)
     tables: tuple | None = field(default=None, repr=False)
 
     def __reduce__(self):
-        return Model, (self.words, self.counts, self.kinds, self.r, self.q, self.b, self.c, self.total, self.distinct)
+        return Model, (self.words, self.counts, self.kinds, self.r, self.q, self.b, self.c, self.total, self.distinct, self.fine)
 
     @property
     def start(self) -> int:
@@ -126,6 +213,13 @@ class Model:
         near, far, b, z, _ = self.lookup()
         return near[w1, w].astype(np.float64) + far[w2, w] + b[w] - z[w1, w2]
 
+    def finer(self, names: list[str], ids: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's row within its class, and its number as a context."""
+        first, f = WORD0 + len(self.words), self.fine
+        row = f.find(names, np.where(ids >= first, ids - first, -1), counts)
+        own = (ids >= first) & (row > f.offs[np.maximum(ids - first, 0)])
+        return row, np.where(own, row + f.shift, ids)
+
 
 def contexts(ids: np.ndarray, lens: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Tokens with an END after each text, their two predecessors (start before a text), and where each text ends."""
@@ -155,16 +249,59 @@ class Trainer:
     """Adagrad on the noise-contrastive objective."""
 
     def __init__(self, m: Model, seed: int):
-        self.m = Model(m.words, m.counts, m.kinds, m.r.copy(), m.q.copy(), m.b.copy(), m.c.copy())
+        self.m = Model(m.words, m.counts, m.kinds, *(x.astype(np.float32) for x in (m.r, m.q, m.b, m.c)))
         self.rng, self.seen = np.random.default_rng(seed), 0
         self.noise = np.exp(m.b - np.logaddexp.reduce(m.b))
         self.cum = np.cumsum(self.noise)
-        self.shift = np.log(NOISE * self.noise)
-        self.acc = [np.full_like(x, 0.05) for x in (m.r, m.q, m.b, m.c)]
+        self.shift = np.log(NOISE * self.noise).astype(np.float32)
+        self.acc = [np.full_like(x, 0.05, np.float32) for x in (m.r, m.q, m.b, m.c)]
+        if m.fine is not None:
+            f = m.fine
+            self.fine = Fine(f.least, f.keys, f.row, f.offs, f.shift, f.r.copy(), f.q.copy(), f.rare, f.c)
+            self.fine_shift = f.q[:, -1] + np.float32(np.log(FINE_NOISE))
+            share = np.exp(f.q[:, -1].astype(np.float64))
+            self.fine_cum = np.cumsum(share)
+            self.fine_acc = [np.full(len(x), 0.05, np.float32) for x in (f.r, f.q)]
+            self.touched = [np.zeros(len(x), np.float32) for x in (f.r, f.q)]
+
+    def learn_fine(self, row: np.ndarray, group: np.ndarray, f1: np.ndarray, f2: np.ndarray) -> None:
+        """One step on the rows within their classes; a class's tokens share its noise."""
+        f = self.fine
+        order = np.argsort(group, kind="stable")
+        row, group, f1, f2 = row[order], group[order], f1[order], f2[order]
+        h = f.hidden(f1, f2)
+        qt = f.q[row]
+        up = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", h, qt) - self.fine_shift[row], -30, 30)))
+        gh, gq = up[:, None] * qt, up[:, None] * h
+        runs = list(groups(group))
+        low, high = (f.offs[np.fromiter((g + k for g, _, _ in runs), np.int64, len(runs))] for k in (0, 1))
+        under = np.where(low > 0, self.fine_cum[low - 1], 0.0)
+        drawn = under[:, None] + self.rng.random((len(runs), FINE_NOISE)) * (self.fine_cum[high - 1] - under)[:, None]
+        k = np.clip(np.searchsorted(self.fine_cum, drawn.ravel()).reshape(drawn.shape), low[:, None], high[:, None] - 1)
+        qk, sk, gk = f.q[k], self.fine_shift[k], np.empty((*k.shape, DIM), np.float32)
+        for i, (_, a, e) in enumerate(runs):
+            down = -1 / (1 + np.exp(sk[i] - h[a:e] @ qk[i].T))
+            gh[a:e] += down @ qk[i]
+            gk[i] = down.T @ h[a:e]
+        gh[:, -1], gq[:, -1], gk[..., -1] = 0, 0, 0  # biases stay logarithms of frequencies
+        self.descend(1, f.q, np.concatenate((row, k.ravel())), np.concatenate((gq, gk.reshape(-1, DIM))))
+        self.descend(0, f.r, np.concatenate((f1, f2)), np.concatenate((np.float32(f.c[0]) * gh, np.float32(f.c[1]) * gh)))
+
+    def descend(self, which: int, x: np.ndarray, at: np.ndarray, grad: np.ndarray) -> None:
+        """Adagrad on the rows that have gradients, with one rate a row."""
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        rows, n = at[first], np.diff(first, append=len(at)).astype(np.float32)
+        g = np.add.reduceat(grad[order], first, axis=0) / np.sqrt(n)[:, None]
+        self.fine_acc[which][rows] += np.einsum("ij,ij->i", g, g) / DIM
+        x[rows] += np.float32(FINE_RATE) * g / np.sqrt(self.fine_acc[which][rows])[:, None]
+        self.touched[which][rows] += n
 
     def add(self, x: np.ndarray, which: int, grad: np.ndarray) -> None:
+        grad = grad.astype(np.float32)
         self.acc[which] += grad**2
-        x += RATE * grad / np.sqrt(self.acc[which])
+        x += np.float32(RATE) * grad / np.sqrt(self.acc[which])
 
     def step(self, w: np.ndarray, w1: np.ndarray, w2: np.ndarray) -> None:
         m, n = self.m, len(self.m.b)
@@ -205,19 +342,44 @@ def trained(docs: DataFrame, start: Model) -> Model:
         for batch in batches:
             for part in slices(batch, 0, budget=SLICE):
                 names, codes, lens = tokenised(part.column(0))
-                t.learn(*contexts(m.numbers(names.to_pylist(), number)[codes], lens, m.start)[:3])
+                every = names.to_pylist()
+                ids = m.numbers(every, number)
+                row, as_context = m.finer(every, ids)
+                w, w1, w2, ends = contexts(ids[codes], lens, m.start)
+                t.learn(w, w1, w2)
+                hashed = np.flatnonzero(w >= first)
+                if len(hashed):
+                    _, f1, f2, _ = contexts(as_context[codes], lens, m.start)
+                    inside = np.zeros(len(w), np.int64)
+                    inside[np.delete(np.arange(len(w)), ends)] = row[codes]
+                    t.learn_fine(inside[hashed], w[hashed] - first, f1[hashed], f2[hashed])
         if t.seen:
             x = t.m
             rows = np.concatenate((x.r, x.q, np.pad(x.b[:, None], ((0, 0), (0, DIM - 1))), x.c))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows), dtype=np.int32)), pa.array(np.full(len(rows), float(t.seen)))] + [pa.array(rows[:, k]) for k in range(DIM)], names=["row", "weight", *(f"v{k}" for k in range(DIM))])
-
-    schema = "row int, weight double, " + ", ".join(f"v{k} double" for k in range(DIM))
-    means = [(F.sum(F.col(f"v{k}") * F.col("weight")) / F.sum("weight")).alias(f"v{k}") for k in range(DIM)]
-    got = map_arrow(docs.select("text"), run, schema).groupBy("row").agg(*means).toPandas().sort_values("row")
-    if not len(got):
+            yield from parts(0, np.arange(len(rows)), np.full(len(rows), t.seen), rows)
+            for which, y in ((1, t.fine.r), (2, t.fine.q)):
+                at = np.flatnonzero(t.touched[which - 1])
+                yield from parts(which, at, t.touched[which - 1][at], y[at])
+
+    def parts(which, at, weight, rows):
+        for a in range(0, len(at), 20_000):
+            cut = slice(a, a + 20_000)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at[cut]), which, np.int32)), pa.array(at[cut].astype(np.int32)), pa.array(weight[cut].astype(np.float64))] + [pa.array(rows[cut, k].astype(np.float32)) for k in range(DIM)], names=["which", "row", "weight", *(f"v{k}" for k in range(DIM))])
+
+    first = WORD0 + len(start.words)
+    schema = "which int, row int, weight double, " + ", ".join(f"v{k} float" for k in range(DIM))
+    means = [(F.sum(F.col(f"v{k}") * F.col("weight")) / F.sum("weight")).cast("float").alias(f"v{k}") for k in range(DIM)]
+    got = map_arrow(docs.select("text"), run, schema).groupBy("which", "row").agg(*means).toArrow()
+    held.unpersist()
+    if not got.num_rows:
         return start
-    v, n = got[[f"v{k}" for k in range(DIM)]].to_numpy(), len(start.b)
-    return Model(start.words, start.counts, start.kinds, v[: n + 1], v[n + 1 : 2 * n + 1], v[2 * n + 1 : 3 * n + 1, 0], v[3 * n + 1 :], start.total, start.distinct)
+    which, row = (got[k].to_numpy() for k in ("which", "row"))
+    every = np.stack([got[f"v{k}"].to_numpy() for k in range(DIM)], 1)
+    v, n, f = np.empty((3 * len(start.b) + 3, DIM)), len(start.b), start.fine
+    v[row[which == 0]] = every[which == 0]
+    r, q = f.r.copy(), f.q.copy()  # rows that no task has met stay as they were
+    r[row[which == 1]], q[row[which == 2]] = every[which == 1], every[which == 2]
+    return Model(start.words, start.counts, start.kinds, v[: n + 1], v[n + 1 : 2 * n + 1], v[2 * n + 1 : 3 * n + 1, 0], v[3 * n + 1 :], start.total, start.distinct, Fine(f.least, f.keys, f.row, f.offs, f.shift, r, q, f.rare, f.c))
 
 
 def score(df: DataFrame, id_col: str, text_col: str, learn_from: Column, top: int = TOP) -> DataFrame:
@@ -242,6 +404,13 @@ def score(df: DataFrame, id_col: str, text_col: str, learn_from: Column, top: in
         k = crc32(r["word"].encode()) % classes
         rest[k], kinds[k] = rest[k] - r["c"], kinds[k] - 1
     start = initial([r["word"] for r in best], np.array([ends, *(r["c"] for r in best), *rest], np.float64), kinds, total, distinct)
+    least = least_count(total)
+    named = words.filter(~F.col("word").isin([r["word"] for r in best])) if best else words
+    while named.filter(F.col("c") >= least).count() > MOST_OWN:
+        least *= 2
+    got = named.filter(F.col("c") >= least).select(F.xxhash64("word").alias("h"), own_class.alias("k"), "c").toArrow()  # MOST_OWN rows at most
+    smoothed = start.counts[WORD0 + len(best) :] + 0.5 * (kinds + 1)  # half a count for each word and for those never seen
+    start.fine = fine(got["h"].to_numpy().view(np.uint64), got["k"].to_numpy().astype(np.int64), got["c"].to_numpy().astype(np.float64), smoothed, least, start.start)
     held = spark.sparkContext.broadcast(trained(own.filter("learn").select("text"), start))
     kind = dict(own.dtypes)["id"]
     none = lambda t: F.lit(None).cast(t)
@@ -253,7 +422,7 @@ def score(df: DataFrame, id_col: str, text_col: str, learn_from: Column, top: in
         m = held.value
         first = WORD0 + len(m.words)
         base_of = lambda c: np.log10((c + 0.5) / (m.total + 0.5 * (m.distinct + 1)))
-        class_size = m.counts[first:] + 0.5 * (m.kinds + 1)  # half a count for each word and for those never seen
+        fine_of = m.fine
         count: dict[str, int] = {}
         for batch in batches:
             for part in slices(batch, 2, budget=SLICE):
@@ -269,13 +438,17 @@ def score(df: DataFrame, id_col: str, text_col: str, learn_from: Column, top: in
                 every = names.to_pylist()
                 c_of = np.fromiter((get(x, 0) for x in every), np.float64, len(every))
                 id_of = m.numbers(every, m.lookup()[4])
-                within, hashed = np.zeros(len(every)), id_of >= first
-                within[hashed] = np.log10((c_of[hashed] + 0.5) / class_size[id_of[hashed] - first])
+                row, as_context = m.finer(every, id_of, c_of)
+                share, rare = np.zeros(len(every)), (id_of >= first) & (as_context == id_of)
+                share[rare] = np.log10((c_of[rare] + 0.5) / fine_of.rare[id_of[rare] - first])
                 w, w1, w2, ends = contexts(id_of[codes], lens, m.start)
+                _, f1, f2, _ = contexts(as_context[codes], lens, m.start)
                 inside = np.ones(len(w), bool)
                 inside[ends] = False
-                c, extra = np.full(len(w), m.counts[END]), np.zeros(len(w))
-                c[inside], extra[inside] = c_of[codes], within[codes]
+                c, extra, rows = np.full(len(w), m.counts[END]), np.zeros(len(w)), np.zeros(len(w), np.int64)
+                c[inside], extra[inside], rows[inside] = c_of[codes], share[codes], row[codes]
+                at = np.flatnonzero(w >= first)
+                extra[at] += fine_of.log_probs(rows[at], w[at] - first, f1[at], f2[at]) / np.log(10)
                 of = np.repeat(np.arange(len(lens)), lens + 1)
                 summed = lambda x: np.bincount(of, x, len(lens))
                 yield pa.RecordBatch.from_arrays([part.column(4), pa.array(lens + 1), pa.array(summed(c > 0).astype(np.int64)), pa.array(np.full(len(lens), m.total, np.int64)), pa.array(summed(base_of(c))), pa.array(summed(m.log_probs(w, w1, w2) / np.log(10) + extra))], names=["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

@@ -78,6 +78,37 @@ def test_training_learns_what_follows():
     assert p[0] > 0.8 > p[1]
 
 
+def fine_model(least=5):
+    """Two classes: words 0 to 3 with vectors of their own, each class's rare words with 40 of 100 tokens and more."""
+    keys = np.array([9, 3, 7, 5], np.uint64)
+    return lblm.fine(keys, np.array([0, 0, 1, 0]), np.array([30.0, 30, 50, 0]), np.array([101.0, 90.5]), least, 2)
+
+
+def test_words_within_classes_are_normalised():
+    f = fine_model()
+    f.q[:] += np.random.default_rng(1).normal(size=f.q.shape)
+    rows, group = np.arange(f.offs[-1]), np.repeat([0, 1], np.diff(f.offs))
+    ctx = np.full(len(rows), f.shift + 1)
+    p = np.exp(f.log_probs(rows, group, ctx, np.full(len(rows), 2)))
+    assert np.allclose(np.bincount(group, p), 1, atol=1e-5) and np.isclose(f.rare[0], 101 - 30.5 - 30.5 - 0.5)
+
+
+def test_two_words_of_one_hash_are_rare():
+    f = lblm.fine(np.array([4, 8, 4], np.uint64), np.array([0, 0, 0]), np.array([6.0, 7, 8]), np.array([30.0]), 5, 2)
+    assert f.keys.tolist() == [8] and f.offs.tolist() == [0, 2] and f.rare.tolist() == [22.5]
+
+
+def test_words_within_a_class_learn_what_goes_before():
+    m = lblm.initial(["a"], np.array([50.0, 300, 300]), np.ones(1), 951, 5)
+    m.fine = lblm.fine(np.array([3, 5], np.uint64), np.zeros(2, int), np.array([300.0, 300]), np.array([602.0]), 5, m.start)
+    t, f = lblm.Trainer(m, 1), m.fine
+    x, y = f.row + f.shift
+    for _ in range(60):  # a word follows itself
+        t.learn_fine(np.tile(f.row, 50), np.zeros(100, int), np.tile([x, y], 50), np.full(100, m.start))
+    p = np.exp(t.fine.log_probs(np.array([f.row[0], f.row[1]]), np.zeros(2, int), np.array([x, x]), np.full(2, m.start)))
+    assert p[0] > 0.8 > 0.2 > p[1]
+
+
 def test_base_scores_against_brute_force(spark, docs):
     texts = dict(enumerate([*ODD, "The the THE cat\tsat", "cat on a mat", "x y\x0bz", "a\x1cb a\x85b"] * 3))
     df = docs(texts)
@@ -102,7 +133,7 @@ def test_scores_against_brute_force(spark, docs, monkeypatch):
     import zlib
     from collections import Counter
 
-    texts = dict(enumerate([*ODD, "The the THE cat\tsat", "cat on a mat", "unseen words here", "q w e r t y the cat"] * 4))
+    texts = dict(enumerate([*ODD, "The the THE cat\tsat", "cat on a mat", "unseen words here", "q w e r t y the cat"] * 8 + ["once seldom the mat", "never twice"] * 2))
     held, models, real = fold("doc_id", 5) == 1, [], lblm.trained
     monkeypatch.setattr(lblm, "trained", lambda *a: models.append(real(*a)) or models[-1])
     monkeypatch.setattr(lblm, "STRIPE", 3)
@@ -112,15 +143,27 @@ def test_scores_against_brute_force(spark, docs, monkeypatch):
     own = {w.encode(): 1 + k for k, w in enumerate(m.words)}
     assert len(own) == 4 and m.counts[1:5].tolist() == sorted(c.values(), reverse=True)[:4] and m.kinds.sum() == len(c) - 4
     assert m.counts[5:].sum() == sum(c.values()) - m.counts[1:5].sum()
+    f, group = m.fine, lambda w: zlib.crc32(w) % len(m.kinds)
+    named = [w for w in c if c[w] >= f.least and w not in own]
+    assert 0 < len(named) < len(c) - 4 and len(f.keys) == len(named)
+    row = {w: int(f.find([w.decode()], np.array([group(w)]))[0]) for w in named}
+    assert len(set(row.values())) == len(named) and not set(row.values()) & set(f.offs[:-1].tolist())
     for i, x in split.items():
-        ids = [own.get(w, 5 + zlib.crc32(w) % len(m.kinds)) for w in x] + [0]
-        total, w1, w2 = 0.0, m.start, m.start
+        ids = [own.get(w, 5 + group(w)) for w in x] + [0]
+        deep = [row[w] + f.shift if w in row else k for w, k in zip(x, ids, strict=False)] + [0]
+        total, w1, w2, f1, f2 = 0.0, m.start, m.start, m.start, m.start
         for k, y in enumerate(ids):
             z = m.q @ (m.r[w1] * m.c[0] + m.r[w2] * m.c[1]) + m.b
             total += z[y] - np.log(np.exp(z).sum())
             if y >= 5:
-                total += np.log((c[x[k]] + 0.5) / (m.counts[y] + 0.5 * (m.kinds[y - 5] + 1)))
-            w1, w2 = y, w1
+                g = y - 5
+                h = np.append((f.r[f1] * f.c[0] + f.r[f2] * f.c[1])[:-1], 1)
+                z = f.q[f.offs[g] : f.offs[g + 1]] @ h
+                total += f.q[row.get(x[k], f.offs[g])] @ h - np.log(np.exp(z).sum())
+                if x[k] not in row:
+                    rare = m.counts[y] + 0.5 * (m.kinds[g] + 1) - sum(c[w] + 0.5 for w in named if group(w) == g)
+                    total += np.log((c[x[k]] + 0.5) / rare)
+            w1, w2, f1, f2 = y, w1, deep[k], f1
         assert np.isclose(got[i], total / np.log(10), rtol=1e-4)
 
 
