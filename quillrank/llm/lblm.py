@@ -30,6 +30,7 @@ read.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import repeat
 from zlib import crc32
 
 import numpy as np
@@ -77,7 +78,7 @@ def block_counts(docs: DataFrame) -> DataFrame:
     """docs: block, learn, id, text. Per block and distinct word: word, block, n (its training tokens)."""
 
     def run(batches):
-        counts: dict[str, int] = {}
+        counts: dict[bytes, int] = {}
         block = None
         for batch in batches:
             for part in slices(batch, 3, budget=SLICE):
@@ -86,12 +87,13 @@ def block_counts(docs: DataFrame) -> DataFrame:
                 learn = np.repeat(part.column(1).to_numpy(zero_copy_only=False), lens)
                 n = np.bincount(codes, learn, len(names)).astype(np.int64).tolist()
                 get = counts.get
-                counts.update((w, get(w, 0) + k) for w, k in zip(names.to_pylist(), n, strict=True))
+                every = names.cast(pa.binary()).to_pylist()
+                counts.update(zip(every, map(int.__add__, map(get, every, repeat(0)), n), strict=True))
         if block is not None:
             names, n = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
             for at in range(0, len(names), 50_000):
                 part = names[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(np.full(len(part), block, np.int32)), pa.array(n[at : at + 50_000])], names=["word", "block", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()).cast(pa.string()), pa.array(np.full(len(part), block, np.int32)), pa.array(n[at : at + 50_000])], names=["word", "block", "n"])
 
     return map_arrow(docs, run, "word string, block int, n bigint")
 
@@ -111,13 +113,13 @@ class Fine:
     rare: np.ndarray  # smoothed tokens of each class's rare words
     c: tuple = (1.0, 0.5)
 
-    def find(self, names: list[str], group: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
+    def find(self, names: list[bytes], group: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
         """Each word's row, given its class: its own or the class's first (0 for a negative class). Words whose counts are
         known to be too small aren't looked up."""
         out = np.where(group >= 0, self.offs[group], 0)
         ask = np.flatnonzero(group >= 0 if counts is None else (group >= 0) & (counts >= self.least))
         if len(ask) and len(self.keys):
-            h = np.fromiter((xxhash.xxh64_intdigest(names[i].encode(), HASH_SEED) for i in ask.tolist()), np.uint64, len(ask))
+            h = np.fromiter(map(xxhash.xxh64_intdigest, map(names.__getitem__, ask.tolist()), repeat(HASH_SEED)), np.uint64, len(ask))
             at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
             hit = self.keys[at] == h
             out[ask[hit]] = self.row[at[hit]]
@@ -130,13 +132,14 @@ class Fine:
 
     def log_probs(self, row: np.ndarray, group: np.ndarray, f1: np.ndarray, f2: np.ndarray) -> np.ndarray:
         """Natural log-probabilities of the rows within their classes."""
-        order = np.argsort(group, kind="stable")
+        order = np.argsort(group)
         h, t = self.hidden(f1[order], f2[order]), row[order]
         z = np.empty(len(h), np.float32)
         for g, a, e in groups(group[order]):
             x = h[a:e] @ self.q[self.offs[g] : self.offs[g + 1]].T
             top = x.max(1)
-            z[a:e] = np.log(np.exp(x - top[:, None]).sum(1)) + top
+            x -= top[:, None]
+            z[a:e] = np.log(np.exp(x, out=x).sum(1)) + top
         out = np.empty(len(h))
         out[order] = np.einsum("ij,ij->i", h, self.q[t]) - z
         return out
@@ -188,13 +191,14 @@ class Model:
     def start(self) -> int:
         return len(self.b)
 
-    def number(self) -> dict[str, int]:
-        return {w: i + WORD0 for i, w in enumerate(self.words)}
+    def number(self) -> dict[bytes, int]:
+        return {w.encode(): i + WORD0 for i, w in enumerate(self.words)}
 
-    def numbers(self, names: list[str], number: dict[str, int]) -> np.ndarray:
+    def numbers(self, names: list[bytes], number: dict[bytes, int]) -> np.ndarray:
         """Each word's class: its own, or the one that it is hashed into."""
-        first, n, get = WORD0 + len(self.words), len(self.kinds), number.get
-        return np.fromiter((i if (i := get(x)) is not None else first + crc32(x.encode()) % n for x in names), np.int64, len(names))
+        own = np.fromiter(map(number.get, names, repeat(-1)), np.int64, len(names))
+        hashed = np.fromiter(map(crc32, names), np.int64, len(names)) % len(self.kinds)
+        return np.where(own >= 0, own, hashed + WORD0 + len(self.words))
 
     def lookup(self):
         """Scores by the last and the last but one token, the bias, every context's log-normaliser, and the words' numbers.
@@ -213,7 +217,7 @@ class Model:
         near, far, b, z, _ = self.lookup()
         return near[w1, w].astype(np.float64) + far[w2, w] + b[w] - z[w1, w2]
 
-    def finer(self, names: list[str], ids: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def finer(self, names: list[bytes], ids: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Each word's row within its class, and its number as a context."""
         first, f = WORD0 + len(self.words), self.fine
         row = f.find(names, np.where(ids >= first, ids - first, -1), counts)
@@ -221,13 +225,13 @@ class Model:
         return row, np.where(own, row + f.shift, ids)
 
 
-def contexts(ids: np.ndarray, lens: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens with an END after each text, their two predecessors (start before a text), and where each text ends."""
+def contexts(ids: np.ndarray, lens: np.ndarray, start: int, end: int = END) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens with an end after each text, their two predecessors (start before a text), and where each text ends."""
     ends = np.cumsum(lens + 1) - 1
     w = np.empty(len(ids) + len(lens), np.int64)
     inside = np.ones(len(w), bool)
     inside[ends] = False
-    w[inside], w[ends] = ids, END
+    w[inside], w[ends] = ids, end
     first = ends - lens
     w1, w2 = np.empty_like(w), np.empty_like(w)
     w1[1:], w2[2:] = w[:-1], w[:-2]
@@ -245,6 +249,15 @@ def initial(words: list[str], counts: np.ndarray, kinds: np.ndarray, total: int,
     return Model(words, counts, kinds, rng.normal(0, 0.1, (n + 1, DIM)), rng.normal(0, 0.1, (n, DIM)), np.log(p), np.array([np.ones(DIM), np.full(DIM, 0.5)]), total, distinct)
 
 
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x += 1
+    x *= 0.5
+    return x
+
+
 class Trainer:
     """Adagrad on the noise-contrastive objective."""
 
@@ -267,11 +280,11 @@ class Trainer:
     def learn_fine(self, row: np.ndarray, group: np.ndarray, f1: np.ndarray, f2: np.ndarray) -> None:
         """One step on the rows within their classes; a class's tokens share its noise."""
         f = self.fine
-        order = np.argsort(group, kind="stable")
+        order = np.argsort(group)
         row, group, f1, f2 = row[order], group[order], f1[order], f2[order]
         h = f.hidden(f1, f2)
         qt = f.q[row]
-        up = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", h, qt) - self.fine_shift[row], -30, 30)))
+        up = sigmoid(self.fine_shift[row] - np.einsum("ij,ij->i", h, qt))
         gh, gq = up[:, None] * qt, up[:, None] * h
         runs = list(groups(group))
         low, high = (f.offs[np.fromiter((g + k for g, _, _ in runs), np.int64, len(runs))] for k in (0, 1))
@@ -280,16 +293,16 @@ class Trainer:
         k = np.clip(np.searchsorted(self.fine_cum, drawn.ravel()).reshape(drawn.shape), low[:, None], high[:, None] - 1)
         qk, sk, gk = f.q[k], self.fine_shift[k], np.empty((*k.shape, DIM), np.float32)
         for i, (_, a, e) in enumerate(runs):
-            down = -1 / (1 + np.exp(sk[i] - h[a:e] @ qk[i].T))
-            gh[a:e] += down @ qk[i]
-            gk[i] = down.T @ h[a:e]
+            down = sigmoid(h[a:e] @ qk[i].T - sk[i])
+            gh[a:e] -= down @ qk[i]
+            gk[i] = -(down.T @ h[a:e])
         gh[:, -1], gq[:, -1], gk[..., -1] = 0, 0, 0  # biases stay logarithms of frequencies
         self.descend(1, f.q, np.concatenate((row, k.ravel())), np.concatenate((gq, gk.reshape(-1, DIM))))
         self.descend(0, f.r, np.concatenate((f1, f2)), np.concatenate((np.float32(f.c[0]) * gh, np.float32(f.c[1]) * gh)))
 
     def descend(self, which: int, x: np.ndarray, at: np.ndarray, grad: np.ndarray) -> None:
         """Adagrad on the rows that have gradients, with one rate a row."""
-        order = np.argsort(at, kind="stable")
+        order = np.argsort(at)
         at = at[order]
         first = np.flatnonzero(np.diff(at, prepend=-1))
         rows, n = at[first], np.diff(first, append=len(at)).astype(np.float32)
@@ -308,9 +321,11 @@ class Trainer:
         r1, r2 = m.r[w1], m.r[w2]
         h = r1 * m.c[0] + r2 * m.c[1]
         own = (h * m.q[w]).sum(1) + m.b[w] - self.shift[w]
-        up = 1 / (1 + np.exp(np.clip(own, -30, 30)))
+        up = sigmoid(-own)
         k = np.minimum(np.searchsorted(self.cum, self.rng.random(NOISE)), n - 1)
-        down = -1 / (1 + np.exp(-np.clip(h @ m.q[k].T + (m.b[k] - self.shift[k]), -30, 30)))
+        down = h @ m.q[k].T
+        down += m.b[k] - self.shift[k]
+        down = -sigmoid(down)
         gh = up[:, None] * m.q[w] + down @ m.q[k]
         cols = np.arange(DIM)
         scatter = lambda at, g, size: np.bincount((at[:, None] * DIM + cols).ravel(), g.ravel(), size * DIM).reshape(size, DIM)
@@ -342,17 +357,16 @@ def trained(docs: DataFrame, start: Model) -> Model:
         for batch in batches:
             for part in slices(batch, 0, budget=SLICE):
                 names, codes, lens = tokenised(part.column(0))
-                every = names.to_pylist()
+                every = names.cast(pa.binary()).to_pylist()
                 ids = m.numbers(every, number)
                 row, as_context = m.finer(every, ids)
-                w, w1, w2, ends = contexts(ids[codes], lens, m.start)
-                t.learn(w, w1, w2)
-                hashed = np.flatnonzero(w >= first)
+                ids, as_context = np.append(ids, (END, m.start)), np.append(as_context, (END, m.start))
+                w, w1, w2, _ = contexts(codes, lens, len(every) + 1, len(every))
+                of = ids[w]
+                t.learn(of, ids[w1], ids[w2])
+                hashed = np.flatnonzero(of >= first)
                 if len(hashed):
-                    _, f1, f2, _ = contexts(as_context[codes], lens, m.start)
-                    inside = np.zeros(len(w), np.int64)
-                    inside[np.delete(np.arange(len(w)), ends)] = row[codes]
-                    t.learn_fine(inside[hashed], w[hashed] - first, f1[hashed], f2[hashed])
+                    t.learn_fine(row[w[hashed]], of[hashed] - first, as_context[w1[hashed]], as_context[w2[hashed]])
         if t.seen:
             x = t.m
             rows = np.concatenate((x.r, x.q, np.pad(x.b[:, None], ((0, 0), (0, DIM - 1))), x.c))
@@ -423,32 +437,28 @@ def score(df: DataFrame, id_col: str, text_col: str, learn_from: Column, top: in
         first = WORD0 + len(m.words)
         base_of = lambda c: np.log10((c + 0.5) / (m.total + 0.5 * (m.distinct + 1)))
         fine_of = m.fine
-        count: dict[str, int] = {}
+        count: dict[bytes, int] = {}
         for batch in batches:
             for part in slices(batch, 2, budget=SLICE):
                 kinds = part.column(1).to_numpy(zero_copy_only=False)
                 split = int(np.searchsorted(kinds, 1))
                 if split:
-                    count.update(zip(part.column(2)[:split].to_pylist(), part.column(3)[:split].to_pylist(), strict=True))
+                    count.update(zip(part.column(2)[:split].cast(pa.binary()).to_pylist(), part.column(3)[:split].to_pylist(), strict=True))
                 part = part.slice(split)
                 if not part.num_rows:
                     continue
                 names, codes, lens = tokenised(part.column(2))
-                get = count.get
-                every = names.to_pylist()
-                c_of = np.fromiter((get(x, 0) for x in every), np.float64, len(every))
+                every = names.cast(pa.binary()).to_pylist()
+                c_of = np.fromiter(map(count.get, every, repeat(0)), np.float64, len(every))
                 id_of = m.numbers(every, m.lookup()[4])
                 row, as_context = m.finer(every, id_of, c_of)
-                share, rare = np.zeros(len(every)), (id_of >= first) & (as_context == id_of)
+                share, rare = np.zeros(len(every) + 1), np.flatnonzero((id_of >= first) & (as_context == id_of))
                 share[rare] = np.log10((c_of[rare] + 0.5) / fine_of.rare[id_of[rare] - first])
-                w, w1, w2, ends = contexts(id_of[codes], lens, m.start)
-                _, f1, f2, _ = contexts(as_context[codes], lens, m.start)
-                inside = np.ones(len(w), bool)
-                inside[ends] = False
-                c, extra, rows = np.full(len(w), m.counts[END]), np.zeros(len(w)), np.zeros(len(w), np.int64)
-                c[inside], extra[inside], rows[inside] = c_of[codes], share[codes], row[codes]
+                c_of, ids, as_context = np.append(c_of, m.counts[END]), np.append(id_of, (END, m.start)), np.append(as_context, (END, m.start))
+                t, t1, t2, _ = contexts(codes, lens, len(every) + 1, len(every))
+                w, w1, w2, c, extra = ids[t], ids[t1], ids[t2], c_of[t], share[t]
                 at = np.flatnonzero(w >= first)
-                extra[at] += fine_of.log_probs(rows[at], w[at] - first, f1[at], f2[at]) / np.log(10)
+                extra[at] += fine_of.log_probs(row[t[at]], w[at] - first, as_context[t1[at]], as_context[t2[at]]) / np.log(10)
                 of = np.repeat(np.arange(len(lens)), lens + 1)
                 summed = lambda x: np.bincount(of, x, len(lens))
                 yield pa.RecordBatch.from_arrays([part.column(4), pa.array(lens + 1), pa.array(summed(c > 0).astype(np.int64)), pa.array(np.full(len(lens), m.total, np.int64)), pa.array(summed(base_of(c))), pa.array(summed(m.log_probs(w, w1, w2) / np.log(10) + extra))], names=["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

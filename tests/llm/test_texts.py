@@ -146,7 +146,7 @@ def test_scores_against_brute_force(spark, docs, monkeypatch):
     f, group = m.fine, lambda w: zlib.crc32(w) % len(m.kinds)
     named = [w for w in c if c[w] >= f.least and w not in own]
     assert 0 < len(named) < len(c) - 4 and len(f.keys) == len(named)
-    row = {w: int(f.find([w.decode()], np.array([group(w)]))[0]) for w in named}
+    row = {w: int(f.find([w], np.array([group(w)]))[0]) for w in named}
     assert len(set(row.values())) == len(named) and not set(row.values()) & set(f.offs[:-1].tolist())
     for i, x in split.items():
         ids = [own.get(w, 5 + group(w)) for w in x] + [0]
