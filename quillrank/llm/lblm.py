@@ -45,7 +45,7 @@ from quillrank.runtime import materialise
 
 TOP, DIM, BATCH, NOISE, RATE = 1500, 16, 2048, 64, 0.08
 END, WORD0 = 0, 1
-SLICE, BLOCK_BYTES, STRIPE = 2 << 20, 64 << 20, 256
+SLICE, BLOCK_BYTES, STRIPE, MERGE = 2 << 20, 64 << 20, 256, 8
 #: Noise words a class and learning rate of the model within classes; words with vectors of their own at most (600 MB).
 FINE_NOISE, FINE_RATE, MOST_OWN = 24, 0.15, 4_000_000
 HASH_SEED = 42  # of Spark's xxhash64
@@ -77,23 +77,24 @@ def tokenised(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 def block_counts(docs: DataFrame) -> DataFrame:
     """docs: block, learn, id, text. Per block and distinct word: word, block, n (its training tokens)."""
 
+    def merged(parts: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
     def run(batches):
-        counts: dict[bytes, int] = {}
+        parts: list[pa.Table] = []
         block = None
         for batch in batches:
             for part in slices(batch, 3, budget=SLICE):
                 block = part.column(0)[0].as_py()
                 names, codes, lens = tokenised(part.column(3))
                 learn = np.repeat(part.column(1).to_numpy(zero_copy_only=False), lens)
-                n = np.bincount(codes, learn, len(names)).astype(np.int64).tolist()
-                get = counts.get
-                every = names.cast(pa.binary()).to_pylist()
-                counts.update(zip(every, map(int.__add__, map(get, every, repeat(0)), n), strict=True))
-        if block is not None:
-            names, n = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
-            for at in range(0, len(names), 50_000):
-                part = names[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()).cast(pa.string()), pa.array(np.full(len(part), block, np.int32)), pa.array(n[at : at + 50_000])], names=["word", "block", "n"])
+                n = np.bincount(codes, learn, len(names)).astype(np.int64)
+                parts.append(pa.table({"word": names, "n": n}))
+                if len(parts) == MERGE:
+                    parts = [merged(parts)]
+        if parts:
+            for batch in merged(parts).to_batches(max_chunksize=50_000):
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(batch), block, np.int32)), batch.column(1)], names=["word", "block", "n"])
 
     return map_arrow(docs, run, "word string, block int, n bigint")
 
@@ -126,7 +127,10 @@ class Fine:
         return out
 
     def hidden(self, f1: np.ndarray, f2: np.ndarray) -> np.ndarray:
-        h = np.float32(self.c[0]) * self.r[f1] + np.float32(self.c[1]) * self.r[f2]
+        h, far = self.r.take(f1, 0), self.r.take(f2, 0)
+        h *= np.float32(self.c[0])
+        far *= np.float32(self.c[1])
+        h += far
         h[:, -1] = 1
         return h
 
@@ -141,7 +145,7 @@ class Fine:
             x -= top[:, None]
             z[a:e] = np.log(np.exp(x, out=x).sum(1)) + top
         out = np.empty(len(h))
-        out[order] = np.einsum("ij,ij->i", h, self.q[t]) - z
+        out[order] = np.einsum("ij,ij->i", h, self.q.take(t, 0)) - z
         return out
 
 
@@ -283,7 +287,7 @@ class Trainer:
         order = np.argsort(group)
         row, group, f1, f2 = row[order], group[order], f1[order], f2[order]
         h = f.hidden(f1, f2)
-        qt = f.q[row]
+        qt = f.q.take(row, 0)
         up = sigmoid(self.fine_shift[row] - np.einsum("ij,ij->i", h, qt))
         gh, gq = up[:, None] * qt, up[:, None] * h
         runs = list(groups(group))
@@ -306,7 +310,7 @@ class Trainer:
         at = at[order]
         first = np.flatnonzero(np.diff(at, prepend=-1))
         rows, n = at[first], np.diff(first, append=len(at)).astype(np.float32)
-        g = np.add.reduceat(grad[order], first, axis=0) / np.sqrt(n)[:, None]
+        g = np.add.reduceat(grad.take(order, 0), first, axis=0) / np.sqrt(n)[:, None]
         self.fine_acc[which][rows] += np.einsum("ij,ij->i", g, g) / DIM
         x[rows] += np.float32(FINE_RATE) * g / np.sqrt(self.fine_acc[which][rows])[:, None]
         self.touched[which][rows] += n
@@ -318,15 +322,15 @@ class Trainer:
 
     def step(self, w: np.ndarray, w1: np.ndarray, w2: np.ndarray) -> None:
         m, n = self.m, len(self.m.b)
-        r1, r2 = m.r[w1], m.r[w2]
+        r1, r2, qw = m.r.take(w1, 0), m.r.take(w2, 0), m.q.take(w, 0)
         h = r1 * m.c[0] + r2 * m.c[1]
-        own = (h * m.q[w]).sum(1) + m.b[w] - self.shift[w]
+        own = np.einsum("ij,ij->i", h, qw) + m.b[w] - self.shift[w]
         up = sigmoid(-own)
         k = np.minimum(np.searchsorted(self.cum, self.rng.random(NOISE)), n - 1)
         down = h @ m.q[k].T
         down += m.b[k] - self.shift[k]
         down = -sigmoid(down)
-        gh = up[:, None] * m.q[w] + down @ m.q[k]
+        gh = up[:, None] * qw + down @ m.q[k]
         cols = np.arange(DIM)
         scatter = lambda at, g, size: np.bincount((at[:, None] * DIM + cols).ravel(), g.ravel(), size * DIM).reshape(size, DIM)
         gq = scatter(np.concatenate((w, k)), np.concatenate((up[:, None] * h, down.T @ h)), n)
@@ -456,12 +460,12 @@ def score(df: DataFrame, id_col: str, text_col: str, learn_from: Column, top: in
                 share[rare] = np.log10((c_of[rare] + 0.5) / fine_of.rare[id_of[rare] - first])
                 c_of, ids, as_context = np.append(c_of, m.counts[END]), np.append(id_of, (END, m.start)), np.append(as_context, (END, m.start))
                 t, t1, t2, _ = contexts(codes, lens, len(every) + 1, len(every))
-                w, w1, w2, c, extra = ids[t], ids[t1], ids[t2], c_of[t], share[t]
+                w, w1, w2, extra = ids[t], ids[t1], ids[t2], share[t]
                 at = np.flatnonzero(w >= first)
                 extra[at] += fine_of.log_probs(row[t[at]], w[at] - first, as_context[t1[at]], as_context[t2[at]]) / np.log(10)
                 of = np.repeat(np.arange(len(lens)), lens + 1)
                 summed = lambda x: np.bincount(of, x, len(lens))
-                yield pa.RecordBatch.from_arrays([part.column(4), pa.array(lens + 1), pa.array(summed(c > 0).astype(np.int64)), pa.array(np.full(len(lens), m.total, np.int64)), pa.array(summed(base_of(c))), pa.array(summed(m.log_probs(w, w1, w2) / np.log(10) + extra))], names=["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(4), pa.array(lens + 1), pa.array(summed((c_of > 0)[t]).astype(np.int64)), pa.array(np.full(len(lens), m.total, np.int64)), pa.array(summed(base_of(c_of)[t])), pa.array(summed(m.log_probs(w, w1, w2) / np.log(10) + extra))], names=["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     out = map_arrow(dealt, run, f"id {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     return out.withColumnRenamed("id", id_col)
