@@ -13,7 +13,7 @@ its own, and the class's rarer words are one more entry. This second model is lo
 trained by noise drawn from the class, and its normaliser is the sum over the class's entries. A rare word's probability is
 its entry's times its smoothed share of the class's rare tokens. All words' probabilities, those never seen included, add up
 to one. So the parameters grow with the corpus: least_count() follows the square root of the training tokens, hence at most
-100 * sqrt(tokens) words have vectors of their own (19 thousand of 0.35 million at sf0.1, 0.1 of 3.6 million at 0.5 GB).
+100 * sqrt(tokens) words have vectors of their own (17 thousand of 0.36 million at sf0.1, 81 thousand of 3.2 million at 0.5 GB).
 They go to every worker, 150 bytes each; should they be more than MOST_OWN, the count doubles until they aren't.
 
 Counts cover all training tokens. Words are counted in blocks of texts (one for each shuffle partition, more if one would
@@ -57,7 +57,7 @@ def class_count(distinct: int) -> int:
 
 
 def least_count(tokens: int) -> int:
-    """Training tokens that a word needs for vectors of its own: 18 of 3.2 million, 104 of 108 million tokens."""
+    """Training tokens that a word needs for vectors of its own: 17 of 3.2 million, 104 of 108 million tokens."""
     return max(5, int(tokens**0.5 / 100))
 
 
