@@ -129,7 +129,8 @@ def test_base_scores_against_brute_force(spark, docs):
     assert lblm.score(docs([]), "doc_id", "text", ~held).count() == 0
 
 
-def test_scores_against_brute_force(spark, docs, monkeypatch):
+@pytest.mark.parametrize("most", [4_000_000, 2, 0])
+def test_scores_against_brute_force(spark, docs, monkeypatch, most):
     import zlib
     from collections import Counter
 
@@ -137,6 +138,7 @@ def test_scores_against_brute_force(spark, docs, monkeypatch):
     held, models, real = fold("doc_id", 5) == 1, [], lblm.trained
     monkeypatch.setattr(lblm, "trained", lambda *a: models.append(real(*a)) or models[-1])
     monkeypatch.setattr(lblm, "STRIPE", 3)
+    monkeypatch.setattr(lblm, "MOST_OWN", most)
     got = {r["doc_id"]: r["score"] for r in lblm.score(docs(texts), "doc_id", "text", ~held, top=4).collect()}
     m, split = models[0], {i: (t or "").encode().lower().split() for i, t in texts.items()}
     c = Counter(w for i, x in split.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in x)
@@ -145,7 +147,7 @@ def test_scores_against_brute_force(spark, docs, monkeypatch):
     assert m.counts[5:].sum() == sum(c.values()) - m.counts[1:5].sum()
     f, group = m.fine, lambda w: zlib.crc32(w) % len(m.kinds)
     named = [w for w in c if c[w] >= f.least and w not in own]
-    assert 0 < len(named) < len(c) - 4 and len(f.keys) == len(named)
+    assert (most < 3 or len(named) > 2) and len(named) <= min(most, len(c) - 5) and len(f.keys) == len(named)
     row = {w: int(f.find([w], np.array([group(w)]))[0]) for w in named}
     assert len(set(row.values())) == len(named) and not set(row.values()) & set(f.offs[:-1].tolist())
     for i, x in split.items():
