@@ -28,3 +28,15 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 3
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", ["rec_funksvd", "rec_bpr", "rec_asysvd"])
+def test_sgd_lists(spark, sf, duck, name):
+    """Every user of the events gets the ten best of the unseen items, by score and then item."""
+    got = registry.QUERIES[name](spark, sf).toPandas().sort_values(["user_id", "rank"])
+    seen = duck.sql(f"WITH {registry.UE} SELECT user_id, item_id FROM ue").df()
+    many = seen["item_id"].max() + 1 - seen.groupby("user_id")["item_id"].nunique()
+    assert got.groupby("user_id").size().to_dict() == many.clip(upper=10)[lambda x: x > 0].to_dict()
+    assert not len(got.merge(seen, on=["user_id", "item_id"]))
+    assert list(got["rank"]) == list(got.groupby("user_id").cumcount() + 1)
+    assert got.equals(got.sort_values(["user_id", "score", "item_id"], ascending=[True, False, True]))
