@@ -844,7 +844,8 @@ def eval_correct_coverage(spark, sf_dir):
 x AS (SELECT a.user_id, a.n, sum(1 - coalesce(weight, 0)) AS s FROM t a JOIN t b ON a.user_id = b.user_id AND a.rank <> b.rank AND a.rank < a.n LEFT JOIN w ON src = a.item_id AND dst = b.item_id GROUP BY 1, 2) SELECT round(avg(s / (n * (n - 1))), 6) AS "DIVERSITY_SIMILARITY" FROM x""")
 def eval_similarity_diversity(spark, sf_dir):
     recs, train, _, _, _ = _toppop_lists(spark, sf_dir)
-    w = similarity.similarity(_items_matrix(train), "cosine", None)
+    listed = recs.filter("rank <= 5").select("item_id").distinct()  # a cosine is of its two items alone, and no other pair is asked for
+    w = similarity.similarity(_items_matrix(train.join(listed, "item_id", "left_semi")), "cosine", None)
     return six(evaluation.similarity_diversity(recs, w, 5), "DIVERSITY_SIMILARITY")
 
 

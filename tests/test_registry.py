@@ -40,3 +40,11 @@ def test_sgd_lists(spark, sf, duck, name):
     assert not len(got.merge(seen, on=["user_id", "item_id"]))
     assert list(got["rank"]) == list(got.groupby("user_id").cumcount() + 1)
     assert got.equals(got.sort_values(["user_id", "score", "item_id"], ascending=[True, False, True]))
+
+
+def test_diversity_needs_listed_items_only(spark, sf, monkeypatch):
+    similarity, asked = registry.similarity.similarity, []
+    monkeypatch.setattr(registry.similarity, "similarity", lambda m, *a, **how: asked.append(m) or similarity(m, *a, **how))
+    assert registry.eval_similarity_diversity(spark, sf).count() == 1
+    listed = registry._toppop_lists(spark, sf)[0].filter("rank <= 5").select("item_id").distinct()
+    assert asked[0].select("col").distinct().count() == listed.count() < registry.tables.items(spark, sf).count()
