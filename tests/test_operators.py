@@ -446,3 +446,15 @@ def test_weighted_lists_without_a_cell_for_each_item(spark, monkeypatch):
     users = spark.createDataFrame([("a",), ("b",), ("c",)], "user_id string")
     got = ranking.top_n_weighted(urm, w, users, 1_000_000, 3, urm).orderBy("user_id", "rank").collect()
     assert [(r["user_id"], r["item_id"], r["score"]) for r in got] == [("a", 5, 7.0), ("a", 999_999, 4.0), ("a", 1, 0.0), ("b", 999_999, 2.0), ("b", 1, 0.0), ("b", 2, 0.0), ("c", 0, 0.0), ("c", 1, 0.0), ("c", 2, 0.0)]
+
+
+@pytest.mark.parametrize("k", [1, 4, 40])
+def test_equal_columns_share_a_list(spark, k, monkeypatch):
+    counted, by_blocks = [], similarity._by_blocks
+    monkeypatch.setattr(similarity, "_by_blocks", lambda m, *a, **how: counted.append(m.select("col").distinct().count()) or by_blocks(m, *a, **how))
+    kinds = [("a", "x"), ("a", "y"), ("b", "x"), ("c",), ("a", "x", "z")]
+    m = spark.createDataFrame([(f, c, 1.0) for c in range(60) for f in kinds[c * 7 % 11 % 5]], "row string, col long, value double")
+    for how in (dict(kind="cosine", shrink=1), dict(kind="cosine", normalise=False), dict(kind="jaccard", start_col=3, end_col=20)):
+        got, want = ([(r["dst"], r["src"], round(r["weight"], 9)) for r in similarity.similarity(m, k=k, dense=d, **how).collect()] for d in (True, False))
+        assert sorted(got) == sorted(want)
+    assert counted == [5, 5, 5]
