@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillrank.operators import splits
+from quillrank.runtime import materialise, ship
 
 
 def pointwise_samples(urm: DataFrame, n_items: int, per_positive: int, seed: int = 0) -> DataFrame:
@@ -40,14 +43,47 @@ def bipartite_laplacian(urm: DataFrame) -> DataFrame:
 
 def meta_paths(urm: DataFrame, similar_users: DataFrame, least: float, per_pair: int) -> DataFrame:
     """Paths user - item - user - item over neighbours (src, dst, weight) of weight > least: user_id, via_item, via_user,
-    item_id, the per_pair best of each (user_id, item_id)."""
-    near = similar_users.filter(F.col("weight") > least)
-    first = urm.select("user_id", F.col("item_id").alias("via_item"))
-    shared = urm.select(F.col("user_id").alias("via_user"), F.col("item_id").alias("via_item"))
-    last = urm.select(F.col("user_id").alias("via_user"), "item_id")
-    p = first.join(near.select(F.col("src").alias("user_id"), F.col("dst").alias("via_user"), "weight"), "user_id").join(shared, ["via_user", "via_item"]).join(last, "via_user").filter("item_id <> via_item")
-    r = F.row_number().over(W.partitionBy("user_id", "item_id").orderBy(F.desc(F.round("weight", 9)), "via_user", "via_item"))
-    return p.withColumn("_r", r).filter(F.col("_r") <= per_pair).select("user_id", "via_item", "via_user", "item_id")
+    item_id, the per_pair best of each (user_id, item_id). A user's profile and those of the neighbours meet in one task;
+    no path is shuffled."""
+    spark, kinds = urm.sparkSession, dict(urm.dtypes)
+    ship(spark)
+    own = materialise(urm.filter("user_id is not null and item_id is not null").groupBy("user_id").agg(F.sort_array(F.collect_set("item_id")).alias("items")), "profiles")
+    near = similar_users.filter(F.col("weight") > least).select(F.col("src").alias("user_id"), F.col("dst").alias("via_user"), F.round("weight", 9).alias("weight"))
+    rows = near.join(own.withColumnRenamed("user_id", "via_user"), "via_user").select("user_id", "weight", "via_user", "items")
+    rows = rows.union(own.select("user_id", F.lit(None), F.lit(None), "items"))
+    rows = rows.repartition("user_id").sortWithinPartitions("user_id", F.col("weight").desc_nulls_first(), "via_user")
+    names = ("user_id", "via_item", "via_user", "item_id")
+    types = (kinds["user_id"], kinds["item_id"], kinds["user_id"], kinds["item_id"])
+
+    def run(batches):
+        user, mine, taken = None, frozenset(), {}
+        for batch in batches:
+            arrow = [batch.schema.field(0).type, batch.schema.field(3).type.value_type]
+            out = [], [], [], []
+            items, ends = batch.column(3).flatten().to_pylist(), np.cumsum(batch.column(3).value_lengths().to_numpy(zero_copy_only=False)).tolist()
+            at = 0
+            for one, via_user, end in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), ends, strict=True):
+                listed, at = items[at:end], end
+                if via_user is None:  # a user's own profile comes first
+                    user, mine, taken = one, frozenset(listed), {}
+                    continue
+                shared = [x for x in listed if x in mine] if one == user else []
+                for item in listed if shared else ():
+                    left = per_pair - taken.get(item, 0)
+                    if left > 0:
+                        via = [x for x in shared[: left + 1] if x != item][:left]
+                        if via:
+                            taken[item] = per_pair - left + len(via)
+                            out[1].extend(via)
+                            out[2].extend([via_user] * len(via))
+                            out[3].extend([item] * len(via))
+                            out[0].extend([one] * len(via))
+                if len(out[0]) > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (arrow * 2), strict=True)], names=list(names))
+                    out = [], [], [], []
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (arrow * 2), strict=True)], names=list(names))
+
+    return rows.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True)))
 
 
 def permuted_factors(factors: DataFrame, order: list[int]) -> DataFrame:

@@ -458,3 +458,22 @@ def test_equal_columns_share_a_list(spark, k, monkeypatch):
         got, want = ([(r["dst"], r["src"], round(r["weight"], 9)) for r in similarity.similarity(m, k=k, dense=d, **how).collect()] for d in (True, False))
         assert sorted(got) == sorted(want)
     assert counted == [5, 5, 5]
+
+
+def test_meta_paths_shuffle_no_path(spark):
+    """The best paths of each pair as a search over all of them finds them; users, not paths, are shuffled."""
+    rng = np.random.default_rng(5)
+    seen = sorted({(int(u), int(i)) for u, i in zip(rng.integers(0, 12, 70), rng.integers(0, 9, 70), strict=True)})
+    near = [(int(a), int(b), float(x)) for a in range(12) for b, x in zip(rng.choice(12, 4, replace=False), rng.integers(0, 4, 4) / 4, strict=True) if a != b]
+    urm, w = spark.createDataFrame(seen, "user_id long, item_id long"), spark.createDataFrame(near, "src long, dst long, weight double")
+    for per_pair in (1, 2, 50):
+        best = {}
+        for a, b, x in near:
+            if x > 0.1:
+                for via in {i for u, i in seen if u == a} & {i for u, i in seen if u == b}:
+                    for item in (i for u, i in seen if u == b and i != via):
+                        best.setdefault((a, item), []).append((-x, b, via))
+        want = {(u, via, b, i) for (u, i), found in best.items() for _, b, via in sorted(found)[:per_pair]}
+        got = neural_data.meta_paths(urm, w, 0.1, per_pair)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+        assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
