@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillrank.functions.text import porter, tag_filter, tag_filter_stem
-from quillrank.operators import evaluation, factorisation, neural_data, prep, ranking, similarity, splits, statistics
+from quillrank.operators import evaluation, factorisation, neural_data, prep, ranking, recommenders, similarity, splits, statistics, walks
 from quillrank.plans import report, tune
 from quillrank.sources import readers, store
 from quillrank.streaming import ingest
@@ -477,3 +477,36 @@ def test_meta_paths_shuffle_no_path(spark):
         got = neural_data.meta_paths(urm, w, 0.1, per_pair)
         assert sorted(map(tuple, got.collect())) == sorted(want)
         assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("how", [{}, {"alpha": 0.8, "beta": 0.6, "normalise": True}])
+def test_walk_lists_write_no_weights(spark, monkeypatch, how):
+    """Lists over a walk whose weights are cut by row and by column, in small blocks that keep few weights, equal those over
+    the table of weights, which equals the plain matrices; what is written doesn't grow with k."""
+    rng = np.random.default_rng(3)
+    a = (rng.random((30, 25)) < 0.25) * rng.integers(1, 6, (30, 25)).astype(float)
+    r, c = np.nonzero(a)
+    urm = spark.createDataFrame(pd.DataFrame({"user_id": r, "item_id": c, "rating": a[r, c]}), "user_id long, item_id long, rating double")
+    alpha, k = how.get("alpha", 1.0), 4
+    w = ((a > 0) / (a > 0).sum(0)).T ** alpha @ (a / a.sum(1, keepdims=True)) ** alpha
+    w *= (a > 0).sum(0) ** -how.get("beta", 0.0)
+    np.fill_diagonal(w, 0)
+
+    def cut(x):  # the k largest of each row; ties: the least column
+        out = np.zeros_like(x)
+        for i, o in enumerate(np.argsort(-np.round(x, 12), axis=1, kind="stable")[:, :k]):
+            out[i, o] = x[i, o]
+        return out
+
+    w = cut(w)
+    w = cut((w / w.sum(1, keepdims=True) if how else w).T).T
+    got = recommenders.p3alpha(urm, k, **how)
+    assert np.allclose(dense(got, 25), w)
+    want = ranking.top_n_weighted(urm, got, urm, 25, 6, urm).collect()
+    written, write = [], walks.materialise
+    monkeypatch.setattr(walks, "materialise", lambda df, name: written.append(df.columns) or write(df, name))
+    for name, size in (("BLOCK_ENTRIES", 40), ("NEED_ENTRIES", 60), ("KEPT_WEIGHTS", 10)):
+        monkeypatch.setattr(walks, name, size)
+    lists_ = recommenders.p3alpha_lists(urm, urm, 25, 6, k, **how).collect()
+    assert sorted((x[0], x[1], x[2], round(x[3], 8)) for x in lists_) == sorted((x[0], x[1], x[2], round(x[3], 8)) for x in want)
+    assert written and not any("weight" in columns for columns in written)
