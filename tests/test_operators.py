@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillrank.functions.text import porter, tag_filter, tag_filter_stem
-from quillrank.operators import evaluation, factorisation, neural_data, prep, ranking, recommenders, similarity, splits, statistics, walks
+from quillrank.operators import evaluation, factorisation, neural_data, prep, ranking, recommenders, similarity, splits, statistics, walks, weighting
 from quillrank.plans import report, tune
 from quillrank.sources import readers, store
 from quillrank.streaming import ingest
@@ -532,3 +532,19 @@ def test_factor_lists_score_few_items(monkeypatch, flat):
     o = np.lexsort((i, -x, r))
     assert (i[o].reshape(300, 7) == ids[want]).all() and np.allclose(x[o].reshape(300, 7), np.take_along_axis(whole, want, 1))
     assert sum(scored) < whole.size / 2
+
+
+@pytest.mark.parametrize("k", [2, 7, 80])
+def test_hybrid_meets_few_pairs(spark, k, monkeypatch):
+    """Cosines over content and interactions by classes of equal content equal those by all pairs; no pair is joined."""
+    rng = np.random.default_rng(k)
+    content = [(i, f, 1.0) for i in range(60) if i % 9 for f in (f"a{i % 4}", f"b{i * 7 % 5}", f"c{i % 2}")]
+    seen = sorted({(int(u), int(i)) for u, i in zip(rng.integers(0, 40, 150), rng.integers(3, 64, 150), strict=True)})
+    urm = spark.createDataFrame([(u, i, float(r)) for (u, i), r in zip(seen, rng.integers(1, 9, len(seen)), strict=True)], "user_id long, item_id long, rating double")
+    icm = spark.createDataFrame(content, "item_id long, feature string, value double")
+    both = weighting.side_by_side(icm.withColumnRenamed("item_id", "id"), 2.0, urm.select(F.col("item_id").alias("id"), F.col("user_id").alias("feature"), F.col("rating").alias("value")))
+    want = recommenders.knn_cbf(both, 64, k, 3.0, dense=False).collect()
+    monkeypatch.setattr(similarity, "pair_dots", None)
+    monkeypatch.setattr(similarity, "_by_blocks", None)
+    got = recommenders.item_knn_hybrid(urm, icm, 64, 2.0, k=k, shrink=3.0).collect()
+    assert sorted((r["dst"], r["src"], round(r["weight"], 9)) for r in got) == sorted((r["dst"], r["src"], round(r["weight"], 9)) for r in want)
