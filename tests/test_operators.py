@@ -2,11 +2,12 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillrank.functions.text import porter, tag_filter, tag_filter_stem
-from quillrank.operators import evaluation, factorisation, neural_data, prep, ranking, recommenders, similarity, splits, statistics, walks, weighting
+from quillrank.operators import evaluation, factorisation, neural_data, prep, products, ranking, recommenders, similarity, splits, statistics, walks, weighting
 from quillrank.plans import report, tune
 from quillrank.sources import readers, store
 from quillrank.streaming import ingest
@@ -548,3 +549,23 @@ def test_hybrid_meets_few_pairs(spark, k, monkeypatch):
     monkeypatch.setattr(similarity, "_by_blocks", None)
     got = recommenders.item_knn_hybrid(urm, icm, 64, 2.0, k=k, shrink=3.0).collect()
     assert sorted((r["dst"], r["src"], round(r["weight"], 9)) for r in got) == sorted((r["dst"], r["src"], round(r["weight"], 9)) for r in want)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 100])
+def test_groups_stay_whole_across_batches(size):
+    key = [1, 1, 1, 1, 2, 3, 3, 5, 5, 5, 5, 5, 5, 5, 8]
+    rows = pa.record_batch({"k": pa.array(key, pa.int64()), "v": pa.array(range(len(key)))})
+    got = list(products._whole_groups(rows.slice(a, size) for a in range(0, len(key), size)))
+    assert [v for t in got for v in t["v"].to_pylist()] == list(range(len(key)))
+    assert sum(len(set(t["k"].to_pylist())) for t in got) == len(set(key))
+
+
+def test_blocks_together_give_the_same_products(spark, monkeypatch):
+    """Neighbouring targets that name the same rows share a task, which gets those rows once."""
+    m = spark.createDataFrame([(i % 20, c, float(1 + (i * 7 + c) % 5)) for c in range(160) for i in range(c % 3, 40, 2)], "row bigint, col bigint, value double").groupBy("row", "col").agg({"value": "max"}).toDF("row", "col", "value")
+    monkeypatch.setattr(products, "BLOCK_PAIRS", 40_000)
+    found = {}
+    for n in (1, 4):
+        monkeypatch.setattr(products, "TOGETHER", n)
+        found[n] = sorted(map(tuple, similarity.similarity(m, "cosine", 5, 1.0).collect()))
+    assert found[1] == found[4] and len(found[1]) == 800

@@ -48,3 +48,8 @@ def test_diversity_needs_listed_items_only(spark, sf, monkeypatch):
     assert registry.eval_similarity_diversity(spark, sf).count() == 1
     listed = registry._toppop_lists(spark, sf)[0].filter("rank <= 5").select("item_id").distinct()
     assert asked[0].select("col").distinct().count() == listed.count() < registry.tables.items(spark, sf).count()
+
+
+def test_split_makes_the_matrix_once(spark, sf):
+    split = registry.splits.timestamp(registry.tables.urm_orders(spark, sf))
+    assert split._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 2
