@@ -513,6 +513,24 @@ def test_walk_lists_write_no_weights(spark, monkeypatch, how):
     assert written and not any("weight" in columns for columns in written)
 
 
+def test_weighted_lists_of_the_users_of_the_profile_itself(spark):
+    """Profiles, seen items and users of one table, all dealt by user: a target still meets its entries."""
+    urm = spark.createDataFrame(pd.DataFrame([(u, u * i % 25, 1.0) for u in range(1, 25) for i in (1, 2, 3)], columns=["user_id", "item_id", "rating"]), "user_id long, item_id long, rating double")
+    w = spark.createDataFrame([(i, (i + 5) % 25, 1.0 + i) for i in range(25)], "src long, dst long, weight double")
+    want = ranking.top_n(ranking.item_scores(urm, w), urm, urm, 25, 4)
+    assert sorted(map(tuple, ranking.top_n_weighted(urm, w, urm, 25, 4, urm).collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("how", [{"alpha": 0.8}])
+def test_walks_over_whole_ids_equal_the_join(spark, how):
+    """P3alpha and RP3beta in blocks, whose columns carry three numbers each, equal the join that other ids take."""
+    urm = spark.createDataFrame([(u, u * i % 7, 1.0 + (u + i) % 3) for u in range(9) for i in range(1, 4) if u * i % 7], "user_id long, item_id long, rating double").distinct()
+    urm = urm.groupBy("user_id", "item_id").agg(F.max("rating").alias("rating"))
+    named = urm.withColumn("user_id", F.col("user_id").cast("string")).withColumn("item_id", F.col("item_id").cast("string"))
+    got, want = (sorted((int(r["src"]), int(r["dst"]), round(r["weight"], 9)) for r in recommenders.p3alpha(m, 3, **how).collect()) for m in (urm, named))
+    assert got and got == want
+
+
 @pytest.mark.parametrize("flat", [False, True])
 def test_factor_lists_score_few_items(monkeypatch, flat):
     """Boxes of items give the lists of the whole grid, also among equal scores, and most items are never scored."""
