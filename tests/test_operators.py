@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillrank.functions.text import porter, tag_filter, tag_filter_stem
-from quillrank.operators import evaluation, factorisation, neural_data, prep, products, ranking, recommenders, similarity, splits, statistics, walks, weighting
+from quillrank.operators import evaluation, factorisation, hybrid, neural_data, prep, products, ranking, recommenders, similarity, splits, statistics, walks, weighting
 from quillrank.plans import report, tune
 from quillrank.sources import readers, store
 from quillrank.streaming import ingest
@@ -569,6 +569,23 @@ def test_hybrid_meets_few_pairs(spark, k, monkeypatch):
     assert sorted((r["dst"], r["src"], round(r["weight"], 9)) for r in got) == sorted((r["dst"], r["src"], round(r["weight"], 9)) for r in want)
 
 
+def test_hybrid_spreads_its_classes_over_tasks(spark, monkeypatch):
+    """What takes the time for a column are all the classes, so few small columns are still dealt to several tasks."""
+    files, write = {}, hybrid.materialise
+
+    def noted(df, name):
+        out = write(df, name)
+        files[name] = out.select(F.input_file_name()).distinct().count()
+        return out
+
+    monkeypatch.setattr(hybrid, "materialise", noted)
+    monkeypatch.setattr(hybrid, "TOGETHER_CELLS", 100)
+    urm = spark.createDataFrame([(u, u * i % 41, 1.0 + u % 3) for u in range(1, 30) for i in (1, 2)], "user_id long, item_id long, rating double")
+    icm = spark.createDataFrame([(i, f"a{i % 11}", 1.0) for i in range(41)] + [(i, f"b{i % 4}", 1.0) for i in range(41)], "item_id long, feature string, value double")
+    assert recommenders.item_knn_hybrid(urm, icm, 41, k=3, shrink=1.0).count() == 41 * 3
+    assert files["lone"] > 1
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 7, 100])
 def test_groups_stay_whole_across_batches(size):
     key = [1, 1, 1, 1, 2, 3, 3, 5, 5, 5, 5, 5, 5, 5, 8]
