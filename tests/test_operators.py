@@ -586,6 +586,22 @@ def test_hybrid_spreads_its_classes_over_tasks(spark, monkeypatch):
     assert files["lone"] > 1
 
 
+def test_content_classes_are_compared_by_several_tasks(spark, monkeypatch):
+    """Few small rows of classes, which take long, aren't left to one task; the lists are those of the join."""
+    files, write = [], similarity.materialise
+
+    def noted(df, name):
+        out = write(df, name)
+        if name == "weights":
+            files.append(out.select(F.input_file_name()).distinct().count())
+        return out
+
+    monkeypatch.setattr(similarity, "materialise", noted)
+    m = spark.createDataFrame([(f, c, 1.0) for c in range(120) for f in (f"a{c % 5}", f"b{c % 6}")], "row string, col long, value double").coalesce(1)
+    got, want = ([(r["dst"], r["src"], round(r["weight"], 9)) for r in similarity.similarity(m, k=4, shrink=1, dense=d).collect()] for d in (True, False))
+    assert sorted(got) == sorted(want) and len(files) == 1 and files[0] > 1
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 7, 100])
 def test_groups_stay_whole_across_batches(size):
     key = [1, 1, 1, 1, 2, 3, 3, 5, 5, 5, 5, 5, 5, 5, 8]
