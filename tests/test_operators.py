@@ -521,7 +521,7 @@ def test_weighted_lists_of_the_users_of_the_profile_itself(spark):
     assert sorted(map(tuple, ranking.top_n_weighted(urm, w, urm, 25, 4, urm).collect())) == sorted(map(tuple, want.collect()))
 
 
-@pytest.mark.parametrize("how", [{"alpha": 0.8}])
+@pytest.mark.parametrize("how", [{"alpha": 0.8}, {"beta": 0.6, "normalise": True}])
 def test_walks_over_whole_ids_equal_the_join(spark, how):
     """P3alpha and RP3beta in blocks, whose columns carry three numbers each, equal the join that other ids take."""
     urm = spark.createDataFrame([(u, u * i % 7, 1.0 + (u + i) % 3) for u in range(9) for i in range(1, 4) if u * i % 7], "user_id long, item_id long, rating double").distinct()
